@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import encode, leakage, repeated, split, visual, vocabulary
+from . import denoise, encode, leakage, repeated, split, visual, vocabulary
 from .common import read, spread
 
 PAGE = ("rec_id", "book", "origin", "text_md")
@@ -36,6 +36,14 @@ def p2_mapping(spark, d):
     return vocabulary.mapping(typed, read(spark, d, "vocab_ref")).select("field", "value", "code")
 
 
+def _noise(spark, d):
+    return denoise.noise(read(spark, d, "page_text", "rec_id", "book", "page", "text_md"), read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title"))
+
+
+def p3_found(spark, d):
+    return _noise(spark, d)[0]
+
+
 def p5_found(spark, d):
     return repeated.repeated(read(spark, d, "page_text", *PAGE))
 

@@ -5,7 +5,8 @@ words) and looked up in an inverted index of character bigrams over the list's
 codes and labels; candidates are scored by the cosine of vectors weighted by the
 bigrams' rarity in the list. A value stands for the best code if its score is at
 least `least`, if it is ahead of the next code by `margin`, and if an edit
-distance, as a last check, is within `edits` of the length. Only distinct values
+distance, as a last check, is within `edits` of the length; between codes that
+share words, a clearly smaller edit distance stands for the margin. Only distinct values
 take part; the answers are joined back to the entries on salted keys, as one
 value may hold a third of them.
 
@@ -95,9 +96,15 @@ def mapping(values: DataFrame, vocab: DataFrame, least: float = 0.45, margin: fl
     scored = own.join(index, ["field", "gram"]).groupBy("field", "value", "view", "code", "form").agg(F.sum(F.col("x") / F.col("len") * F.col("y")).alias("score"))
     scored = scored.withColumn("off", F.levenshtein("view", "form") / F.greatest(F.length("view"), F.length("form")))
     best = scored.groupBy("field", "value", "code").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("off")).alias("near"))).alias("b"))
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("field", "value").orderBy(F.desc("b.score"), F.desc("b.near"), "code"))).withColumn("next", F.lead("b.score").over(W.partitionBy("field", "value").orderBy(F.desc("b.score"), F.desc("b.near"), "code"))).where("rank = 1")
-    ok = (F.col("b.score") >= least) & (F.col("b.score") - F.coalesce("next", F.lit(0.0)) >= margin) & (-F.col("b.near") <= edits)
-    found = ranked.select("field", "value", F.when(ok, F.col("code")).otherwise("").alias("code"), F.col("b.score").alias("score"), (F.col("b.score") - F.coalesce("next", F.lit(0.0))).alias("ahead"))
+    all_codes = W.partitionBy("field", "value")
+    order = all_codes.orderBy(F.desc("b.score"), F.desc("b.near"), "code")
+    ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("b.score").over(order))
+    ranked = ranked.withColumn("nearest", F.min(F.when(F.col("rank") > 1, -F.col("b.near"))).over(all_codes)).where("rank = 1")
+    ahead = F.col("b.score") - F.coalesce("next", F.lit(0.0))
+    # codes that share a word have close scores; where the edit distance tells them apart clearly, it does
+    clear = (-F.col("b.near") <= edits / 2) & (F.coalesce("nearest", F.lit(1.0)) + F.col("b.near") >= edits / 2) & (ahead > 0)
+    ok = (F.col("b.score") >= least) & ((ahead >= margin) | clear) & (-F.col("b.near") <= edits)
+    found = ranked.select("field", "value", F.when(ok, F.col("code")).otherwise("").alias("code"), F.col("b.score").alias("score"), ahead.alias("ahead"))
     every = mine.where("NOT blank").select("field", "value").distinct()
     return every.join(found, ["field", "value"], "left").select("field", "value", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("ahead", F.lit(0.0)).alias("ahead"))
 
