@@ -12,9 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from bargspark.session import ship
+
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     """The named columns of a table; the scan reads no others."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*cols) if cols else df
 

@@ -48,6 +48,7 @@ PAGE_WORDS = ("صفحه", "صفحهٔ", "صفحۀ", "صفحه‌ی", "ص", "بر
 GROUP = {c: [str(i) for i, g in enumerate(SHAPES) if c in g] for c in "".join(SHAPES)}
 NOTE = re.compile(r"\[\^[^\]]*\]")
 BROKEN = re.compile(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n+")
+SENTENCE = re.compile(r"[.!?؟؛»](?:\s|$)")
 LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
 PAGE = re.compile(r"[\W_]*(?:(" + "|".join(map(re.escape, PAGE_WORDS)) + r")[\W_]*)?(\d+)[\W_]*", re.I)
 NUMBERED = (re.compile(r"\s*(\d+)(?:\s*[|·•–—…:.-]+\s*|\s{2,})(\S.*\S)\s*"), re.compile(r"\s*(\S.*?\S)(?:\s*[|·•–—…:-]+\s*|\s*\.{2,}\s*|\s{2,})(\d+)\s*"))
@@ -179,7 +180,7 @@ def corrections(words: DataFrame, ratio: float = 8.0, most: int = 5) -> DataFram
 def running_key(line: str, page: int | None):
     """(text without number, whether the page's own number stood beside it) of a line that may be running; None for markup."""
     s = line.strip()
-    if not s or s.startswith(("#", "|", ">", "```", "**", "[^")) or len(s) > 160:
+    if not s or s.startswith(("#", "|", ">", "```", "**", "[^")) or len(s) > 160 or LIST.match(s):
         return None
     for i, pattern in enumerate(NUMBERED):
         if m := pattern.fullmatch(s):
@@ -188,6 +189,17 @@ def running_key(line: str, page: int | None):
     return s, False
 
 
+def title_like(text: str) -> bool:
+    """Short, and without the marks of sentences."""
+    return len(text) <= 90 and not SENTENCE.search(text)
+
+
+def blanked(text: str, doubtful: bool) -> list[str]:
+    """A text with one word left out: each in turn, or only one with a foreign character."""
+    words = text.split()
+    return [" ".join([*words[:i], "~", *words[i + 1 :]]) for i, w in enumerate(words) if len(words) > 2 and (not doubtful or any(map(is_letter, w)) and foreign(w.strip(OUTER)))]
+
+
 def page_number(line: str, page: int | None) -> bool:
     m = PAGE.fullmatch(line.strip()) if page is not None and len(line) < 60 else None
     return bool(m) and int(m[2]) == page
@@ -200,7 +212,7 @@ def scanned_books(books: DataFrame) -> DataFrame:
 def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats: int = 3, edge: int = 5, bits=None) -> DataFrame:
     """(rec_id, line_no, kind), each once: running lines and page numbers of the scanned and mixed books.
 
-    Titles are sought in every line; repeated texts without a known title count
+    Titles are sought in every line, in the outer lines also with one word misread; repeated texts without a known title count
     if they stand among the first or last `edge` lines of `repeats` pages."""
     ours = scanned_books(books)
     bits = bits or pages.sparkSession.sparkContext.broadcast(Bits(ours, 20))
@@ -217,8 +229,10 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
                     if page_number(s, p):
                         rows.append((k, i, b, p, 0, 2))
                     elif (found := running_key(s, p)) and sum(map(str.isalpha, found[0])) > 2:
-                        near = j < edge or len(lines) - j <= edge
+                        near = (j < edge or len(lines) - j <= edge) and title_like(found[0])
                         rows.append((k, i, b, p, hash64(found[0]), 1 if found[1] and near else 0 if near else -1))
+                        if near:
+                            rows += [(k, i, b, p, hash64(x), 3) for x in blanked(found[0], True)]
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int8()])], ["rec_id", "line_no", "book", "page", "look", "how"])
 
@@ -227,14 +241,21 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
 
     def titles_of(batches):
         for batch in batches:
-            look = [hash64(canonical(t).strip()) for t in batch.column("title").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("book"), pa.array(look, pa.int64())], ["book", "look"])
+            rows = []
+            for b, t in zip(batch.column("book").to_pylist(), batch.column("title").to_pylist()):
+                t = canonical(t).strip()
+                rows += [(b, hash64(x)) for x in (t, *blanked(t, False))]
+            b, x = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.string()), pa.array(x, pa.int64())], ["book", "look"])
 
     titles = books.select("book", F.col("title_fa").alias("title")).unionByName(chapters.select("book", "title")).where("title IS NOT NULL AND book IS NOT NULL").mapInArrow(titles_of, "book string, look bigint")
     # distinct pages are counted after each task has dropped its repeats; the rows of one text of one book can be at most its pages
-    often = found.where("how IN (0, 1)").select("book", "look", "page").distinct().groupBy("book", "look").count().where(F.col("count") >= repeats).select("book", "look")
-    named = found.where("how < 2").join(titles.distinct(), ["book", "look"], "leftsemi")
-    again = found.where("how IN (0, 1)").join(often, ["book", "look"], "leftsemi")
+    edges = found.where("how IN (0, 1)")
+    often = edges.select("book", "look", "page").distinct().groupBy("book", "look").count().where(F.col("count") >= repeats).select("book", "look")
+    # what several books share was left by an origin, not by a page's layout
+    often = often.join(edges.select("book", "look").distinct().groupBy("look").count().where(F.col("count") >= 3), "look", "left_anti")
+    named = found.where("how <> 2").join(titles.distinct(), ["book", "look"], "leftsemi")
+    again = edges.join(often, ["book", "look"], "leftsemi")
     running = named.unionByName(again).unionByName(found.where("how = 1")).select("rec_id", "line_no", F.lit("running_line").alias("kind"))
     return found.where("how = 2").select("rec_id", "line_no", F.lit("page_number").alias("kind")).unionByName(running).distinct()
 
@@ -274,7 +295,7 @@ def events_of(text: str, suspects, memo: Memo):
     """The broken words and the lines with doubtful words of a text: (line_no, None, None) and (line_no, words, [(place, form, sure, length of the part on this line or 0)])."""
     lines = [canonical(s) for s in text.split("\n")]
     is_prose = prose(lines)
-    carried = ""
+    carried, begun = "", False
     for no, (s, p) in enumerate(zip(lines, is_prose), 1):
         if not p:
             continue
@@ -289,7 +310,7 @@ def events_of(text: str, suspects, memo: Memo):
             head = raw.pop().rstrip(HYPHENS) if raw else ""
             after = next((x for x, q in zip(lines[no:], is_prose[no:]) if q), "")
             tail = after.split()[0] if after.split() else ""
-            if head and tail and is_prose[no : no + 1] == [True]:
+            if head and tail and is_letter(tail[0]) and is_prose[no : no + 1] == [True]:
                 carried = tail
                 if found := memo[head + tail]:
                     spots.append((len(raw), *found, len(CORE[head])))
@@ -299,8 +320,10 @@ def events_of(text: str, suspects, memo: Memo):
                     spots.append((len(raw), CORE[head], True, 0))
                 raw.append(head)
         for i, r in enumerate(raw):
-            if (found := memo[r]) and not (spots and spots[0][0] == i):
+            # a page's first word may be the rest of one broken over pages
+            if (found := memo[r]) and not (spots and spots[0][0] == i) and (begun or i or found[1]):
                 spots.append((i, *found, 0))
+        begun = begun or bool(raw)
         if spots:
             yield no, [CORE[r] or r for r in raw], spots
 
