@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import denoise, encode, leakage, repeated, split, visual, vocabulary
+from . import denoise, encode, leakage, repeated, split, truncation, visual, vocabulary
 from .common import read, spread
 
 PAGE = ("rec_id", "book", "origin", "text_md")
@@ -44,6 +44,22 @@ def p3_found(spark, d):
     return _noise(spark, d)[0]
 
 
+def _truncated(spark, d):
+    pages = read(spark, d, "page_text", "rec_id", "book", "page", "origin", "text_md")
+    layout = denoise.furniture(pages, read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title"))
+    left = repeated.repeated(pages).unionByName(layout.select("rec_id", "line_no"))
+    return truncation.truncated(pages, read(spark, d, "page_fields", "rec_id", "starts_mid_paragraph", "continues_next"), left)
+
+
+def p4_found(spark, d):
+    return _truncated(spark, d).select("rec_id")
+
+
+def p4_shares(spark, d):
+    """(origin, records, truncated, share): how often each origin truncates."""
+    return truncation.shares(read(spark, d, "page_text", "rec_id", "origin"), _truncated(spark, d))
+
+
 def p5_found(spark, d):
     return repeated.repeated(read(spark, d, "page_text", *PAGE))
 
