@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bargspark.session import ship
 
@@ -48,6 +52,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffles of what was just written are no longer needed; without a collection Spark would keep their files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     local = path.removeprefix("file://").removeprefix("file:")
     if os.path.isdir(local):
         atexit.register(shutil.rmtree, local, ignore_errors=True)
@@ -80,3 +87,18 @@ class Memo(dict):
             self.clear()
         self[key] = value = self.make(key)
         return value
+
+
+class Bits:
+    """A set of texts as a bit table of 2**power bits, for a broadcast of one size whatever the corpus."""
+
+    def __init__(self, words: DataFrame, power: int = 23):
+        # at most 2**power small numbers reach the driver: the positions that are set
+        at = words.select(F.expr(f"cast(pmod(crc32(encode({words.columns[0]}, 'utf-8')), {1 << power}) as int) AS bit")).distinct().toArrow()
+        bits = np.zeros(1 << power, bool)
+        bits[at.column("bit").to_numpy()] = True
+        self.table, self.mask = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1
+
+    def __contains__(self, text: str) -> bool:
+        i = zlib.crc32(text.encode("utf-8", "surrogatepass")) & self.mask
+        return bool(self.table[i >> 3] >> (i & 7) & 1)

@@ -26,7 +26,6 @@ import hashlib
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, keep, slices, spread
+from .common import Bits, Memo, keep, slices, spread
 from .visual import canonical
 
 # Letters of one base shape, hyphens of scans, marks around words, marks that scans take letters for, words beside page numbers.
@@ -48,6 +47,7 @@ PAGE_WORDS = ("صفحه", "صفحهٔ", "صفحۀ", "صفحه‌ی", "ص", "بر
 GROUP = {c: [str(i) for i, g in enumerate(SHAPES) if c in g] for c in "".join(SHAPES)}
 NOTE = re.compile(r"\[\^[^\]]*\]")
 BROKEN = re.compile(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n+")
+DIGIT = re.compile(r"\d")
 SENTENCE = re.compile(r"[.!?؟؛»](?:\s|$)")
 LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
 PAGE = re.compile(r"[\W_]*(?:(" + "|".join(map(re.escape, PAGE_WORDS)) + r")[\W_]*)?(\d+)[\W_]*", re.I)
@@ -58,21 +58,6 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class Bits:
-    """A set of texts as a bit table of 2**power bits, for a broadcast of one size whatever the corpus."""
-
-    def __init__(self, words: DataFrame, power: int = 23):
-        # at most 2**power small numbers reach the driver: the positions that are set
-        at = words.select(F.expr(f"cast(pmod(crc32(encode({words.columns[0]}, 'utf-8')), {1 << power}) as int) AS bit")).distinct().toArrow()
-        bits = np.zeros(1 << power, bool)
-        bits[at.column("bit").to_numpy()] = True
-        self.table, self.mask = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1
-
-    def __contains__(self, text: str) -> bool:
-        i = zlib.crc32(text.encode("utf-8", "surrogatepass")) & self.mask
-        return bool(self.table[i >> 3] >> (i & 7) & 1)
-
-
 # ---------------------------------------------------------------- words
 
 
@@ -182,7 +167,7 @@ def running_key(line: str, page: int | None):
     s = line.strip()
     if not s or s.startswith(("#", "|", ">", "```", "**", "[^")) or len(s) > 160 or LIST.match(s):
         return None
-    for i, pattern in enumerate(NUMBERED):
+    for i, pattern in enumerate(NUMBERED if DIGIT.search(s) else ()):
         if m := pattern.fullmatch(s):
             number, text = (m[1], m[2]) if i == 0 else (m[2], m[1])
             return text.strip(), page is not None and number.isdecimal() and int(number) == page
@@ -201,7 +186,7 @@ def blanked(text: str, doubtful: bool) -> list[str]:
 
 
 def page_number(line: str, page: int | None) -> bool:
-    m = PAGE.fullmatch(line.strip()) if page is not None and len(line) < 60 else None
+    m = PAGE.fullmatch(line.strip()) if page is not None and len(line) < 60 and DIGIT.search(line) else None
     return bool(m) and int(m[2]) == page
 
 
@@ -212,7 +197,7 @@ def scanned_books(books: DataFrame) -> DataFrame:
 def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats: int = 3, edge: int = 5, bits=None) -> DataFrame:
     """(rec_id, line_no, kind), each once: running lines and page numbers of the scanned and mixed books.
 
-    Titles are sought in every line, in the outer lines also with one word misread; repeated texts without a known title count
+    Titles are sought in every short line without sentences, in the outer lines also with one word misread; repeated texts without a known title count
     if they stand among the first or last `edge` lines of `repeats` pages."""
     ours = scanned_books(books)
     bits = bits or pages.sparkSession.sparkContext.broadcast(Bits(ours, 20))
@@ -228,8 +213,8 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
                 for j, (i, s) in enumerate(lines):
                     if page_number(s, p):
                         rows.append((k, i, b, p, 0, 2))
-                    elif (found := running_key(s, p)) and sum(map(str.isalpha, found[0])) > 2:
-                        near = (j < edge or len(lines) - j <= edge) and title_like(found[0])
+                    elif (found := running_key(s, p)) and title_like(found[0]) and sum(map(str.isalpha, found[0])) > 2:
+                        near = j < edge or len(lines) - j <= edge
                         rows.append((k, i, b, p, hash64(found[0]), 1 if found[1] and near else 0 if near else -1))
                         if near:
                             rows += [(k, i, b, p, hash64(x), 3) for x in blanked(found[0], True)]

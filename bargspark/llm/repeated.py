@@ -4,13 +4,14 @@ A rolling hash runs over the canonical characters of each line (see visual.py;
 numbers are one character), and a chunk ends wherever its low bits are zero. The
 window starts anew at each line, so equal lines fall into equal chunks and a
 line always is a whole number of chunks; a line break is a cut like any other.
-Distinct books are counted per origin and chunk over the whole corpus; a line
-can be repeated only if all its chunks are. The lines that remain are counted
-exactly, per origin and 128-bit digest of the whole line.
+Over the whole corpus the chunks found in several books of an origin are sought;
+a line can be repeated only if all its chunks are. For the lines that remain
+distinct books are counted exactly, per origin and 128-bit digest of the line.
 
-Counts are taken of distinct (origin, chunk, book), pre-aggregated before the
-shuffle, so an origin that holds a third of all rows is spread over all tasks by
-its chunks, and a line found everywhere leaves each task once per book.
+The search is pre-aggregated before its one shuffle, so an origin that holds a
+third of all rows is spread over all tasks by its chunks, and a chunk found
+everywhere leaves each task once. The chunks of several books are broadcast as a
+bit table of one size (Bits): beyond it more lines go to the exact count.
 
 Defined results: null and empty texts have no lines; records without origin or
 book take no part; lines of fewer than `letters` letters don't count.
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices, spread
+from .common import Bits, Memo, keep, slices, spread
 from .visual import canonical
 
 NUMBER = re.compile(r"\d+")
 #: The window of the rolling hash, and the bits of it that are zero at a cut: chunks have about 2**BITS characters.
-WINDOW, BITS = 8, 5
+WINDOW, BITS = 8, 6
 #: Fixed: the powers of the hash's base (arithmetic modulo 2**64).
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], np.uint64)
 
@@ -49,9 +50,8 @@ def chunk_hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     mixed = (code + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     rolling = np.zeros(len(code), np.uint64)
-    for i in range(WINDOW):
-        ok = place >= i
-        rolling[ok] += mixed[np.flatnonzero(ok) - i] * POWERS[i]
+    for i in range(min(WINDOW, len(code))):  # windows over the start of a line are never asked for
+        rolling[i:] += mixed[: len(code) - i] * POWERS[i]
     cut = (rolling >> np.uint64(64 - BITS) == 0) & (place >= WINDOW - 1)
     first = place == 0
     first[1:] |= cut[:-1]
@@ -73,12 +73,12 @@ def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
     """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters; chunks are 64-bit hashes, key is a digest of the line."""
 
     def run(batches):
-        for batch in slices(batches, "text_md"):
+        for batch in slices(batches, "text_md", 1 << 19):  # arrays that fit the processor's cache
             recs, nos, keys = [], [], []
             for i, text in enumerate(batch.column("text_md").to_pylist()):
                 # canonical() may join CR LF to one line end, never drop a line feed
                 for no, line in enumerate(canonical(text).split("\n") if "\r" not in text else map(canonical, text.split("\n")), 1):
-                    if len(line) >= letters and sum(map(str.isalpha, line)) >= letters:
+                    if len(line) >= letters and (sum(map(str.isalpha, line[: 2 * letters])) >= letters or sum(map(str.isalpha, line)) >= letters):
                         recs.append(i), nos.append(no), keys.append(line_key(line))
             hashes, line = chunk_hashes(keys)
             ends = np.searchsorted(line, np.arange(len(keys) + 1))
@@ -96,13 +96,21 @@ def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
 def repeated(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
     """(rec_id, line_no), each once: the lines found in records of at least `books` books of their origin."""
     all_lines = keep(lines(pages, letters), "p5-lines")
-    chunk = all_lines.select("origin", F.xxhash64("book").alias("book"), F.explode("chunks").alias("chunk"))
-    often = chunk.distinct().groupBy("origin", "chunk").count().where(F.col("count") >= books).select("origin", "chunk")
-    # a line's chunks that are often, against all it has; the rows of one line meet again by record and line
-    ours = all_lines.select("rec_id", "line_no", "origin", F.explode(F.array_distinct("chunks")).alias("chunk"), F.size(F.array_distinct("chunks")).alias("n"))
-    whole = ours.join(often, ["origin", "chunk"], "leftsemi").groupBy("rec_id", "line_no").agg(F.countDistinct("chunk").alias("k"), F.first("n").alias("n")).where("k >= n").select("rec_id", "line_no")
-    some = all_lines.join(whole, ["rec_id", "line_no"], "leftsemi").select("rec_id", "line_no", "origin", "book", "key")
-    sure = some.select("origin", "key", "book").distinct().groupBy("origin", "key").count().where(F.col("count") >= books)
+    place = F.xxhash64("origin", "chunk")
+    chunk = all_lines.select("origin", F.xxhash64("book").alias("book"), F.explode("chunks").alias("chunk")).select(place.alias("place"), "book")
+    # one shuffle: of each task at most one row per origin and chunk, with the least and the greatest book it saw
+    shared = chunk.groupBy("place").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
+    bits = pages.sparkSession.sparkContext.broadcast(Bits(shared.select(F.col("place").cast("string").alias("place"))))
+
+    def run(batches):
+        known = bits.value
+        hit = Memo(lambda h: str(h) in known)
+        for batch in batches:
+            yield batch.filter(pa.array([all(map(hit.__getitem__, x)) for x in batch.column("places").to_pylist()], pa.bool_()))
+
+    whole = all_lines.withColumn("places", F.transform("chunks", lambda c: F.xxhash64("origin", c))).select("rec_id", "line_no", "origin", "book", "key", "places")
+    some = keep(whole.mapInArrow(run, whole.schema).drop("places"), "p5-some")
+    sure = some.select("origin", "key", F.xxhash64("book").alias("book")).distinct().groupBy("origin", "key").count().where(F.col("count") >= books)
     return some.join(sure, ["origin", "key"], "leftsemi").select("rec_id", "line_no").distinct()
 
 
