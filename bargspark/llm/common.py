@@ -78,7 +78,7 @@ def slices(batches, column: str, limit: int = 8 << 20):
 class Memo(dict):
     """A dict that fills itself from a function and empties itself at `most` entries; a cache only, results never depend on it."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 60_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -96,7 +96,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "text_md"):
             for t in batch.column("text_md").to_pylist():
                 counts.update(BROKEN.sub("", canonical(t)).split())
-            if len(counts) > 300_000:
+            if len(counts) > 100_000:
                 yield out()
         yield out()
 
@@ -354,7 +354,7 @@ def pair_counts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
             for t in batch.column("text_md").to_pylist():
                 words = [w for r in BROKEN.sub("", canonical(t)).split() if (w := CORE[r])]
                 counts.update(x for x in map(" ".join, zip(words, words[1:])) if hit[x])
-            if len(counts) > 300_000:
+            if len(counts) > 100_000:
                 yield out()
         yield out()
 
