@@ -75,7 +75,7 @@ def word_bag(spark, d):
 @query(f"""WITH {S.T}, {S.bag_table('b', 't', 'rec_id', 'text_md')}, nrm AS (SELECT rec_id, sum(n * n)::DOUBLE AS nn FROM b GROUP BY rec_id),
     p AS (SELECT x.rec_id AS a_id, y.rec_id AS b_id FROM t x JOIN t y ON x.book = y.book AND x.page = y.page AND x.rec_id < y.rec_id WHERE x.text_md IS NOT NULL AND y.text_md IS NOT NULL),
     d AS (SELECT a_id, b_id, sum(a.n * b.n)::DOUBLE AS dot FROM p JOIN b a ON a.rec_id = a_id JOIN b ON b.rec_id = b_id AND b.w = a.w GROUP BY 1, 2)
-    SELECT a_id, b_id, round(coalesce(dot / (sqrt(x.nn) * sqrt(y.nn)), 0.0)::DECIMAL(20, 16), 4)::DOUBLE AS similarity FROM p LEFT JOIN d USING (a_id, b_id) LEFT JOIN nrm x ON x.rec_id = a_id LEFT JOIN nrm y ON y.rec_id = b_id""")
+    SELECT a_id, b_id, round(coalesce(dot / (sqrt(x.nn) * sqrt(y.nn)), 0.0)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS similarity FROM p LEFT JOIN d USING (a_id, b_id) LEFT JOIN nrm x ON x.rec_id = a_id LEFT JOIN nrm y ON y.rec_id = b_id""")
 def bag_cosine(spark, d):
     t = texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "book", "page", X.bag(F.col("text_md")).alias("bag"))
     a, b = t.select(F.col("rec_id").alias("a_id"), "book", "page", F.col("bag").alias("x")), t.select(F.col("rec_id").alias("b_id"), "book", "page", F.col("bag").alias("y"))
@@ -83,7 +83,7 @@ def bag_cosine(spark, d):
 
 
 @query(f"""WITH {S.T} SELECT rec_id, {S.count_of('text_md', 'A-Za-z')} AS latin, {S.count_of('text_md', '؀-ۿ')} AS persian, {S.count_of('text_md', 'يك')} AS arabic_codepoints,
-    round(coalesce({S.count_of('text_md', 'A-Za-z')}::DOUBLE / nullif({S.count_of('text_md', 'A-Za-z')} + {S.count_of('text_md', '؀-ۿ')}, 0), 0.0)::DECIMAL(20, 16), 4)::DOUBLE AS latin_ratio FROM t""")
+    round(coalesce({S.count_of('text_md', 'A-Za-z')}::DOUBLE / nullif({S.count_of('text_md', 'A-Za-z')} + {S.count_of('text_md', '؀-ۿ')}, 0), 0.0)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS latin_ratio FROM t""")
 def script_stats(spark, d):
     return validators.script(texts(spark, d)).select("rec_id", "latin", "persian", "arabic_codepoints", "latin_ratio")
 
@@ -153,7 +153,7 @@ _EVAL = f"""WITH {S.T}, {S.F},
     {S.bag_table('eb', 'e', 'rec_id', 'emb')}, {S.bag_table('tb', 'p', 'rec_id', 'text_md')},
     en AS (SELECT rec_id, sum(n) AS words, sum(n * n)::DOUBLE AS s FROM eb GROUP BY 1 HAVING sum(n) >= 25), tn AS (SELECT rec_id, sum(n) AS words, sum(n * n)::DOUBLE AS s FROM tb GROUP BY 1),
     dt AS (SELECT rec_id, sum(a.n * b.n)::DOUBLE AS dot FROM eb a JOIN tb b USING (rec_id, w) GROUP BY 1),
-    sm AS (SELECT rec_id, round(coalesce(dot / (sqrt(tn.s) * sqrt(en.s)), 0.0)::DECIMAL(20, 16), 4)::DOUBLE AS similarity, round((coalesce(tn.words, 0)::DOUBLE / en.words)::DECIMAL(20, 14), 3)::DOUBLE AS length_ratio FROM en LEFT JOIN tn USING (rec_id) LEFT JOIN dt USING (rec_id)),
+    sm AS (SELECT rec_id, round(coalesce(dot / (sqrt(tn.s) * sqrt(en.s)), 0.0)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS similarity, round((coalesce(tn.words, 0)::DOUBLE / en.words)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE AS length_ratio FROM en LEFT JOIN tn USING (rec_id) LEFT JOIN dt USING (rec_id)),
     w AS (SELECT rec_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT rec_id, {S.words('text_md')} AS ws FROM p WHERE length(text_md) > 200)),
     c AS (SELECT rec_id, w, count(*) AS n, min(i) AS i FROM w GROUP BY 1, 2),
     rep AS (SELECT rec_id FROM (SELECT rec_id, w, n, sum(n) OVER (PARTITION BY rec_id) AS total, row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, i) AS r FROM c) WHERE r = 1 AND length(w) > 2 AND n::DOUBLE / total > 0.25),
@@ -165,10 +165,10 @@ _EVAL = f"""WITH {S.T}, {S.F},
         CASE WHEN rec_id IN (SELECT rec_id FROM rep) THEN 'repetition' END, CASE WHEN similarity < 0.97 THEN 'embedded_mismatch' END,
         CASE WHEN length_ratio NOT BETWEEN 0.60 AND 1.60 THEN 'length_anomaly' END,
         CASE WHEN rec_id IN (SELECT rec_id FROM mh) THEN 'missing_heading' END, CASE WHEN rec_id IN (SELECT rec_id FROM eh) THEN 'embedded_heading_missing' END], lambda x: x IS NOT NULL) AS issues FROM s),
-    ev AS (SELECT *, round(greatest(0.0, least(1.0, CASE WHEN similarity IS NOT NULL THEN 0.5::DOUBLE * confidence + 0.5::DOUBLE * similarity ELSE confidence END - 0.1::DOUBLE * len(list_filter(issues, lambda x: x <> 'embedded_mismatch'))))::DECIMAL(20, 16), 4)::DOUBLE AS quality_score FROM i)"""
+    ev AS (SELECT *, round(greatest(0.0, least(1.0, CASE WHEN similarity IS NOT NULL THEN 0.5::DOUBLE * confidence + 0.5::DOUBLE * similarity ELSE confidence END - 0.1::DOUBLE * len(list_filter(issues, lambda x: x <> 'embedded_mismatch'))))::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS quality_score FROM i)"""
 
 
-@query(_EVAL + " SELECT rec_id, similarity, length_ratio, round(lr::DECIMAL(20, 16), 4)::DOUBLE AS latin_ratio, arabic_codepoints, array_to_string(issues, '|') AS issues, quality_score FROM ev")
+@query(_EVAL + " SELECT rec_id, similarity, length_ratio, round(lr::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS latin_ratio, arabic_codepoints, array_to_string(issues, '|') AS issues, quality_score FROM ev")
 def evaluate(spark, d):
     return evaluated(spark, d).select("rec_id", "similarity", "length_ratio", "latin_ratio", "arabic_codepoints", F.array_join("issues", "|").alias("issues"), "quality_score")
 
@@ -265,7 +265,7 @@ def event_features(spark, d):
     return history.event_features(events(spark, d))
 
 
-@query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::DECIMAL(20, 16), 6)::DOUBLE AS weight FROM wt")
+@query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS weight FROM wt")
 def feature_weights(spark, d):
     return history.feature_weights(events(spark, d)).withColumn("weight", F.round("weight", 6))
 
@@ -279,7 +279,7 @@ def _risk(spark, d):
     return best.join(history.risk(best, history.feature_weights(events(spark, d)), F.col("quality_score")), "rec_id")
 
 
-@query(f"{_EVAL}, {_BEST}, e2 AS (SELECT DISTINCT ON (event_id) * FROM qc_events), {_FEAT.replace(' FROM e)', ' FROM e2)')}, {_WEIGHT.replace(' FROM e)', ' FROM e2)')}, {_RISK} SELECT rec_id, round(risk::DECIMAL(20, 15), 6)::DOUBLE AS risk FROM rk")
+@query(f"{_EVAL}, {_BEST}, e2 AS (SELECT DISTINCT ON (event_id) * FROM qc_events), {_FEAT.replace(' FROM e)', ' FROM e2)')}, {_WEIGHT.replace(' FROM e)', ' FROM e2)')}, {_RISK} SELECT rec_id, round(risk::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS risk FROM rk")
 def risk_score(spark, d):
     return _risk(spark, d).select("rec_id", F.round("risk", 6).alias("risk"))
 
@@ -461,7 +461,7 @@ def _found(spark, d):
 _LAYOUT = f"WITH {S.T}, {S.Q}, {S.PRINT}, {S.SPANS}, {S.line_ranges('n')}, {S.HITS}"
 
 
-@query(f"{_LAYOUT} SELECT rec_id, qid, line, round(u0::DECIMAL(20, 16), 6)::DOUBLE AS u0, round(u1::DECIMAL(20, 16), 6)::DOUBLE AS u1 FROM ht")
+@query(f"{_LAYOUT} SELECT rec_id, qid, line, round(u0::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS u0, round(u1::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS u1 FROM ht")
 def layout_hits(spark, d):
     h = layout.hits(_found(spark, d), printed(spark, d)[0], "n", True)
     return h.select("rec_id", "qid", "line", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
@@ -527,7 +527,7 @@ def _draw(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["rec_id", "height", "width", "grey"])
 
 
-@query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::DECIMAL(20, 16), 6)::DOUBLE AS weight FROM wt")
+@query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS weight FROM wt")
 def streamed_weights(spark, d):
     """The feature weights again, of the log read as a stream."""
     import uuid
