@@ -22,7 +22,7 @@ def _keyed(df: DataFrame, pattern: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, root: str, book: str = "*") -> DataFrame:
     """(book, page, text_md): every numbered page text; originals kept aside and other files are left out. The file listing is pruned to the book."""
-    return _keyed(spark.read.option("wholetext", True).text(f"{root}/{book}/text/*.md").withColumnRenamed("value", "text_md"), r"/(\\d+)\\.md$")
+    return _keyed(spark.read.text(f"{root}/{book}/text/*.md", wholetext=True).withColumnRenamed("value", "text_md"), r"/(\\d+)\\.md$")
 
 
 def read_fields(spark: SparkSession, root: str, book: str = "*") -> DataFrame:
