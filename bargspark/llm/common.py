@@ -97,8 +97,51 @@ class Bits:
         at = words.select(F.expr(f"cast(pmod(crc32(encode({words.columns[0]}, 'utf-8')), {1 << power}) as int) AS bit")).distinct().toArrow()
         bits = np.zeros(1 << power, bool)
         bits[at.column("bit").to_numpy()] = True
-        self.table, self.mask = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1
+        self.table, self.mask, self._bits = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1, None
 
     def __contains__(self, text: str) -> bool:
         i = zlib.crc32(text.encode("utf-8", "surrogatepass")) & self.mask
         return bool(self.table[i >> 3] >> (i & 7) & 1)
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the CRC-32 values are of texts that may be in the set."""
+        if self._bits is None:
+            self._bits = np.unpackbits(np.frombuffer(self.table, np.uint8), bitorder="little").view(bool)
+        return self._bits[hashes & self.mask]
+
+    def __getstate__(self):
+        return {**self.__dict__, "_bits": None}
+
+
+class Numbers:
+    """The same of 64-bit numbers that are spread evenly, such as hashes or ids."""
+
+    def __init__(self, numbers: DataFrame, power: int = 23):
+        at = numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(1 << power)).cast("int").alias("bit")).distinct().toArrow()
+        bits = np.zeros(1 << power, bool)
+        bits[at.column("bit").to_numpy()] = True
+        self.table, self.mask = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1
+
+    def hits(self, values: np.ndarray) -> np.ndarray:
+        at = values & self.mask
+        return (np.frombuffer(self.table, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def of_numbers(df: DataFrame, column: str, numbers: Numbers, every: bool = False) -> DataFrame:
+    """The rows whose number may be in the set; of a column of arrays, those with any such element, or with nothing but such elements."""
+    shared = df.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            c = batch.column(column)
+            if pa.types.is_list(c.type):
+                ok = known.hits(c.flatten().to_numpy(zero_copy_only=False))
+                ends = np.concatenate([[0], np.cumsum(ok)])[np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)]))]
+                n, size = np.diff(ends), pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+                keep_ = (n == size) if every else n > 0
+            else:
+                keep_ = known.hits(c.to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(keep_))
+
+    return df.mapInArrow(run, df.schema)

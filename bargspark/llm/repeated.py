@@ -11,7 +11,7 @@ distinct books are counted exactly, per origin and 128-bit digest of the line.
 The search is pre-aggregated before its one shuffle, so an origin that holds a
 third of all rows is spread over all tasks by its chunks, and a chunk found
 everywhere leaves each task once. The chunks of several books are broadcast as a
-bit table of one size (Bits): beyond it more lines go to the exact count.
+bit table of one size (Numbers): beyond it more lines go to the exact count.
 
 Defined results: null and empty texts have no lines; records without origin or
 book take no part; lines of fewer than `letters` letters don't count.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Memo, keep, slices, spread
+from .common import Numbers, keep, of_numbers, slices, spread
 from .visual import canonical
 
 NUMBER = re.compile(r"\d+")
@@ -100,16 +100,9 @@ def repeated(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
     chunk = all_lines.select("origin", F.xxhash64("book").alias("book"), F.explode("chunks").alias("chunk")).select(place.alias("place"), "book")
     # one shuffle: of each task at most one row per origin and chunk, with the least and the greatest book it saw
     shared = chunk.groupBy("place").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
-    bits = pages.sparkSession.sparkContext.broadcast(Bits(shared.select(F.col("place").cast("string").alias("place"))))
-
-    def run(batches):
-        known = bits.value
-        hit = Memo(lambda h: str(h) in known)
-        for batch in batches:
-            yield batch.filter(pa.array([all(map(hit.__getitem__, x)) for x in batch.column("places").to_pylist()], pa.bool_()))
-
+    known = Numbers(shared.select("place"))
     whole = all_lines.withColumn("places", F.transform("chunks", lambda c: F.xxhash64("origin", c))).select("rec_id", "line_no", "origin", "book", "key", "places")
-    some = keep(whole.mapInArrow(run, whole.schema).drop("places"), "p5-some")
+    some = keep(of_numbers(whole, "places", known, every=True).drop("places"), "p5-some")
     sure = some.select("origin", "key", F.xxhash64("book").alias("book")).distinct().groupBy("origin", "key").count().where(F.col("count") >= books)
     return some.join(sure, ["origin", "key"], "leftsemi").select("rec_id", "line_no").distinct()
 
