@@ -26,6 +26,7 @@ import hashlib
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -343,7 +344,8 @@ def pair_counts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, counts = shared.value, Counter()
-        hit = Memo(bits.__contains__)
+        # CRC-32 goes on from word to word, so each word is hashed once and each pair only from its second word on
+        first, second = Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass"))), Memo(lambda w: b" " + w.encode("utf-8", "surrogatepass"))
 
         def out():
             t = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
@@ -353,7 +355,9 @@ def pair_counts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in slices(batches, "text_md"):
             for t in batch.column("text_md").to_pylist():
                 words = [w for r in BROKEN.sub("", canonical(t)).split() if (w := CORE[r])]
-                counts.update(x for x in map(" ".join, zip(words, words[1:])) if hit[x])
+                if len(words) > 1:
+                    crc = np.fromiter(map(zlib.crc32, map(second.__getitem__, words[1:]), map(first.__getitem__, words)), np.int64, len(words) - 1)
+                    counts.update(f"{words[i]} {words[i + 1]}" for i in np.flatnonzero(bits.hits(crc)))
             if len(counts) > 100_000:
                 yield out()
         yield out()
@@ -465,3 +469,90 @@ def noise(pages: DataFrame, books: DataFrame, chapters: DataFrame):
     text = misread_lines(fixed).select("rec_id", "line_no", F.lit("misread").alias("kind")).unionByName(events.where("words IS NULL").select("rec_id", "line_no", F.lit("broken_word").alias("kind")))
     placed = keep(placed, "p3-furniture")
     return placed.unionByName(text.join(placed, ["rec_id", "line_no"], "left_anti").distinct()), fixed
+
+
+# ---------------------------------------------------------------- repaired text
+
+
+def rebuilt(text: str, drop: set[int], fixes: list[dict]) -> tuple[list[str], bool]:
+    """(paragraphs, whether the last goes on inside a word): a page's text in canonical characters without furniture, misread words replaced, broken words and wrapped lines joined. Headings, verse, tables and lists keep their lines."""
+    lines = [canonical(s) for s in text.split("\n")]
+    is_prose = prose(lines)
+    put: dict[int, dict[str, str]] = defaultdict(dict)
+    for f in fixes:
+        if f["word"]:
+            put[f["line_no"]][f["was"]] = f["word"]
+            if f["part"]:
+                put[f["line_no"] + 1][f["was"]] = f["word"]
+    out: list[str] = []
+    open_, hanging = False, False
+    for no, (s, p) in enumerate(zip(lines, is_prose), 1):
+        if no in drop:
+            continue
+        if not p:
+            open_ = False
+            if s.strip():
+                out.append(s)
+            continue
+        s = s.strip()
+        if open_:
+            s = out.pop()[:-1] + s if hanging else out.pop() + " " + s
+        hanging = s[-1] in HYPHENS and len(s) > 1 and is_letter(s[-2])
+        if put[no]:  # once joined, a broken word is one token like any other
+            s = re.sub(r"\S+", lambda m: m[0].replace(w, put[no][w]) if (w := CORE[m[0]]) in put[no] else _edge(m[0], put[no]), s)
+        out.append(s)
+        open_ = True
+    return out, bool(out) and hanging and open_
+
+
+def _edge(token: str, put: dict[str, str]) -> str:
+    """A token whose first or last letter was taken for a mark."""
+    for was, word in put.items():
+        for c in EDGES:
+            if token.startswith(was + c) and word.startswith(was):
+                return word + token[len(was) + 1 :]
+            if c + was in token and word.endswith(was) and word != was:
+                return token.replace(c + was, word)
+    return token
+
+
+def paragraphs(pages: DataFrame, flags: DataFrame, furniture_and_text: DataFrame, fixed: DataFrame, books: DataFrame) -> DataFrame:
+    """(book, page, n, to_page, text): the paragraphs of the last attempt at each page of the scanned and mixed books.
+
+    A page's last paragraph takes in the first of the next page where it ends inside a word, or where both pages' flags say so; n counts from 1 on the page where a paragraph begins. The order of pages is kept by windows over rows without texts; only the parts of one paragraph meet."""
+    ours = scanned_books(books)
+    w = W.partitionBy("book", "page").orderBy(F.desc("attempt"), F.desc("rec_id"))
+    last = pages.select("rec_id", "book", "page", "attempt").dropDuplicates(["rec_id"]).join(ours, "book", "leftsemi").withColumn("r", F.row_number().over(w)).where("r = 1").select("rec_id", "book", "page")
+    drop = furniture_and_text.where("kind IN ('running_line', 'page_number')").groupBy("rec_id").agg(F.collect_set("line_no").alias("dropped"))
+    fixes = fixed.groupBy("rec_id").agg(F.collect_list(F.struct("line_no", "was", "word", "part")).alias("fixes"))
+    texts = pages.select("rec_id", "text_md").dropDuplicates(["rec_id"]).where(F.length("text_md") > 0)
+    rows = texts.join(last, "rec_id").join(drop, "rec_id", "left").join(fixes, "rec_id", "left")
+    names, types = ["rec_id", "book", "page", "n", "text", "hanging"], [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+
+    def run(batches):
+        for batch in slices(batches, "text_md"):
+            got = []
+            for r in batch.to_pylist():
+                parts, hanging = rebuilt(r["text_md"], set(r["dropped"] or ()), r["fixes"] or [])
+                got += [(r["rec_id"], r["book"], r["page"], n, t, hanging and n == len(parts)) for n, t in enumerate(parts, 1)]
+            columns = list(zip(*got)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    parts = keep(rows.select("rec_id", "book", "page", "text_md", "dropped", "fixes").mapInArrow(run, "rec_id bigint, book string, page int, n int, text string, hanging boolean"), "p3-parts")
+    markup = F.col("text").rlike(r"^\s*(#|\||>|```|\[\^|[-*•] |\d+[.)] )")
+    ends = parts.select("rec_id", "book", "page", "n", "hanging", markup.alias("markup")).groupBy("rec_id", "book", "page").agg(F.max("n").alias("last"), F.max("hanging").alias("hanging"), F.max_by("markup", "n").alias("last_markup"), F.min_by("markup", "n").alias("first_markup"))
+    said = flags.select("rec_id", "starts_mid_paragraph", "continues_next").dropDuplicates(["rec_id"])
+    by = W.partitionBy("book").orderBy("page")
+    ends = ends.join(said, "rec_id", "left")
+    joins = (F.lag("page").over(by) == F.col("page") - 1) & ~F.col("first_markup") & ~F.lag("last_markup").over(by) & (F.lag("hanging").over(by) | (F.lag("continues_next").over(by) & F.col("starts_mid_paragraph")))
+    ends = ends.withColumn("joins", F.coalesce(joins, F.lit(False)))
+    # a page of one paragraph that goes on passes the join through: the head is the last page before the run of joins that isn't such a page
+    through = ends.withColumn("starts", ~(F.col("joins") & (F.col("last") == 1)))
+    head = F.last(F.when(F.col("starts"), F.struct("page", "last")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    joined = through.withColumn("head", head).where("joins").select("rec_id", F.lit(1).alias("n"), F.col("head.page").alias("h_page"), F.col("head.last").alias("h_n"))
+    at = parts.join(joined, ["rec_id", "n"], "left").withColumn("h_page", F.coalesce("h_page", "page")).withColumn("h_n", F.coalesce("h_n", "n"))
+    whole = F.array_sort(F.collect_list(F.struct("page", "n", "text", "hanging")))
+    # a part that ends inside a word is marked by a null character and loses its hyphen when the next part comes
+    glue = F.aggregate("p", F.lit(""), lambda s, x: F.concat(F.regexp_replace(s, r"(?s).\x00$", ""), F.when((s == "") | s.endswith("\0"), "").otherwise(" "), x["text"], F.when(x["hanging"], "\0").otherwise("")))
+    got = at.groupBy("book", "h_page", "h_n").agg(whole.alias("p"), F.max("page").alias("to_page"))
+    return got.select("book", F.col("h_page").alias("page"), F.col("h_n").alias("n"), "to_page", F.regexp_replace(glue, r"\x00$", "").alias("text"))

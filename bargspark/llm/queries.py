@@ -44,6 +44,13 @@ def p3_found(spark, d):
     return _noise(spark, d)[0]
 
 
+def p3_paragraphs(spark, d):
+    """(book, page, n, to_page, text): the continuous paragraphs of the scanned and mixed books."""
+    found, fixed = _noise(spark, d)
+    pages = read(spark, d, "page_text", "rec_id", "book", "page", "attempt", "text_md")
+    return denoise.paragraphs(pages, read(spark, d, "page_fields", "rec_id", "starts_mid_paragraph", "continues_next"), found, fixed, read(spark, d, "books", "book", "source_type"))
+
+
 def _truncated(spark, d):
     pages = read(spark, d, "page_text", "rec_id", "book", "page", "origin", "text_md")
     layout = denoise.furniture(pages, read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title"))
