@@ -47,7 +47,7 @@ PAGE_WORDS = ("صفحه", "صفحهٔ", "صفحۀ", "صفحه‌ی", "ص", "بر
 
 GROUP = {c: [str(i) for i, g in enumerate(SHAPES) if c in g] for c in "".join(SHAPES)}
 NOTE = re.compile(r"\[\^[^\]]*\]")
-BROKEN = re.compile(rf"(?<=[^\W\d_])[{re.escape(HYPHENS)}][ \t]*\n+")
+BROKEN = re.compile(rf"(?<=[^\s{re.escape(HYPHENS)}])[{re.escape(HYPHENS)}][ \t]*\n+")
 DIGIT = re.compile(r"\d")
 SENTENCE = re.compile(r"[.!?؟؛»](?:\s|$)")
 LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
@@ -259,6 +259,12 @@ def prose(lines: list[str]) -> list[bool]:
     return out
 
 
+def breaks(line: str) -> bool:
+    """Whether a line ends inside a word: a hyphen without a space before it, after a word of the script."""
+    end = line.rstrip()
+    return len(end) > 1 and end[-1] in HYPHENS and not end[-2].isspace() and end[-2] not in HYPHENS and bool(CORE[end.rsplit(None, 1)[-1].rstrip(HYPHENS)])
+
+
 def form_of(raw: str, suspects) -> tuple[str, bool] | None:
     """(form, sure) of a token that may be misread: a word with a foreign character surely is."""
     w = CORE[raw]
@@ -291,19 +297,19 @@ def events_of(text: str, suspects, memo: Memo):
         carried = ""
         words, spots = [], []
         end = s.rstrip()
-        if raw and len(end) > 1 and end[-1] in HYPHENS and is_letter(end[-2]) or len(end) > 2 and end[-1] in HYPHENS and end[-2] == "‌" and is_letter(end[-3]):
+        if breaks(s):
             yield no, None, None
-            head = raw.pop().rstrip(HYPHENS) if raw else ""
+            head = raw.pop().rstrip(HYPHENS).lstrip(OUTER) if raw else ""  # a mark at its end may be a letter
             after = next((x for x, q in zip(lines[no:], is_prose[no:]) if q), "")
             tail = after.split()[0] if after.split() else ""
             if head and tail and is_letter(tail[0]) and is_prose[no : no + 1] == [True]:
                 carried = tail
                 if found := memo[head + tail]:
-                    spots.append((len(raw), *found, len(CORE[head])))
+                    spots.append((len(raw), *found, len(head)))
                 raw.append(head + tail)
             elif head:
-                if foreign(CORE[head]):
-                    spots.append((len(raw), CORE[head], True, 0))
+                if foreign(head):
+                    spots.append((len(raw), head, True, 0))
                 raw.append(head)
         for i, r in enumerate(raw):
             # a page's first word may be the rest of one broken over pages
@@ -493,16 +499,17 @@ def rebuilt(text: str, drop: set[int], fixes: list[dict]) -> tuple[list[str], bo
             open_ = False
             if s.strip():
                 out.append(s)
+                hanging = False
             continue
         s = s.strip()
         if open_:
             s = out.pop()[:-1] + s if hanging else out.pop() + " " + s
-        hanging = s[-1] in HYPHENS and len(s) > 1 and is_letter(s[-2])
+        hanging = breaks(s)
         if put[no]:  # once joined, a broken word is one token like any other
             s = re.sub(r"\S+", lambda m: m[0].replace(w, put[no][w]) if (w := CORE[m[0]]) in put[no] else _edge(m[0], put[no]), s)
         out.append(s)
         open_ = True
-    return out, bool(out) and hanging and open_
+    return out, hanging
 
 
 def _edge(token: str, put: dict[str, str]) -> str:
@@ -517,13 +524,13 @@ def _edge(token: str, put: dict[str, str]) -> str:
 
 
 def paragraphs(pages: DataFrame, flags: DataFrame, furniture_and_text: DataFrame, fixed: DataFrame, books: DataFrame) -> DataFrame:
-    """(book, page, n, to_page, text): the paragraphs of the last attempt at each page of the scanned and mixed books.
+    """(book, page, n, to_page, text): the paragraphs of the last attempt at each page of the scanned and mixed books, without running lines, page numbers and lines of the kind `origin_line`.
 
     A page's last paragraph takes in the first of the next page where it ends inside a word, or where both pages' flags say so; n counts from 1 on the page where a paragraph begins. The order of pages is kept by windows over rows without texts; only the parts of one paragraph meet."""
     ours = scanned_books(books)
     w = W.partitionBy("book", "page").orderBy(F.desc("attempt"), F.desc("rec_id"))
     last = pages.select("rec_id", "book", "page", "attempt").dropDuplicates(["rec_id"]).join(ours, "book", "leftsemi").withColumn("r", F.row_number().over(w)).where("r = 1").select("rec_id", "book", "page")
-    drop = furniture_and_text.where("kind IN ('running_line', 'page_number')").groupBy("rec_id").agg(F.collect_set("line_no").alias("dropped"))
+    drop = furniture_and_text.where("kind IN ('running_line', 'page_number', 'origin_line')").groupBy("rec_id").agg(F.collect_set("line_no").alias("dropped"))
     fixes = fixed.groupBy("rec_id").agg(F.collect_list(F.struct("line_no", "was", "word", "part")).alias("fixes"))
     texts = pages.select("rec_id", "text_md").dropDuplicates(["rec_id"]).where(F.length("text_md") > 0)
     rows = texts.join(last, "rec_id").join(drop, "rec_id", "left").join(fixes, "rec_id", "left")

@@ -47,7 +47,8 @@ def p3_found(spark, d):
 def p3_paragraphs(spark, d):
     """(book, page, n, to_page, text): the continuous paragraphs of the scanned and mixed books."""
     found, fixed = _noise(spark, d)
-    pages = read(spark, d, "page_text", "rec_id", "book", "page", "attempt", "text_md")
+    pages = read(spark, d, "page_text", "rec_id", "book", "page", "attempt", "origin", "text_md")
+    found = found.unionByName(repeated.repeated(pages).withColumn("kind", F.lit("origin_line")))
     return denoise.paragraphs(pages, read(spark, d, "page_fields", "rec_id", "starts_mid_paragraph", "continues_next"), found, fixed, read(spark, d, "books", "book", "source_type"))
 
 
