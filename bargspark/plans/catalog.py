@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bargspark.functions import measures as M
 from bargspark.functions import text as X
-from bargspark.operators import diffing, history, layout, markdown, matching, pages, scans, validators
+from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, scans, validators
 from bargspark.session import ship
 
 from . import sql as S
@@ -527,6 +527,49 @@ def _draw(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["rec_id", "height", "width", "grey"])
 
 
+@query(f"""WITH {S.T}, p AS (SELECT rec_id, text_md FROM t WHERE text_md IS NOT NULL), {S.kinds('p')},
+    ws AS (SELECT rec_id, line::INT AS line, unnest(range(len(w)))::INT AS span, unnest(w) AS text, CASE WHEN kind IN ('h1', 'h2', 'h3') THEN 14.04 ELSE 11.02 END AS size, CASE WHEN kind = 'note' THEN 16 ELSE 0 END AS flags FROM (SELECT rec_id, line, kind, {S.words('raw')} AS w FROM kind)),
+    sz AS (SELECT rec_id, round(size, 1) AS size, sum(length(text)) AS n, min(line * 100000 + span) AS f FROM ws GROUP BY ALL), bd AS (SELECT rec_id, size AS body FROM sz QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, f) = 1),
+    li AS (SELECT rec_id, line, string_agg(text, '' ORDER BY span) AS text, min((flags & 16 <> 0)::INT) AS bold, max(round(size, 1)) AS top FROM ws GROUP BY 1, 2)
+    SELECT rec_id, line, text FROM li JOIN bd USING (rec_id) WHERE (bold = 1 OR top > 1.15 * body) AND length(text) BETWEEN 2 AND 60 AND regexp_matches(text, '[^\\p{{Nd}}\\p{{P}}\\p{{S}}\\s]')""")
+def heading_candidates(spark, d):
+    """Of a text layer in which headings are set larger and notes bold, a span for each word."""
+    k = markdown.classified(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
+    size = F.when(F.col("kind").isin("h1", "h2", "h3"), 14.04).otherwise(11.02)
+    spans = k.select("rec_id", "line", F.posexplode(X.words(F.col("raw"))).alias("span", "text"), size.alias("size"), F.when(F.col("kind") == "note", 16).otherwise(0).alias("flags"))
+    return headings.candidates(spans)
+
+
+@query(f"""{_STITCH}, h AS (SELECT rec_id, block, items[1] AS t, kind FROM cp WHERE kind = 'h1') SELECT rec_id, block, '1' AS level, t AS heading FROM h WHERE NOT contains(t, '[^') AND NOT contains(t, '*') AND NOT contains(t, '&') AND NOT contains(t, '<') AND NOT contains(t, '>')""")
+def html_headings(spark, d):
+    """The headings of level 1 as the XHTML has them, where it has no markup inside."""
+    last = last_texts(spark, d)
+    b = _stitched(spark, d)
+    x = markdown.xhtml(b, markdown.references(b, markdown.notes(last.select("rec_id", "text_md"))))
+    got = x.select("rec_id", F.col("block").cast("int").alias("block"), F.regexp_extract("html", "<h([123])[^>]*>", 1).alias("level"), F.regexp_extract("html", "(?s)<h[123][^>]*>(.*?)</h[123]>", 1).alias("heading"))
+    return got.where("level = '1' AND NOT heading RLIKE '[<>*&]' AND NOT contains(heading, '[^')")
+
+
+def _tiers(spark, d):
+    lines, words = printed(spark, d)
+    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
+    by_words = matched_boxes(spark, d).withColumn("source", F.lit("match"))
+    by_lines = layout.boxes(layout.word_extents(layout.hits(_found(spark, d), lines, "n", True), words), size, "layout")
+    return layout.placed(by_words, by_lines)
+
+
+@query()
+def located(spark, d):
+    """(rec_id, qid, x0, y0, x1, y1, source): each snippet's box by the first tier that has one."""
+    return _tiers(spark, d).select("rec_id", "qid", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "source")
+
+
+@query()
+def tier_counts(spark, d):
+    """(source, n): how many snippets each tier placed, null for those without a box."""
+    return _snippets(spark, d).select("rec_id", "qid").join(_tiers(spark, d).select("rec_id", "qid", "source"), ["rec_id", "qid"], "left").groupBy("source").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS weight FROM wt")
 def streamed_weights(spark, d):
     """The feature weights again, of the log read as a stream."""

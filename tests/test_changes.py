@@ -131,3 +131,24 @@ def test_layout(spark):
     words = spark.createDataFrame([(1, 0, w, 5, 90.0 - 50 * w, 20.0, 100.0 - 50 * w, 32.0) for w in range(2)], "rec_id bigint, line int, word int, chars int, x0 double, y0 double, x1 double, y1 double")
     got = layout.word_extents(spark.createDataFrame([(1, 1, 0, 0.0, 0.4), (1, 2, 0, 0.6, 1.0), (1, 3, 0, 1.0, 1.0)], "rec_id bigint, qid bigint, line int, u0 double, u1 double"), words).collect()
     assert {(r.qid, r.x0) for r in got} == {(1, 90.0), (2, 40.0), (3, 40.0)}
+
+
+def test_refined(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    as_row = lambda r: {"rect": dict(zip(("x0", "y0", "x1", "y1"), r["rect"])), "words": [dict(zip(("x0", "y0", "x1", "y1"), w)) for w in r["words"]]}
+    lines = [as_row(r) for r in LINES]
+    rows = [(1, 1, ["پنجره ستاره"], 1, 1, lines, None, None), (1, 2, ["کتاب خانه"], 1, 1, lines, None, None), (1, 3, ["هرگز چنین نبود"], 0, 0, lines, 1.0, 1.0), (2, 4, ["x"], 0, 0, None, None, None)]
+    rect = "struct<x0: double, y0: double, x1: double, y1: double>"
+    df = spark.createDataFrame(rows, f"rec_id bigint, qid bigint, variants array<string>, low int, high int, lines array<struct<rect: {rect}, words: array<{rect}>>>, prior_x double, prior_y double").coalesce(1)
+
+    def crop(k, ls, a, b):
+        return f"{a}-{b}".encode()
+
+    def read(images):
+        with open(calls, "a") as f:
+            f.write(" ".join(x.decode() for x in images) + "\n")
+        return [READ[int(x.split(b"-")[0]) : int(x.split(b"-")[1]) + 1] for x in images]
+
+    got = {r.qid: r.segments for r in A.refined(df, read, crop).collect()}
+    assert len(got[1]) == 1 and got[1][0].y0 == 130.0 and got[2][0].y0 == 100.0 and got[3] is None and got[4] is None
+    assert open(calls).read().split() == ["0-1", "0-2", "0-2"]

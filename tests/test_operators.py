@@ -176,3 +176,30 @@ def test_top_word(spark):
     got = [r.v for r in df.select(validators.top_word(F.col("t")).alias("v")).collect()]
     assert (got[0].w, got[0].n) == ("b", 2)
     assert Counter("b a b a c".split()).most_common(1)[0] == ("b", 2)
+
+
+def test_heading_candidates(spark):
+    from bargspark.operators import headings
+
+    rows = [(1, 0, 0, "عنوان ", 14.0, 0), (1, 0, 1, " ", 30.0, 0), (1, 1, 0, "متن بدنه که بلند است", 11.04, 0), (1, 2, 0, "پررنگ", 11.0, 16), (1, 2, 1, " هم", 11.0, 20), (1, 3, 0, "نیمه", 11.0, 16), (1, 3, 1, "پررنگ", 11.0, 0), (1, 4, 0, "۱۲.", 20.0, 0), (1, 5, 0, "ا", 20.0, 0), (1, 6, 0, "ب" * 61, 20.0, 0), (2, 0, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, line int, span int, text string, size double, flags int")
+    body = df.union(spark.createDataFrame([(1, 9, 0, "بدنه " * 40, 11.0, 0)], df.schema))
+    assert {tuple(r) for r in headings.candidates(body).collect()} == {(1, 0, "عنوان"), (1, 2, "پررنگ هم")}
+    assert headings.candidates(df.limit(0)).count() == 0
+
+
+def test_build(spark, tmp_path):
+    import zipfile
+
+    from bargspark.plans import build
+
+    books = spark.createDataFrame([("b", "کتاب", None)], "book string, title_fa string, author_fa string")
+    out = str(tmp_path / "out")
+    build.build(book(spark), books, out)
+    z = zipfile.ZipFile(out + "/b.epub")
+    assert [n for n in z.namelist() if "chap" in n] == ["OEBPS/chap_001.xhtml", "OEBPS/chap_002.xhtml"]
+    assert "<dc:title>کتاب</dc:title><dc:creator>Unknown</dc:creator>" in z.read("OEBPS/content.opf").decode()
+    listed = spark.createDataFrame([("b", 0, "یکم", 2), ("b", 1, None, 7)], "book string, idx int, title string, start_page int")
+    got = {r.chapter: (r.chapter_title, r.body) for r in build.chapters(book(spark), books, listed).collect()}
+    # the paragraph of pages 1 to 4 begins on page 1, before the first chapter
+    assert set(got) == {0, 1, 2} and got[0][0] == "فصل" and "میانه" in got[0][1] and got[1][0] == "یکم" and got[2][0] == "دو"
