@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Bits, Memo, keep, slices, spread
-from .visual import canonical
+from .visual import canonical, canonical_lines
 
 # Letters of one base shape, hyphens of scans, marks around words, marks that scans take letters for, words beside page numbers.
 SHAPES = ["بپتثن", "جچحخ", "دذ", "رزژ", "سش", "صض", "طظ", "عغ", "فق", "کگ", "نی"]
@@ -210,7 +210,7 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
             for k, b, p, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "text_md"))):
                 if b not in known:
                     continue
-                lines = [(i, s) for i, s in enumerate(map(canonical, t.split("\n")), 1) if s.strip()]
+                lines = [(i, s) for i, s in enumerate(canonical_lines(t), 1) if s.strip()]
                 for j, (i, s) in enumerate(lines):
                     if page_number(s, p):
                         rows.append((k, i, b, p, 0, 2))
@@ -285,7 +285,7 @@ def form_of(raw: str, suspects) -> tuple[str, bool] | None:
 
 def events_of(text: str, suspects, memo: Memo):
     """The broken words and the lines with doubtful words of a text: (line_no, None, None) and (line_no, words, [(place, form, sure, length of the part on this line or 0)])."""
-    lines = [canonical(s) for s in text.split("\n")]
+    lines = canonical_lines(text)
     is_prose = prose(lines)
     carried, begun = "", False
     for no, (s, p) in enumerate(zip(lines, is_prose), 1):
@@ -482,7 +482,7 @@ def noise(pages: DataFrame, books: DataFrame, chapters: DataFrame):
 
 def rebuilt(text: str, drop: set[int], fixes: list[dict]) -> tuple[list[str], bool]:
     """(paragraphs, whether the last goes on inside a word): a page's text in canonical characters without furniture, misread words replaced, broken words and wrapped lines joined. Headings, verse, tables and lists keep their lines."""
-    lines = [canonical(s) for s in text.split("\n")]
+    lines = canonical_lines(text)
     is_prose = prose(lines)
     put: dict[int, dict[str, str]] = defaultdict(dict)
     for f in fixes:

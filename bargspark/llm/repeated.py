@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Numbers, keep, of_numbers, slices, spread
-from .visual import canonical
+from .visual import canonical_lines
 
 NUMBER = re.compile(r"\d+")
 #: The window of the rolling hash, and the bits of it that are zero at a cut: chunks have about 2**BITS characters.
@@ -76,8 +76,7 @@ def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
         for batch in slices(batches, "text_md", 1 << 19):  # arrays that fit the processor's cache
             recs, nos, keys = [], [], []
             for i, text in enumerate(batch.column("text_md").to_pylist()):
-                # canonical() may join CR LF to one line end, never drop a line feed
-                for no, line in enumerate(canonical(text).split("\n") if "\r" not in text else map(canonical, text.split("\n")), 1):
+                for no, line in enumerate(canonical_lines(text), 1):
                     if len(line) >= letters and (sum(map(str.isalpha, line[: 2 * letters])) >= letters or sum(map(str.isalpha, line)) >= letters):
                         recs.append(i), nos.append(no), keys.append(line_key(line))
             hashes, line = chunk_hashes(keys)

@@ -126,6 +126,11 @@ def canonical(text: str | None) -> str | None:
     return "\n".join([" ".join(map(get, line.split(" "))) for line in text.split("\n")])
 
 
+def canonical_lines(text: str) -> list[str]:
+    """The canonical forms of what line feeds separate; a carriage return never makes a line of its own here."""
+    return list(map(canonical, text.split("\n"))) if "\r" in text else canonical(text).split("\n")
+
+
 #: Fixed: what the collation ignores or equates although it differs in print, and a private character for each.
 GUARDED = {0x200C: 0xE00C, 0x200D: 0xE00D, 0x640: 0xE640} | {d: 0xE000 + d for d in (*range(0x660, 0x66A), *range(0x6F0, 0x6FA))}
 

@@ -95,7 +95,7 @@ def mapping(values: DataFrame, vocab: DataFrame, least: float = 0.45, margin: fl
     own = own.withColumn("len", F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("field", "value", "view"))))
     scored = own.join(index, ["field", "gram"]).groupBy("field", "value", "view", "code", "form").agg(F.sum(F.col("x") / F.col("len") * F.col("y")).alias("score"))
     scored = scored.withColumn("off", F.levenshtein("view", "form") / F.greatest(F.length("view"), F.length("form")))
-    best = scored.groupBy("field", "value", "code").agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("off")).alias("near"))).alias("b"))
+    best = scored.groupBy("field", "value", "code").agg(F.struct(F.round(F.max("score"), 6).alias("score"), (-F.min("off")).alias("near")).alias("b"))
     all_codes = W.partitionBy("field", "value")
     order = all_codes.orderBy(F.desc("b.score"), F.desc("b.near"), "code")
     ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("b.score").over(order))
