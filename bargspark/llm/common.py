@@ -127,21 +127,32 @@ class Numbers:
         return (np.frombuffer(self.table, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
-def of_numbers(df: DataFrame, column: str, numbers: Numbers, every: bool = False) -> DataFrame:
-    """The rows whose number may be in the set; of a column of arrays, those with any such element, or with nothing but such elements."""
+def _list_hits(c: pa.Array, known: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """(which elements hit, end of each list among the elements, from 0)."""
+    sizes = pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    return known.hits(c.flatten().to_numpy(zero_copy_only=False)), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def of_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
+    """The rows whose number may be in the set, or whose array holds no number that can't be. Only the column goes to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(numbers)
+
+    def hit(c: pa.Array) -> pa.Array:
+        if not pa.types.is_list(c.type):
+            return pa.array(shared.value.hits(c.to_numpy(zero_copy_only=False)))
+        ok, ends = _list_hits(c, shared.value)
+        n = np.diff(np.concatenate([[0], np.cumsum(ok)])[ends])
+        return pa.array(n == np.diff(ends))
+
+    return df.where(F.arrow_udf(hit, "boolean")(column))
+
+
+def only_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
+    """The array less the numbers that can't be in the set."""
     shared = df.sparkSession.sparkContext.broadcast(numbers)
 
-    def run(batches):
-        known = shared.value
-        for batch in batches:
-            c = batch.column(column)
-            if pa.types.is_list(c.type):
-                ok = known.hits(c.flatten().to_numpy(zero_copy_only=False))
-                ends = np.concatenate([[0], np.cumsum(ok)])[np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)]))]
-                n, size = np.diff(ends), pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
-                keep_ = (n == size) if every else n > 0
-            else:
-                keep_ = known.hits(c.to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(keep_))
-
-    return df.mapInArrow(run, df.schema)
+    def part(c: pa.Array) -> pa.Array:
+        ok, ends = _list_hits(c, shared.value)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok)])[ends].astype(np.int32)), c.flatten().filter(pa.array(ok)))
+
+    return df.withColumn(column, F.arrow_udf(part, "array<bigint>")(column))

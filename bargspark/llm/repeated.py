@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbers, keep, of_numbers, slices, spread
+from .common import Memo, Numbers, keep, of_numbers, slices, spread
 from .visual import canonical_lines
 
 NUMBER = re.compile(r"\d+")
@@ -70,9 +70,10 @@ def chunk_hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
-    """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters; chunks are 64-bit hashes, key is a digest of the line."""
+    """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters; chunks are 64-bit hashes of origin and chunk, key is a digest of the line."""
 
     def run(batches):
+        sources = Memo(lambda o: int.from_bytes(hashlib.blake2b(o.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
         for batch in slices(batches, "text_md", 1 << 19):  # arrays that fit the processor's cache
             recs, nos, keys = [], [], []
             for i, text in enumerate(batch.column("text_md").to_pylist()):
@@ -80,6 +81,9 @@ def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
                     if len(line) >= letters and (sum(map(str.isalpha, line[: 2 * letters])) >= letters or sum(map(str.isalpha, line)) >= letters):
                         recs.append(i), nos.append(no), keys.append(line_key(line))
             hashes, line = chunk_hashes(keys)
+            if len(hashes):
+                own = np.array([sources[o] for o in batch.column("origin").to_pylist()], np.uint64)[np.array(recs)[line]]
+                hashes = ((hashes.view(np.uint64) ^ own) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
             ends = np.searchsorted(line, np.arange(len(keys) + 1))
             digests = pa.array([hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys], pa.binary())
             take = pa.array(recs, pa.int32())
@@ -95,20 +99,17 @@ def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
 def repeated(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
     """(rec_id, line_no), each once: the lines found in records of at least `books` books of their origin."""
     all_lines = keep(lines(pages, letters), "p5-lines")
-    place = F.xxhash64("origin", "chunk")
-    chunk = all_lines.select("origin", F.xxhash64("book").alias("book"), F.explode("chunks").alias("chunk")).select(place.alias("place"), "book")
+    chunk = all_lines.select(F.explode("chunks").alias("chunk"), F.xxhash64("book").alias("book"))
     # one shuffle: of each task at most one row per origin and chunk, with the least and the greatest book it saw
-    shared = chunk.groupBy("place").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
-    known = Numbers(shared.select("place"))
-    whole = all_lines.withColumn("places", F.transform("chunks", lambda c: F.xxhash64("origin", c))).select("rec_id", "line_no", "origin", "book", "key", "places")
-    some = keep(of_numbers(whole, "places", known, every=True).drop("places"), "p5-some")
+    shared = chunk.groupBy("chunk").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
+    some = keep(of_numbers(all_lines, "chunks", Numbers(shared.select("chunk"))).drop("chunks"), "p5-some")
     sure = some.select("origin", "key", F.xxhash64("book").alias("book")).distinct().groupBy("origin", "key").count().where(F.col("count") >= books)
     return some.join(sure, ["origin", "key"], "leftsemi").select("rec_id", "line_no").distinct()
 
 
 def without(pages: DataFrame, found: DataFrame, key: str = "rec_id") -> DataFrame:
     """Every record once, with `text_md` less the lines found and `n_cut`, how many they were."""
-    cut = found.groupBy(key).agg(F.sort_array(F.collect_set("line_no")).alias("cut"))  # at most the lines of one text
+    cut = found.groupBy(key).agg(F.sort_array(F.collect_set("line_no")).alias("__cut"))  # at most the lines of one text
     once = pages.dropDuplicates([key])
-    kept = F.array_join(F.filter(F.split("text_md", "\n"), lambda _, i: ~F.array_contains("cut", i + 1)), "\n")
-    return once.join(cut, key, "left").withColumn("text_md", F.when(F.col("cut").isNull(), F.col("text_md")).otherwise(kept)).withColumn("n_cut", F.coalesce(F.size("cut"), F.lit(0))).drop("cut")
+    kept = F.array_join(F.filter(F.split("text_md", "\n"), lambda _, i: ~F.array_contains("__cut", i + 1)), "\n")
+    return once.join(cut, key, "left").withColumn("text_md", F.when(F.col("__cut").isNull(), F.col("text_md")).otherwise(kept)).withColumn("n_cut", F.coalesce(F.size("__cut"), F.lit(0))).drop("__cut")

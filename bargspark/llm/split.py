@@ -105,7 +105,7 @@ def cut(enc: Encoder, text: str, limit: int, overlap: int):
         first = int(byte[start])
         while first and raw[first] & 0xC0 == 0x80:
             first -= 1
-        out.append((start, int(end), first, int(byte[end]), KINDS[kind[end]]))
+        out.append((start, int(end), first, int(byte[end]), "end" if end == total else KINDS[kind[end]]))
     return out
 
 

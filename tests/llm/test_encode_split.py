@@ -82,5 +82,5 @@ def test_pieces(spark):
     assert {r.doc_id for r in got} <= {1, 5} and len(mine) > 2
     assert mine[-1].tok_end == len(ids) and all(r.n_tokens <= 2048 for r in got)
     assert all(b.tok_start == a.tok_end - 128 for a, b in zip(mine, mine[1:]))
-    assert {r.ends_at for r in mine[:-1]} == {"paragraph"}
+    assert {r.ends_at for r in mine[:-1]} == {"paragraph"} and mine[-1].ends_at == "end"
     assert S.pieces(df.limit(0)).count() == 0
