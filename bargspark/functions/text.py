@@ -57,7 +57,7 @@ def normalize(text: Column) -> Column:
 
 def bag_words(text: Column) -> Column:
     """Words of two or more letters, the letters of each sorted: equal for words whose letters an extractor reordered."""
-    t = F.regexp_replace(F.regexp_replace(text, JOINERS, " "), VOWELS, "")
+    t = F.regexp_replace(F.regexp_replace(text, JOINERS, " "), VOWELS + "+", "")
     t = F.regexp_replace(F.translate(t, BAG_FOLD[0] + KASHIDA, BAG_FOLD[1]), BAG_DROP, " ")
     long = F.filter(words(t), lambda w: F.length(w) >= 2)
     return F.transform(long, lambda w: F.array_join(F.array_sort(F.split(w, "")), ""))
@@ -76,7 +76,7 @@ def runs(ordered: Column) -> Column:
 
 
 def count_of(text: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{char_class}]", ""))
+    return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))  # whole runs: one replacement each
 
 
 def heading_lines(text: Column) -> Column:
@@ -87,7 +87,7 @@ def heading_lines(text: Column) -> Column:
 def countable(text: Column) -> Column:
     """Number of characters that are also in print: no notes' marks, Markdown signs and white space."""
     t = F.regexp_replace(text, r"\[\^[^\]]{1,10}\]", "")
-    return F.length(F.regexp_replace(F.regexp_replace(t, r"[#>*_`|~\[\]]", ""), WHITE, ""))
+    return F.length(F.regexp_replace(F.regexp_replace(t, r"[#>*_`|~\[\]]+", ""), f"{WHITE}+", ""))
 
 
 def slug(name: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bargspark.functions import text as X
 from bargspark.operators import markdown
+from bargspark.session import keep
 from bargspark.sources import epub
 
 
@@ -23,7 +24,9 @@ def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None
         first = b.groupBy("para").agg(F.min("page").alias("page"))
         placed = b.withColumnRenamed("page", "own_page").join(first, "para").join(at, ["book", "page"], "left").join(has, "book", "left")
         b = placed.withColumn("chapter", F.when(F.col("has_list"), F.coalesce("by_page", F.lit(0))).otherwise(F.col("chapter"))).drop("page", "by_page", "has_list").withColumnRenamed("own_page", "page")
+    b = keep(b, "blocks")
     refs = markdown.references(b, markdown.notes(clean.select("rec_id", "text_md")))
+    refs = keep(refs, "references")
     body = markdown.chapter_bodies(markdown.xhtml(b, refs), refs)
     named = b.where("kind = 'h1'").groupBy("book", "chapter").agg(F.min_by(F.get("items", F.lit(0)), F.struct("page", "block")).alias("heading"))
     out = body.join(named, ["book", "chapter"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bargspark.functions import measures as M
 from bargspark.functions import text as X
 from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, scans, validators
-from bargspark.session import ship
+from bargspark.session import keep, ship
 
 from . import sql as S
 
@@ -237,6 +237,11 @@ _BEST = "best AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY book,
 
 
 def _best(spark, d):
+    """The better attempt at each page, without texts; kept, as selections use it several times."""
+    return keep(_better(spark, d), "best")
+
+
+def _better(spark, d):
     return pages.keep_better(evaluated(spark, d).select("book", "page", "rec_id", "attempt", "quality_score", "issues", "is_blank", "model_used", "flags", "confidence"), F.col("quality_score"), "attempt", "rec_id")
 
 
@@ -389,8 +394,8 @@ def footnotes(spark, d):
 
 def _bodies(spark, d):
     last = last_texts(spark, d).withColumn("text_md", X.normalize(F.col("text_md")))
-    b = markdown.chapters_by_heading(markdown.stitched(last))
-    refs = markdown.references(b, markdown.notes(last.select("rec_id", "text_md")))
+    b = keep(markdown.chapters_by_heading(markdown.stitched(last)), "blocks")
+    refs = keep(markdown.references(b, markdown.notes(last.select("rec_id", "text_md"))), "references")
     return markdown.xhtml(b, refs), refs, b
 
 

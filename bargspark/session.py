@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +42,30 @@ def session(name: str = "bargspark", **conf) -> SparkSession:
     s = b.getOrCreate()
     ship(s)
     return s
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session. Only where it is unset (tests on one machine) a temporary one is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = made.get() if made.isDefined() else None
+    if not found:
+        found = tempfile.mkdtemp(prefix="barg-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: what is used several times is computed once, the lineage ends there, and losing an executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    # the shuffles of what was just written are no longer needed; without a collection Spark would keep their files
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    local = path.removeprefix("file://").removeprefix("file:")
+    if os.path.isdir(local):
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return spark.read.schema(df.schema).parquet(path)
