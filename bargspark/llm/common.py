@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import os
-import shutil
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -16,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bargspark.session import ship
+from bargspark.session import keep, ship  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -34,33 +28,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where it is unset (tests on one machine) a temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = made.get() if made.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="barg-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: the lineage ends there, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the shuffles of what was just written are no longer needed; without a collection Spark would keep their files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    local = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(local):
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, column: str, limit: int = 8 << 20):
     """Cuts Arrow batches so that each holds about `limit` bytes of the named column; one very long value makes a batch of its own."""
     for batch in batches:
@@ -156,3 +123,12 @@ def only_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ok)])[ends].astype(np.int32)), c.flatten().filter(pa.array(ok)))
 
     return df.withColumn(column, F.arrow_udf(part, "array<bigint>")(column))
+
+
+def of_texts(df: DataFrame, column: str, bits) -> DataFrame:
+    """The rows whose text may be in the set of a broadcast Bits; null never is. Only the column goes to Python."""
+
+    def hit(c: pa.Array) -> pa.Array:
+        return pa.array([x is not None and x in bits.value for x in c.to_pylist()], pa.bool_())
+
+    return df.where(F.arrow_udf(hit, "boolean")(column))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bits, Memo, keep, slices, spread
+from .common import Bits, Memo, keep, of_texts, slices, spread
 from .visual import canonical, canonical_lines
 
 # Letters of one base shape, hyphens of scans, marks around words, marks that scans take letters for, words beside page numbers.
@@ -204,12 +204,9 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
     bits = bits or pages.sparkSession.sparkContext.broadcast(Bits(ours, 20))
 
     def run(batches):
-        known = bits.value
         for batch in slices(batches, "text_md"):
             rows = []
             for k, b, p, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "text_md"))):
-                if b not in known:
-                    continue
                 lines = [(i, s) for i, s in enumerate(canonical_lines(t), 1) if s.strip()]
                 for j, (i, s) in enumerate(lines):
                     if page_number(s, p):
@@ -222,7 +219,8 @@ def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats:
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int8()])], ["rec_id", "line_no", "book", "page", "look", "how"])
 
-    found = spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "page", "text_md")).mapInArrow(run, "rec_id bigint, line_no int, book string, page int, look bigint, how byte")
+    texts = of_texts(spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "page", "text_md")), "book", bits)
+    found = texts.mapInArrow(run, "rec_id bigint, line_no int, book string, page int, look bigint, how byte")
     found = keep(found.join(ours, "book", "leftsemi"), "p3-lines")
 
     def titles_of(batches):
@@ -327,19 +325,18 @@ def line_events(pages: DataFrame, books: DataFrame, suspects: Bits) -> DataFrame
     shared, known = sc.broadcast(suspects), sc.broadcast(Bits(ours, 20))
 
     def run(batches):
-        bits, scanned = shared.value, known.value
+        bits = shared.value
         memo = Memo(lambda raw: form_of(raw, bits))
         for batch in slices(batches, "text_md"):
             rows = []
             for k, b, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "text_md"))):
-                if b in scanned:
-                    for no, words, spots in events_of(t, bits, memo):
-                        rows += [(k, b, no, words, *x) for x in spots] if words is not None else [(k, b, no, None, None, None, None, None)]
+                for no, words, spots in events_of(t, bits, memo):
+                    rows += [(k, b, no, words, *x) for x in spots] if words is not None else [(k, b, no, None, None, None, None, None)]
             columns = list(zip(*rows)) or [[]] * 8
             types = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["rec_id", "book", "line_no", "words", "place", "form", "sure", "part"])
 
-    df = spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "text_md"))
+    df = of_texts(spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "text_md")), "book", known)
     out = df.mapInArrow(run, "rec_id bigint, book string, line_no int, words array<string>, place int, form string, sure boolean, part int")
     return out.join(ours, "book", "leftsemi").drop("book").dropDuplicates(["rec_id", "line_no", "place"])
 
