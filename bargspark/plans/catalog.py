@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bargspark.functions import measures as M
 from bargspark.functions import text as X
 from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, scans, validators
-from bargspark.session import keep, ship
+from bargspark.session import keep, shared_dir, ship
 
 from . import sql as S
 
@@ -582,16 +582,10 @@ def streamed_weights(spark, d):
 
     from bargspark.streaming import history as stream
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="barg-stream-")  # tests on one machine
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    e = events(spark, d)
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    ship(spark)
     path = f"{d}/qc_events.parquet"
     kept = spark.read.parquet(path).schema
-    del e
     src = stream.once_each(stream.read_events(spark, path if _is_folder(path) else _folder_of(path), kept), "3650 days")
     run = src.writeStream.foreachBatch(lambda b, i: stream.update_counts(b, i, f"{base}/counts")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -53,11 +53,11 @@ def bag_table(name: str, source: str, keys: str, x: str) -> str:
 
 
 def count_of(x: str, cls: str) -> str:
-    return f"length({rx(x, f'[^{cls}]')})"
+    return f"length({rx(x, f'[^{cls}]')})::INTEGER"
 
 
 def countable(x: str) -> str:
-    return "length(" + rx(rx(rx(x, r"\[\^[^\]]{1,10}\]"), r"[#>*_`|~\[\]]"), W) + ")"
+    return "length(" + rx(rx(rx(x, r"\[\^[^\]]{1,10}\]"), r"[#>*_`|~\[\]]"), W) + ")::INTEGER"
 
 
 def heading_lines(x: str) -> str:
