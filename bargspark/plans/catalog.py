@@ -459,17 +459,54 @@ def _snippets(spark, d):
     return i.join(texts(spark, d).select("rec_id", "text_md"), "rec_id")
 
 
+def _spans(spark, d):
+    """The snippets with their places: exactly where found so, by likeness for the rest."""
+    return matching.with_spans(_snippets(spark, d).where("text_md IS NOT NULL AND snippet IS NOT NULL"))
+
+
 def _found(spark, d):
+    return layout.shares(_spans(spark, d))
+
+
+def _found_exact(spark, d):
+    """Only the snippets that stand in their page as they are, which is what SQL can say."""
     return layout.shares(layout.exact_spans(_snippets(spark, d)))
 
 
+def _layout_hits(found, spark, d):
+    h = layout.hits(found, printed(spark, d)[0], "n", True)
+    return h.select("rec_id", "qid", "line", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
+
+
+def _layout_boxes(found, spark, d):
+    lines, words = printed(spark, d)
+    h = layout.hits(found, lines, "n", True)
+    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
+    return layout.boxes(layout.word_extents(h, words), size, "layout")
+
+
+def _rounded(b):
+    return b.select("rec_id", "qid", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "source")
+
+
+def _scan_hits(found, spark, d):
+    h = layout.hits(found, printed(spark, d)[0], "n", False)
+    return layout.one_line_if_short(h).select("rec_id", "qid", "line")
+
+
 _LAYOUT = f"WITH {S.T}, {S.Q}, {S.PRINT}, {S.SPANS}, {S.line_ranges('n')}, {S.HITS}"
 
 
 @query(f"{_LAYOUT} SELECT rec_id, qid, line, round(u0::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS u0, round(u1::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS u1 FROM ht")
 def layout_hits(spark, d):
-    h = layout.hits(_found(spark, d), printed(spark, d)[0], "n", True)
-    return h.select("rec_id", "qid", "line", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
+    """Of snippets found exactly, as in the SQL; layout_hits_all has them all."""
+    return _layout_hits(_found_exact(spark, d), spark, d)
+
+
+@query()
+def layout_hits_all(spark, d):
+    """(rec_id, qid, line, u0, u1) of every snippet that has a place, exactly or by likeness."""
+    return _layout_hits(_found(spark, d), spark, d)
 
 
 @query(f"""{_LAYOUT}, wr AS (SELECT *, row_number() OVER o - 1 AS place, count(*) OVER p AS cnt, (sum(chars) OVER o - chars)::DOUBLE / sum(chars) OVER p AS w0, (sum(chars) OVER o)::DOUBLE / sum(chars) OVER p AS w1 FROM pw WINDOW p AS (PARTITION BY rec_id, line), o AS (PARTITION BY rec_id, line ORDER BY x1 DESC, word)),
@@ -478,24 +515,33 @@ def layout_hits(spark, d):
     bx AS (SELECT * FROM bw QUALIFY over_ OR (NOT bool_or(over_) OVER (PARTITION BY rec_id, qid, line) AND fall))
     SELECT rec_id, qid, round(greatest(0.0, least(1.0, min(x0) / 2000.0)), 6) AS x0, round(greatest(0.0, least(1.0, min(y0) / 3000.0)), 6) AS y0, round(greatest(0.0, least(1.0, max(x1) / 2000.0)), 6) AS x1, round(greatest(0.0, least(1.0, max(y1) / 3000.0)), 6) AS y1, 'layout' AS source FROM bx GROUP BY 1, 2""")
 def layout_boxes(spark, d):
-    lines, words = printed(spark, d)
-    h = layout.hits(_found(spark, d), lines, "n", True)
-    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
-    b = layout.boxes(layout.word_extents(h, words), size, "layout")
-    return b.select("rec_id", "qid", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "source")
+    """Of snippets found exactly, as in the SQL; layout_boxes_all has them all."""
+    return _rounded(_layout_boxes(_found_exact(spark, d), spark, d))
+
+
+@query()
+def layout_boxes_all(spark, d):
+    """(rec_id, qid, x0, y0, x1, y1, source) of every snippet that has a place, exactly or by likeness."""
+    return _rounded(_layout_boxes(_found(spark, d), spark, d))
 
 
 @query(f"""WITH {S.T}, {S.Q}, {S.PRINT}, {S.SPANS}, {S.line_ranges('n')}, hs AS (SELECT rec_id, qid, line, least(fb, le) - greatest(fa, ls) AS overlap, chars FROM fr JOIN (SELECT * FROM lr WHERE pwt > 0) USING (rec_id) WHERE le > fa AND ls < fb)
     SELECT rec_id, qid, line FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, qid ORDER BY overlap DESC, line) AS n FROM hs) WHERE chars > 14 OR n = 1""")
 def scan_hits(spark, d):
-    h = layout.hits(_found(spark, d), printed(spark, d)[0], "n", False)
-    return layout.one_line_if_short(h).select("rec_id", "qid", "line")
+    """Of snippets found exactly, as in the SQL; scan_hits_all has them all."""
+    return _scan_hits(_found_exact(spark, d), spark, d)
+
+
+@query()
+def scan_hits_all(spark, d):
+    """(rec_id, qid, line) of every snippet that has a place, exactly or by likeness."""
+    return _scan_hits(_found(spark, d), spark, d)
 
 
 @query()
 def fuzzy_spans(spark, d):
     """(rec_id, qid, s, e): the place of each finding's snippet, by likeness where it isn't found as it is."""
-    return matching.with_spans(_snippets(spark, d).where("text_md IS NOT NULL AND snippet IS NOT NULL")).where("s IS NOT NULL").select("rec_id", "qid", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
+    return _spans(spark, d).where("s IS NOT NULL").select("rec_id", "qid", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
 
 
 @query()
@@ -556,17 +602,14 @@ def html_headings(spark, d):
 
 
 def _tiers(spark, d):
-    lines, words = printed(spark, d)
-    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
     by_words = matched_boxes(spark, d).withColumn("source", F.lit("match"))
-    by_lines = layout.boxes(layout.word_extents(layout.hits(_found(spark, d), lines, "n", True), words), size, "layout")
-    return layout.placed(by_words, by_lines)
+    return layout.placed(by_words, _layout_boxes(_found(spark, d), spark, d))
 
 
 @query()
 def located(spark, d):
     """(rec_id, qid, x0, y0, x1, y1, source): each snippet's box by the first tier that has one."""
-    return _tiers(spark, d).select("rec_id", "qid", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "source")
+    return _rounded(_tiers(spark, d))
 
 
 @query()
