@@ -73,6 +73,22 @@ def word_extents(found: DataFrame, words: DataFrame) -> DataFrame:
     return both.withColumn("any", any_).where(over | ((F.col("any") == 0) & fallback)).groupBy("rec_id", "qid", "line").agg(*(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
 
 
+def scan_extents(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of hits and scan lines (rec_id, line, x0, y0, x1, y1, words): the box of the words of each hit's line that its range overlaps, by width from the right edge; the nearest word if it overlaps none, the bare range if the line has no words."""
+    lo = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("u0")))
+    hi = F.greatest(lo + 1e-6, F.least(F.lit(1.0), F.col("u1")))
+    both = found.select("rec_id", "qid", "line", lo.alias("lo"), hi.alias("hi")).join(lines.select(*LINE, "x0", "y0", "x1", "y1", "words"), LINE)
+    wide = F.col("x1") - F.col("x0")
+    both = both.withColumn("right", F.col("x1") - F.col("lo") * wide).withColumn("left", F.col("x1") - F.col("hi") * wide)
+    over = F.filter("words", lambda w: (w["x1"] > F.col("left")) & (w["x0"] < F.col("right")))
+    away = lambda w, i: F.struct(F.abs((w["x0"] + w["x1"]) / 2 - (F.col("left") + F.col("right")) / 2).alias("away"), i.alias("i"), w.alias("w"))
+    nearest = F.array(F.array_min(F.transform("words", away))["w"])
+    bare = F.array(F.struct(F.col("left").alias("x0"), "y0", F.col("right").alias("x1"), "y1"))
+    hit = F.when(F.size("words") == 0, bare).when(F.size(over) > 0, over).otherwise(nearest)
+    both = both.withColumn("hit", hit)
+    return both.select("rec_id", "qid", "line", *(f(F.col("hit")[c]).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))))
+
+
 def boxes(extents: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """(rec_id, qid, x0, y0, x1, y1, source): the union of a query's boxes in fractions of its page (rec_id, width, height), held within 0..1."""
     union = extents.groupBy("rec_id", "qid").agg(*(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))

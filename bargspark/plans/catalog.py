@@ -546,9 +546,14 @@ def fuzzy_spans(spark, d):
 
 @query()
 def matched_boxes(spark, d):
-    """(rec_id, qid, x0, y0, x1, y1): snippets sought among the words of the printed page."""
+    """(rec_id, qid, x0, y0, x1, y1): snippets sought among the words of the printed page, of windows nearly as good the one nearest to the layout's box."""
+    return _matched(_layout_boxes(_found(spark, d), spark, d), spark, d)
+
+
+def _matched(by_lines, spark, d):
     words = printed(spark, d)[1].groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "word", F.struct("x0", "y0", "x1", "y1", F.col("w").alias("word")).alias("r")))), lambda x: x["r"]).alias("words"))
-    asked = _snippets(spark, d).where("snippet IS NOT NULL").groupBy("rec_id").agg(F.collect_list(F.struct("qid", F.col("snippet").alias("text"), F.lit(None).cast("double").alias("expected"))).alias("queries"))
+    middle = by_lines.select("rec_id", "qid", ((F.col("y0") + F.col("y1")) / 2).alias("expected"))
+    asked = _snippets(spark, d).where("snippet IS NOT NULL").join(middle, ["rec_id", "qid"], "left").groupBy("rec_id").agg(F.collect_list(F.struct("qid", F.col("snippet").alias("text"), "expected")).alias("queries"))
     p = asked.join(words, "rec_id").select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"), "words", "queries")
     return matching.located(p)
 
@@ -556,9 +561,24 @@ def matched_boxes(spark, d):
 @query()
 def scan_lines(spark, d):
     """(rec_id, line, x0, y0, x1, y1, weight, n_words): lines found in the pixels of a page drawn from its lines and words."""
-    words = printed(spark, d)[1].groupBy("rec_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("w"))
-    drawn = words.mapInArrow(_draw, "rec_id bigint, height int, width int, grey binary")
-    return scans.scan_lines(drawn, 0.5).select("rec_id", "line", "x0", "y0", "x1", "y1", F.round("weight", 6).alias("weight"), F.size("words").alias("n_words"))
+    return _seen(printed(spark, d)[1]).select("rec_id", "line", "x0", "y0", "x1", "y1", F.round("weight", 6).alias("weight"), F.size("words").alias("n_words"))
+
+
+def _seen(words):
+    """The scan lines of pages drawn from their words."""
+    drawn = words.groupBy("rec_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("w")).mapInArrow(_draw, "rec_id bigint, height int, width int, grey binary")
+    return scans.scan_lines(drawn, 0.5)
+
+
+def _scan_boxes(found, spark, d):
+    """The boxes of spans by the pixels of their pages alone; only these pages are drawn."""
+    seen = keep(_seen(printed(spark, d)[1].join(found.select("rec_id").distinct(), "rec_id", "leftsemi")), "scan-lines")
+    h = layout.one_line_if_short(layout.hits(found, seen, "weight", False))
+    x = layout.scan_extents(h, seen)
+    # a drawn page has an edge of 80 on the left that the printed one has not
+    x = x.select("rec_id", "qid", (F.col("x0") - 80).alias("x0"), "y0", (F.col("x1") - 80).alias("x1"), "y1")
+    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
+    return layout.boxes(x, size, "scan")
 
 
 def _draw(batches):
@@ -602,8 +622,11 @@ def html_headings(spark, d):
 
 
 def _tiers(spark, d):
-    by_words = matched_boxes(spark, d).withColumn("source", F.lit("match"))
-    return layout.placed(by_words, _layout_boxes(_found(spark, d), spark, d))
+    found = keep(_found(spark, d), "found")
+    by_lines = keep(_layout_boxes(found, spark, d), "by-lines")
+    by_words = keep(_matched(by_lines, spark, d).withColumn("source", F.lit("match")), "by-words")
+    open_ = found.join(by_words.unionByName(by_lines).select("rec_id", "qid"), ["rec_id", "qid"], "leftanti")
+    return layout.placed(by_words, by_lines, _scan_boxes(keep(open_, "open"), spark, d))
 
 
 @query()

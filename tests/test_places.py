@@ -67,3 +67,42 @@ def test_a_snippet_found_by_likeness_has_a_second_tier(spark, folder, monkeypatc
     monkeypatch.setattr(matching, "located", lambda p: p.selectExpr("rec_id", "rec_id AS qid", "width AS x0", "width AS y0", "width AS x1", "width AS y1").where("false"))
     got = {(r.rec_id, r.qid): r.source for r in catalog.located(spark, folder).collect()}
     assert got == dict.fromkeys(brute(True), "layout")
+
+
+def test_of_equal_windows_the_one_at_the_layouts_height(spark, tmp_path):
+    page = "باران بر بام خانه بارید\nکتاب کهنه روی میز بود\nچراغ خاموش شد\nباران بر بام خانه بارید و رفت"
+    save(spark, str(tmp_path), {1: page}, {1: ["بر بام خانه بارید و"]})
+    (r,) = catalog.matched_boxes(spark, str(tmp_path)).collect()
+    assert r.y0 == pytest.approx((20 + 14 * 3) / 3000)
+    # two equal runs of words: the snippet's own place is the second, which its end tells
+    save(spark, str(tmp_path), {1: "باران «بر بام\nکتاب کهنه روی میز\nباران بر بام"}, {1: ["باران بر بام"]})
+    (r,) = catalog.matched_boxes(spark, str(tmp_path)).collect()
+    assert r.y0 == pytest.approx((20 + 14 * 2) / 3000)
+
+
+def test_pages_that_the_first_tiers_refuse_get_a_box_by_scan(spark, tmp_path):
+    # few words of the script, and more than twice the letters in print that Markdown counts
+    page = "\n".join(["**" * 12 + " alpha beta gamma"] * 3 + ["**" * 20 + " delta"])
+    save(spark, str(tmp_path), {1: page}, {1: ["delta", "nowhere to be found at all"]})
+    (r,) = catalog.located(spark, str(tmp_path)).collect()
+    assert (r.qid, r.source) == (100, "scan")
+    assert r.y0 == pytest.approx((20 + 14 * 3) / 3000, abs=2e-3) and r.y1 == pytest.approx((32 + 14 * 3) / 3000, abs=2e-3)
+    assert {x.source: x.n for x in catalog.tier_counts(spark, str(tmp_path)).collect()} == {"scan": 1, None: 1}
+
+
+def test_scan_extents_against_the_kernel(spark):
+    import random
+
+    rng, box = random.Random(5), "struct<x0: double, y0: double, x1: double, y1: double>"
+    hits, lines = [], []
+    for n in range(60):
+        cuts = sorted(rng.sample(range(10, 1000), 2 * rng.choice([0, 1, 2, 5])))
+        words = [(float(a), 5.0, float(b), 9.0) for a, b in zip(cuts[::2], cuts[1::2])][::-1]
+        lines.append((1, n, 10.0, 4.0, 1000.0, 10.0, words))
+        a = rng.random()
+        hits.append((1, n, n, a, min(1.0, a + rng.choice([0.0, 0.02, 0.4]))))
+    h = spark.createDataFrame(hits, "rec_id bigint, qid bigint, line int, u0 double, u1 double")
+    seen = spark.createDataFrame(lines, f"rec_id bigint, line int, x0 double, y0 double, x1 double, y1 double, words array<{box}>")
+    got = {r.line: (r.x0, r.y0, r.x1, r.y1) for r in layout.scan_extents(h, seen).collect()}
+    for (_, n, _, a, b), (*_, words) in zip(hits, lines):
+        assert got[n] == pytest.approx(matching.line_part({"rect": (10.0, 4.0, 1000.0, 10.0), "words": words}, a, b)), n
