@@ -613,12 +613,21 @@ def heading_candidates(spark, d):
 
 @query(f"""{_STITCH}, h AS (SELECT rec_id, block, items[1] AS t, kind FROM cp WHERE kind = 'h1') SELECT rec_id, block, '1' AS level, t AS heading FROM h WHERE NOT contains(t, '[^') AND NOT contains(t, '*') AND NOT contains(t, '&') AND NOT contains(t, '<') AND NOT contains(t, '>')""")
 def html_headings(spark, d):
-    """The headings of level 1 as the XHTML has them, where it has no markup inside."""
+    """The headings of level 1 as the XHTML has them, where it has no markup inside, as in the SQL; html_headings_all has them all."""
+    return _headings(spark, d).where("level = '1' AND NOT heading RLIKE '[<>*&]' AND NOT contains(heading, '[^')")
+
+
+@query()
+def html_headings_all(spark, d):
+    """(rec_id, block, level, heading): the headings of all three levels as the XHTML has them, with their markup."""
+    return _headings(spark, d).where("level <> ''")
+
+
+def _headings(spark, d):
     last = last_texts(spark, d)
     b = _stitched(spark, d)
     x = markdown.xhtml(b, markdown.references(b, markdown.notes(last.select("rec_id", "text_md"))))
-    got = x.select("rec_id", F.col("block").cast("int").alias("block"), F.regexp_extract("html", "<h([123])[^>]*>", 1).alias("level"), F.regexp_extract("html", "(?s)<h[123][^>]*>(.*?)</h[123]>", 1).alias("heading"))
-    return got.where("level = '1' AND NOT heading RLIKE '[<>*&]' AND NOT contains(heading, '[^')")
+    return x.select("rec_id", F.col("block").cast("int").alias("block"), F.regexp_extract("html", "^<h([123])[^>]*>", 1).alias("level"), F.regexp_extract("html", "(?s)^<h[123][^>]*>(.*)</h[123]>", 1).alias("heading"))
 
 
 def _tiers(spark, d):

@@ -106,3 +106,21 @@ def test_scan_extents_against_the_kernel(spark):
     got = {r.line: (r.x0, r.y0, r.x1, r.y1) for r in layout.scan_extents(h, seen).collect()}
     for (_, n, _, a, b), (*_, words) in zip(hits, lines):
         assert got[n] == pytest.approx(matching.line_part({"rect": (10.0, 4.0, 1000.0, 10.0), "words": words}, a, b)), n
+
+
+def test_headings_of_all_levels_with_their_markup(spark, tmp_path):
+    import html
+    import re
+
+    pages = {1: "# بخش نخست\nمتن ساده\n## فصل **مهم** یک\n### بند *کج* و a & b <c>\nمتن # نه", 2: "### سه\n#### چهار نیست\n# سر با یادداشت[^1]\n[^1]: یادداشت"}
+    save(spark, str(tmp_path), pages, {1: []})
+    spark.createDataFrame([(k, False, [], [], False, False, 0.9, "m", "r") for k in pages], "rec_id bigint, is_blank boolean, headings array<string>, flags array<string>, starts_mid_paragraph boolean, continues_next boolean, confidence double, model_used string, resolution string").write.parquet(f"{tmp_path}/page_fields.parquet")
+    want = []
+    for k, text in pages.items():
+        for line in text.split("\n"):
+            if m := re.match(r"(#{1,3}) (.*)", line):
+                t = re.sub(r"\*(.+?)\*", r"<em>\1</em>", re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", html.escape(m[2], False)))
+                want.append((k, str(len(m[1])), t.split("[^")[0]))
+    got = [(r.rec_id, r.level, r.heading) for r in catalog.html_headings_all(spark, str(tmp_path)).orderBy("rec_id", "block").collect()]
+    assert [(k, n, re.sub("<a .*", "", t)) for k, n, t in got] == want
+    assert "fnref" in got[-1][2] and got[-1][2].endswith("</a>")
