@@ -6,7 +6,8 @@ and of the page layout (denoise.py) are taken away. A record is truncated if
 * a near-copy goes on where it ends: bands of min-hashes over shingles of five
   words find copies of a Jaccard similarity of 0.8 or more, and the attempts at
   one page meet by their key; each member of a group is aligned with the longest
-  one, and the copy whose alignment ends early is cut;
+  one, then with every other that has the words before its end and goes on after
+  them, and the copy whose alignment ends early is cut;
 * its size is a limit of its origin: a length in characters or in UTF-8 bytes at
   which the origin's records pile up far beyond the neighbouring lengths;
 * its last line is of a kind that can't end so (a table row without its end, an
@@ -19,8 +20,7 @@ and of the page layout (denoise.py) are taken away. A record is truncated if
   null or the page is missing.
 
 Defined results: null and empty texts and texts of nothing but furniture are not
-truncated; a null origin has no limits; ties among the longest copies go to the
-greatest rec_id; exact copies of one another are cut or whole alike.
+truncated; a null origin has no limits; exact copies of one another are cut or whole alike.
 """
 
 from __future__ import annotations
@@ -200,6 +200,65 @@ def aligned_early(short: list[int], short_last: str, long: list[int], long_last:
     return rest == 0 and a[-1] != b[-1] and bool(short_last) and long_last.startswith(short_last) and long_last != short_last
 
 
+def _mixed(*parts) -> np.ndarray:
+    x = np.uint64(0)
+    for p in parts:
+        x = (x ^ np.asarray(p, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        x = x ^ (x >> np.uint64(29))
+    return np.atleast_1d(x).view(np.int64)
+
+
+PLACED, TAIL = 1, 2
+
+
+def end_keys(words: np.ndarray, last: str) -> np.ndarray:
+    """What any text after which `aligned_early` finds this one cut must offer, one of: the two words before the closing one at their place, or the four before it anywhere; with more than one word after them, or with a closing word that begins with this one's."""
+    k = len(words) - 1
+    if k < 2:
+        return np.zeros(0, np.int64)
+    tail = min(4, k)
+    keys = []
+    for goes_on in (0, *([WORDS[last]] if last else [])):
+        keys += [_mixed([PLACED], [k], [goes_on], *(words[j : j + 1] for j in (k - 2, k - 1))), _mixed([TAIL], [tail], [goes_on], *(words[j : j + 1] for j in range(k - tail, k)))]
+    return np.concatenate(keys)
+
+
+def going_on_keys(words: np.ndarray, last: str) -> np.ndarray:
+    """The keys of all ends after which this text goes on."""
+    end = len(words) - 1  # the place of the closing word
+    keys = [np.zeros(0, np.int64)]
+    for n, kind in ((2, PLACED), (2, TAIL), (3, TAIL), (4, TAIL)):
+        at = np.arange(n, end)  # ends before the last word: another one comes after the closing word's place
+        of = [at] if kind == PLACED else [np.full(len(at), n)]
+        if len(at):
+            keys.append(_mixed(np.full(len(at), kind), *of, np.zeros(len(at), np.int64), *(words[at - j] for j in range(n, 0, -1))))
+        if end >= n:
+            for cut in range(1, len(last)):
+                keys.append(_mixed([kind], [end if kind == PLACED else n], [WORDS[last[:cut]]], *(words[end - j : end - j + 1] for j in range(n, 0, -1))))
+    return np.concatenate(keys)
+
+
+def _keyed(texts: DataFrame, keys, known: Numbers | None = None) -> DataFrame:
+    """(rec_id, n, key) of texts' keys, each once; of those that can't be known none. n is the number of words."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            for part in range(0, batch.num_rows, 256):
+                b = batch.slice(part, 256)
+                ids, sizes, out = [], [], []
+                for i, words, last in zip(b.column("rec_id").to_pylist(), b.column("words"), b.column("last").to_pylist()):
+                    words = words.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    got = keys(words, last or "")
+                    if shared.value is not None:
+                        got = got[shared.value.hits(got)]
+                    got = np.unique(got)
+                    ids.append(np.full(len(got), i, np.int64)), sizes.append(np.full(len(got), len(words), np.int32)), out.append(got)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, out)], ["rec_id", "n", "key"])
+
+    return texts.select("rec_id", "words", "last").mapInArrow(run, "rec_id bigint, n int, key bigint")
+
+
 def cut_copies(ends: DataFrame) -> DataFrame:
     """(rec_id) of the records that a near-copy goes on after."""
     texts = ends.where("n_words > 2")
@@ -220,14 +279,30 @@ def cut_copies(ends: DataFrame) -> DataFrame:
     texts = keep(of_numbers(texts.select("rec_id", "words", "last"), "rec_id", Numbers(ids)), "p4-copies")
     mine = texts.select("rec_id", F.col("words").alias("a"), F.col("last").alias("a_last"))
     tops = texts.select(F.col("rec_id").alias("top"), F.col("words").alias("b"), F.col("last").alias("b_last"))
-    both = pairs.join(mine, "rec_id").join(tops, "top").select("rec_id", "same", "a", "a_last", "b", "b_last")
 
     def run(batches):
         for batch in batches:
             kept = [r["rec_id"] for r in batch.to_pylist() if aligned_early(r["a"], r["a_last"], r["b"], r["b_last"], r["same"])]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["rec_id"])
 
-    return both.mapInArrow(run, "rec_id bigint").distinct()
+    def cut(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(mine, "rec_id").join(tops, "top").select("rec_id", "same", "a", "a_last", "b", "b_last")
+        return both.mapInArrow(run, "rec_id bigint").distinct()
+
+    found = keep(cut(pairs), "p4-cut")
+    # what the longest doesn't settle: its end as keys, against the keys of what goes on in the other members of its groups
+    open_ = texts.join(found, "rec_id", "leftanti")
+    at = attempts.join(first.select("book", "page"), ["book", "page"]).select("rec_id", F.xxhash64("book", "page").alias("band"))
+    groups = keep(members.select("rec_id", "band").unionByName(at).distinct(), "p4-groups")
+    asked = keep(_keyed(open_, end_keys).join(groups, "rec_id"), "p4-asked")
+    known = Numbers(asked.select("key"), 25)
+    offered = keep(_keyed(texts, going_on_keys, known).join(groups, "rec_id").join(asked.select("band", "key").distinct(), ["band", "key"], "leftsemi").withColumnRenamed("rec_id", "top"), "p4-offered")
+    # first one member for each group and key, so that a hot group makes no pairs; then every one for the records that are left
+    one = offered.groupBy("band", "key").agg(F.max(F.struct("n", "top")).alias("t")).select("band", "key", F.col("t.top").alias("top"))
+    pairs_of = lambda asks, other: asks.join(other.select("band", "key", "top"), ["band", "key"]).where("rec_id <> top").select("rec_id", "top", F.lit(False).alias("same")).distinct()
+    more = keep(cut(pairs_of(asked, one)), "p4-cut")
+    rest = cut(pairs_of(asked.join(more, "rec_id", "leftanti"), offered))
+    return found.unionByName(more).unionByName(rest).distinct()
 
 
 def fragments(ends: DataFrame, counts: DataFrame, inside: float = 8.0) -> DataFrame:

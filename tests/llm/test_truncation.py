@@ -74,3 +74,38 @@ def test_truncated(spark):
     s = {r.origin: r for r in T.shares(pages, T.truncated(pages, fields, none)).collect()}
     assert sum(r.truncated for r in s.values()) == len(want) and sum(r.records for r in s.values()) == 600
     assert T.truncated(pages.limit(0), fields.limit(0), none).count() == 0
+
+
+def copies(spark, texts):
+    """The records that cut_copies finds, of texts as words; all are attempts at one page and share the bands of their hashes."""
+    import numpy as np
+
+    hashes = [np.array([T.WORDS[w] for w in t], np.int32) for t in texts]
+    rows = [(i, "b", 1, t[-1], len(t), h.tolist(), b) for i, (t, h, b) in enumerate(zip(texts, hashes, T.min_hash_bands(hashes)))]
+    ends = spark.createDataFrame(rows, "rec_id bigint, book string, page int, last string, n_words int, words array<int>, bands array<bigint>")
+    brute = {i for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and T.aligned_early(hashes[i].tolist(), a[-1], hashes[j].tolist(), b[-1], False)}
+    return {r.rec_id for r in T.cut_copies(ends).collect()}, brute
+
+
+def test_copies_that_the_longest_does_not_settle(spark):
+    rng = random.Random(3)
+    whole = [f"{rng.choice(VOCAB)}{i}" for i in range(60)]
+    longest = [*whole[:53], "misread", *whole[54:], "more"]  # misread just before the place where the copy below ends
+    got, brute = copies(spark, [whole, whole[:55], longest])
+    assert 1 in brute and got == brute
+    # of equal counts of words the greatest rec_id is cut inside its last word
+    got, brute = copies(spark, [whole, whole, [*whole[:-1], whole[-1][:2]]])
+    assert brute == {2} and got == brute
+
+
+def test_noisy_copies_against_all_pairs(spark):
+    rng = random.Random(11)
+    whole = [f"{rng.choice(VOCAB)}{i % 40}" for i in range(90)]
+    texts = []
+    for i in range(30):
+        t = [w if rng.random() > 0.06 else f"{w}{rng.randint(0, 9)}" for w in whole[: rng.choice([90, 90, 88, 84, 76])]]
+        if rng.random() < 0.3:
+            del t[rng.randrange(len(t) - 1)]
+        texts.append([*t[:-1], t[-1][:2]] if rng.random() < 0.3 else t)
+    got, brute = copies(spark, texts)
+    assert got == brute and 5 < len(brute) < 30
