@@ -47,7 +47,7 @@ def parity_verse(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -
     """(key, line, inside): the other reading of fences, by which every line of three backticks opens or closes and only what a `verse` one opened is verse."""
     w = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     fence = F.col("s").startswith("```")
-    df = page_lines(pages, text).withColumn("before", F.sum(fence.cast("int")).over(w)).withColumn("tag", F.when(fence & (F.coalesce("before", F.lit(0)) % 2 == 0), X.strip(F.substring("s", 4, 1_000_000))))
+    df = page_lines(pages, text).withColumn("before", F.sum(fence.cast("int")).over(w)).withColumn("tag", F.when(fence & (F.coalesce("before", F.lit(0)) % 2 == 0), X.strip(F.expr("substring(s, 4)"))))
     inside = ~fence & (F.coalesce("before", F.lit(0)) % 2 == 1) & (F.last("tag", ignorenulls=True).over(w) == "verse")
     return df.select(key, "line", F.coalesce(inside, F.lit(False)).alias("inside"))
 
@@ -65,7 +65,7 @@ def blocks(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -> Data
     df = df.where(F.col("kind").isin("h1", "h2", "h3", "p", "quote", "table", "bullet", "number", "verse") | F.col("opens"))
     s = F.col("s")
     item = (
-        F.when(F.col("kind") == "h1", X.strip(F.substring(s, 3, 1_000_000))).when(F.col("kind") == "h2", X.strip(F.substring(s, 4, 1_000_000))).when(F.col("kind") == "h3", X.strip(F.substring(s, 5, 1_000_000)))
+        F.when(F.col("kind") == "h1", X.strip(F.expr("substring(s, 3)"))).when(F.col("kind") == "h2", X.strip(F.expr("substring(s, 4)"))).when(F.col("kind") == "h3", X.strip(F.expr("substring(s, 5)")))
         .when(F.col("kind") == "quote", F.nullif(F.regexp_replace(s, "^> ?", ""), F.lit("")))
         .when(F.col("kind") == "bullet", F.regexp_replace(s, BULLET, "")).when(F.col("kind") == "number", F.regexp_replace(s, NUMBERED, ""))
         .when(F.col("kind") == "table", F.when(F.forall(cells(s), lambda c: c.rlike(RULE_CELL)), F.lit(None)).otherwise(s))
