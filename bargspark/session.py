@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -45,27 +44,41 @@ def session(name: str = "bargspark", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where it is unset (tests on one machine) a temporary one is made and set."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session on one machine (a local master, as in tests) may leave it unset and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = made.get() if made.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="barg-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; whatever is written there goes when the application ends, on every file system Hadoop knows."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+#: The setting by which a finished execution gives up its shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: what is used several times is computed once, the lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # the shuffles of what was just written are no longer needed; without a collection Spark would keep their files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    local = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(local):
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    path = table_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of what is written here again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
