@@ -56,44 +56,67 @@ class Memo(dict):
         return value
 
 
-class Bits:
-    """A set of texts as a bit table of 2**power bits, for a broadcast of one size whatever the corpus."""
-
-    def __init__(self, words: DataFrame, power: int = 23):
-        # at most 2**power small numbers reach the driver: the positions that are set
-        at = words.select(F.expr(f"cast(pmod(crc32(encode({words.columns[0]}, 'utf-8')), {1 << power}) as int) AS bit")).distinct().toArrow()
-        bits = np.zeros(1 << power, bool)
-        bits[at.column("bit").to_numpy()] = True
-        self.table, self.mask, self._bits = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1, None
-
-    def __contains__(self, text: str) -> bool:
-        i = zlib.crc32(text.encode("utf-8", "surrogatepass")) & self.mask
-        return bool(self.table[i >> 3] >> (i & 7) & 1)
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        """Which of the CRC-32 values are of texts that may be in the set."""
-        if self._bits is None:
-            self._bits = np.unpackbits(np.frombuffer(self.table, np.uint8), bitorder="little").view(bool)
-        return self._bits[hashes & self.mask]
-
-    def __getstate__(self):
-        return {**self.__dict__, "_bits": None}
+#: A bit table has at most 2**POWER bits (8 MB), and FREE bits for each member where it fits. One that is more than half full is no help and lets everything pass.
+POWER, FREE, PART = 26, 16, 20
+
+
+def _bit_table(at: DataFrame, power: int) -> tuple[bytes | None, int]:
+    """(table or None if it lets everything pass, mask) of one column of numbers below 2**power. Tasks build parts of 2**20 bits; the driver gets no more than the table."""
+    size = 1 << min(PART, power)
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = b.column(0).to_numpy(zero_copy_only=False)
+            part = x // size
+            for p in np.unique(part).tolist():
+                bits = np.zeros(size, bool)
+                bits[x[part == p] % size] = True
+                packed = np.packbits(bits, bitorder="little")
+                parts[p] = parts[p] | packed if p in parts else packed
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["part", "bits"])
+
+    column = F.col(at.columns[0])
+    table = np.zeros(1 << power >> 3, np.uint8)
+    for r in at.repartition(F.floor(column / size)).mapInArrow(run, "part int, bits binary").collect():  # at most the table, compressed
+        i = r["part"] * size >> 3
+        table[i : i + (size >> 3)] |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    ones = int(np.bitwise_count(table).sum())
+    if ones > 1 << power >> 1:
+        return None, (1 << power) - 1
+    while power > 10 and ones * FREE <= 1 << power >> 1:
+        half = len(table) // 2
+        table, power = table[:half] | table[half:], power - 1
+    return table.tobytes(), (1 << power) - 1
 
 
 class Numbers:
-    """The same of 64-bit numbers that are spread evenly, such as hashes or ids."""
+    """A set of 64-bit numbers that are spread evenly, such as hashes or ids, as a bit table for a broadcast of bounded size: false positives cost time only, an exact join follows."""
 
-    def __init__(self, numbers: DataFrame, power: int = 23):
-        at = numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(1 << power)).cast("int").alias("bit")).distinct().toArrow()
-        bits = np.zeros(1 << power, bool)
-        bits[at.column("bit").to_numpy()] = True
-        self.table, self.mask = np.packbits(bits, bitorder="little").tobytes(), (1 << power) - 1
+    def __init__(self, numbers: DataFrame, power: int = POWER):
+        self.table, self.mask = _bit_table(numbers.select(F.pmod(F.col(numbers.columns[0]), F.lit(1 << power)).cast("int").alias("bit")).where("bit IS NOT NULL"), power)
 
     def hits(self, values: np.ndarray) -> np.ndarray:
+        """Which of the numbers may be in the set."""
+        if self.table is None:
+            return np.ones(len(values), bool)
         at = values & self.mask
         return (np.frombuffer(self.table, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool)
 
 
+class Bits(Numbers):
+    """The same of texts, by their CRC-32."""
+
+    def __init__(self, words: DataFrame, power: int = POWER):
+        self.table, self.mask = _bit_table(words.select(F.expr(f"cast(pmod(crc32(encode({words.columns[0]}, 'utf-8')), {1 << power}) as int) AS bit")).where("bit IS NOT NULL"), power)
+
+    def __contains__(self, text: str) -> bool:
+        if self.table is None:
+            return True
+        i = zlib.crc32(text.encode("utf-8", "surrogatepass")) & self.mask
+        return bool(self.table[i >> 3] >> (i & 7) & 1)
+
+
 def _list_hits(c: pa.Array, known: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """(which elements hit, end of each list among the elements, from 0)."""
     sizes = pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
@@ -102,6 +125,8 @@ def _list_hits(c: pa.Array, known: Numbers) -> tuple[np.ndarray, np.ndarray]:
 
 def of_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
     """The rows whose number may be in the set, or whose array holds no number that can't be. Only the column goes to Python."""
+    if numbers.table is None:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(numbers)
 
     def hit(c: pa.Array) -> pa.Array:
@@ -116,6 +141,8 @@ def of_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
 
 def only_numbers(df: DataFrame, column: str, numbers: Numbers) -> DataFrame:
     """The array less the numbers that can't be in the set."""
+    if numbers.table is None:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(numbers)
 
     def part(c: pa.Array) -> pa.Array:
@@ -132,3 +159,9 @@ def of_texts(df: DataFrame, column: str, bits) -> DataFrame:
         return pa.array([x is not None and x in bits.value for x in c.to_pylist()], pa.bool_())
 
     return df.where(F.arrow_udf(hit, "boolean")(column))
+
+
+def batch_of(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the named types."""
+    columns = list(zip(*rows)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))

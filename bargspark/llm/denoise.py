@@ -31,11 +31,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Bits, Memo, keep, of_texts, slices, spread
+from . import repeated
+from .common import Bits, Memo, Numbers, batch_of, keep, of_texts, slices, spread
 from .visual import canonical, canonical_lines
 
 # Letters of one base shape, hyphens of scans, marks around words, marks that scans take letters for, words beside page numbers.
@@ -52,6 +54,8 @@ DIGIT = re.compile(r"\d")
 SENTENCE = re.compile(r"[.!?؟؛»](?:\s|$)")
 LIST = re.compile(r"\s*(?:[-*•]|\d+[.)])\s")
 PAGE = re.compile(r"[\W_]*(?:(" + "|".join(map(re.escape, PAGE_WORDS)) + r")[\W_]*)?(\d+)[\W_]*", re.I)
+#: Eight letters: more than any line of PAGE has.
+LETTERS = re.compile(r"[\W\d_]*(?:[^\W\d_][\W\d_]*){8}")
 NUMBERED = (re.compile(r"\s*(\d+)(?:\s*[|·•–—…:.-]+\s*|\s{2,})(\S.*\S)\s*"), re.compile(r"\s*(\S.*?\S)(?:\s*[|·•–—…:-]+\s*|\s*\.{2,}\s*|\s{2,})(\d+)\s*"))
 
 
@@ -166,7 +170,7 @@ def corrections(words: DataFrame, ratio: float = 8.0, most: int = 5) -> DataFram
 def running_key(line: str, page: int | None):
     """(text without number, whether the page's own number stood beside it) of a line that may be running; None for markup."""
     s = line.strip()
-    if not s or s.startswith(("#", "|", ">", "```", "**", "[^")) or len(s) > 160 or LIST.match(s):
+    if not s or s.startswith(("#", "|", ">", "```", "**", "[^")) or LIST.match(s):
         return None
     for i, pattern in enumerate(NUMBERED if DIGIT.search(s) else ()):
         if m := pattern.fullmatch(s):
@@ -175,19 +179,20 @@ def running_key(line: str, page: int | None):
     return s, False
 
 
-def title_like(text: str) -> bool:
-    """Short, and without the marks of sentences."""
-    return len(text) <= 90 and not SENTENCE.search(text)
+#: Whether a token is a word with a foreign character.
+DOUBTFUL = Memo(lambda w: any(map(is_letter, w)) and bool(foreign(w.strip(OUTER))))
 
 
 def blanked(text: str, doubtful: bool) -> list[str]:
     """A text with one word left out: each in turn, or only one with a foreign character."""
     words = text.split()
-    return [" ".join([*words[:i], "~", *words[i + 1 :]]) for i, w in enumerate(words) if len(words) > 2 and (not doubtful or any(map(is_letter, w)) and foreign(w.strip(OUTER)))]
+    if len(words) < 3:
+        return []
+    return [" ".join([*words[:i], "~", *words[i + 1 :]]) for i, w in enumerate(words) if not doubtful or DOUBTFUL[w]]
 
 
 def page_number(line: str, page: int | None) -> bool:
-    m = PAGE.fullmatch(line.strip()) if page is not None and len(line) < 60 and DIGIT.search(line) else None
+    m = PAGE.fullmatch(line.strip()) if page is not None and not LETTERS.match(line) and DIGIT.search(line) else None
     return bool(m) and int(m[2]) == page
 
 
@@ -195,53 +200,117 @@ def scanned_books(books: DataFrame) -> DataFrame:
     return books.where(F.lower("source_type").isin("scanned", "mixed")).select("book").distinct()
 
 
-def furniture(pages: DataFrame, books: DataFrame, chapters: DataFrame, repeats: int = 3, edge: int = 5, bits=None) -> DataFrame:
-    """(rec_id, line_no, kind), each once: running lines and page numbers of the scanned and mixed books.
+#: Of a line that may be furniture: look is a hash of its text; how is 2 for a page number, 1 for a text beside the page's number, 0 for another of the outer lines without the marks of sentences, -1 for any other line whose text may be a title, 3 for an outer one that may be a title but for one misread word; letters is the number of letters.
+EDGE_FIELDS = {"rec_id": pa.int64(), "line_no": pa.int32(), "book": pa.string(), "page": pa.int32(), "origin": pa.string(), "look": pa.int64(), "how": pa.int8(), "letters": pa.int32()}
+EDGE_DDL = "rec_id bigint, line_no int, book string, page int, origin string, look bigint, how byte, letters int"
 
-    Titles are sought in every short line without sentences, in the outer lines also with one word misread; repeated texts without a known title count
-    if they stand among the first or last `edge` lines of `repeats` pages."""
+
+def titles_of(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book, look, n): hashes of the titles of books and chapters, whole and with each word left out in turn; n is the title's length."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for b, t in zip(batch.column("book").to_pylist(), batch.column("title").to_pylist()):
+                t = canonical(t).strip()
+                rows += [(b, hash64(x), len(t)) for x in (t, *blanked(t, False))]
+            yield batch_of(rows, {"book": pa.string(), "look": pa.int64(), "n": pa.int32()})
+
+    both = books.select("book", F.col("title_fa").alias("title")).unionByName(chapters.select("book", "title"))
+    return both.where("title IS NOT NULL AND book IS NOT NULL").mapInArrow(run, "book string, look bigint, n int").distinct()
+
+
+def edge_rows(rec, book, page, origin, lines: list[str], titles: "Titles", edge: int) -> list[tuple]:
+    """EDGE_FIELDS of a text's lines. Titles are sought in every line, in the `edge` outer ones also with one word misread."""
+    some = [(i, s) for i, s in enumerate(lines, 1) if s.strip()]
+    got = []
+    for j, (i, s) in enumerate(some):
+        if page_number(s, page):
+            got.append((i, 0, 2, ""))
+            continue
+        near = j < edge or len(some) - j <= edge
+        if not near and len(s) > titles.longest and not DIGIT.search(s):
+            continue
+        if found := running_key(s, page):
+            text, numbered = found
+            if near:
+                plain = not SENTENCE.search(text)
+                got.append((i, hash64(text), (1 if numbered else 0) if plain else -1, text))
+                if len(text) <= 2 * titles.longest:  # a longer one is no title, whatever one of its words is
+                    got += [(i, hash64(x), 3, text) for x in blanked(text, True)]
+            elif len(text) <= titles.longest:
+                got.append((i, hash64(text), -1, text))
+    if not got:
+        return got
+    sure = titles.hits(np.array([g[1] for g in got], np.int64))
+    rows = [(rec, i, book, page, origin, look, how, sum(map(str.isalpha, text))) for (i, look, how, text), hit in zip(got, sure) if hit or 0 <= how <= 2]
+    return [r for r in rows if r[6] == 2 or r[7] > 2]
+
+
+def edges(pages: DataFrame, books: DataFrame, titles: "Titles", edge: int = 5) -> DataFrame:
+    """EDGE_FIELDS of the scanned and mixed books."""
     ours = scanned_books(books)
-    bits = bits or pages.sparkSession.sparkContext.broadcast(Bits(ours, 20))
+    bits, known = (pages.sparkSession.sparkContext.broadcast(x) for x in (Bits(ours), titles))
 
     def run(batches):
         for batch in slices(batches, "text_md"):
             rows = []
-            for k, b, p, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "text_md"))):
-                lines = [(i, s) for i, s in enumerate(canonical_lines(t), 1) if s.strip()]
-                for j, (i, s) in enumerate(lines):
-                    if page_number(s, p):
-                        rows.append((k, i, b, p, 0, 2))
-                    elif (found := running_key(s, p)) and title_like(found[0]) and sum(map(str.isalpha, found[0])) > 2:
-                        near = j < edge or len(lines) - j <= edge
-                        rows.append((k, i, b, p, hash64(found[0]), 1 if found[1] and near else 0 if near else -1))
-                        if near:
-                            rows += [(k, i, b, p, hash64(x), 3) for x in blanked(found[0], True)]
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int8()])], ["rec_id", "line_no", "book", "page", "look", "how"])
+            for k, b, p, o, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "origin", "text_md"))):
+                rows += edge_rows(k, b, p, o, canonical_lines(t), known.value, edge)
+            yield batch_of(rows, EDGE_FIELDS)
 
-    texts = of_texts(spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "page", "text_md")), "book", bits)
-    found = texts.mapInArrow(run, "rec_id bigint, line_no int, book string, page int, look bigint, how byte")
-    found = keep(found.join(ours, "book", "leftsemi"), "p3-lines")
+    texts = of_texts(spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "page", "origin", "text_md")), "book", bits)
+    return texts.mapInArrow(run, EDGE_DDL).join(ours, "book", "leftsemi")
 
-    def titles_of(batches):
-        for batch in batches:
+
+class Titles(Numbers):
+    """Titles' looks for a broadcast, with the length of the longest title."""
+
+    def __init__(self, titles: DataFrame):
+        super().__init__(titles.select("look"))
+        self.longest = titles.agg(F.max("n")).first()[0] or 0
+
+
+def lines_and_edges(pages: DataFrame, books: DataFrame, titles: Titles, letters: int = 25, edge: int = 5) -> tuple[DataFrame, DataFrame]:
+    """`repeated.lines` and `edges` of one pass over the texts, as kept tables."""
+    ours = scanned_books(books)
+    bits, known = (pages.sparkSession.sparkContext.broadcast(x) for x in (Bits(ours), titles))
+
+    def run(batches):
+        scanned = Memo(lambda b: b is not None and b in bits.value)
+        for batch in slices(batches, "text_md", 1 << 19):
+            texts = [canonical_lines(t) for t in batch.column("text_md").to_pylist()]
+            long = repeated.line_batch(batch, texts, letters)
+            took = pc.and_(pc.is_valid(long.column("origin")), pc.is_valid(long.column("book")))
+            long = long.filter(took)
             rows = []
-            for b, t in zip(batch.column("book").to_pylist(), batch.column("title").to_pylist()):
-                t = canonical(t).strip()
-                rows += [(b, hash64(x)) for x in (t, *blanked(t, False))]
-            b, x = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.string()), pa.array(x, pa.int64())], ["book", "look"])
+            for k, b, p, o, lines in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "origin")), texts):
+                if scanned[b]:
+                    rows += edge_rows(k, b, p, o, lines, known.value, edge)
+            outer = batch_of(rows, EDGE_FIELDS)
+            for part in (long, outer):
+                yield pa.RecordBatch.from_arrays([part.column(c) if c in part.schema.names else pa.nulls(part.num_rows, t) for c, t in fields.items()], list(fields))
+
+    fields = {**repeated.LINE_FIELDS, **EDGE_FIELDS}
+    both = spread(pages.where(F.length("text_md") > 0).select("rec_id", "book", "page", "origin", "text_md"))
+    both = keep(both.mapInArrow(run, "rec_id bigint, line_no int, origin string, book string, key binary, chunks array<bigint>, page int, look bigint, how byte, letters int"), "p4-lines")
+    return both.where("key IS NOT NULL").select(*repeated.LINE_FIELDS), both.where("how IS NOT NULL").select(*EDGE_FIELDS).join(ours, "book", "leftsemi")
+
+
+def furniture(found: DataFrame, titles: DataFrame, repeats: int = 3, letters: int = 25, books: int = 3) -> DataFrame:
+    """(rec_id, line_no, kind), each once, of `edges`: running lines and page numbers.
 
-    titles = books.select("book", F.col("title_fa").alias("title")).unionByName(chapters.select("book", "title")).where("title IS NOT NULL AND book IS NOT NULL").mapInArrow(titles_of, "book string, look bigint")
+    A text that is no title is a running line if it stands beside the page's number, or among the outer lines of `repeats` pages of the book; what problem 5
+    takes for a line of the origin (`letters` letters or more, in `books` books of it) isn't."""
+    outer = found.where("how IN (0, 1)")
     # distinct pages are counted after each task has dropped its repeats; the rows of one text of one book can be at most its pages
-    edges = found.where("how IN (0, 1)")
-    often = edges.select("book", "look", "page").distinct().groupBy("book", "look").count().where(F.col("count") >= repeats).select("book", "look")
-    # what several books share was left by an origin, not by a page's layout
-    often = often.join(edges.select("book", "look").distinct().groupBy("look").count().where(F.col("count") >= 3), "look", "left_anti")
-    named = found.where("how <> 2").join(titles.distinct(), ["book", "look"], "leftsemi")
-    again = edges.join(often, ["book", "look"], "leftsemi")
-    running = named.unionByName(again).unionByName(found.where("how = 1")).select("rec_id", "line_no", F.lit("running_line").alias("kind"))
-    return found.where("how = 2").select("rec_id", "line_no", F.lit("page_number").alias("kind")).unionByName(running).distinct()
+    often = outer.select("book", "look", "page").distinct().groupBy("book", "look").count().where(F.col("count") >= repeats).select("book", "look")
+    own = outer.where(F.col("letters") >= letters).where("origin IS NOT NULL").select("origin", "look", "book").distinct().groupBy("origin", "look").count().where(F.col("count") >= books).select("origin", "look")
+    named = found.where("how <> 2").join(titles, ["book", "look"], "leftsemi")
+    again = outer.join(often, ["book", "look"], "leftsemi").join(own, ["origin", "look"], "left_anti")
+    columns = ["rec_id", "line_no"]
+    running = named.select(*columns).unionByName(again.select(*columns)).unionByName(found.where("how = 1").select(*columns)).withColumn("kind", F.lit("running_line"))
+    return found.where("how = 2").select(*columns, F.lit("page_number").alias("kind")).unionByName(running).distinct()
 
 
 def prose(lines: list[str]) -> list[bool]:
@@ -322,7 +391,7 @@ def line_events(pages: DataFrame, books: DataFrame, suspects: Bits) -> DataFrame
     """(rec_id, line_no, words, place, form, sure, part): a row for each doubtful word; words is null for a broken word."""
     sc = pages.sparkSession.sparkContext
     ours = scanned_books(books)
-    shared, known = sc.broadcast(suspects), sc.broadcast(Bits(ours, 20))
+    shared, known = sc.broadcast(suspects), sc.broadcast(Bits(ours))
 
     def run(batches):
         bits = shared.value
@@ -468,7 +537,8 @@ def noise(pages: DataFrame, books: DataFrame, chapters: DataFrame):
     fixes = keep(corrections(words), "p3-fixes")
     events = keep(line_events(pages, books, Bits(fixes.select("form").distinct())), "p3-events")
     fixed = keep(decode(pages, events, fixes, total), "p3-fixed")
-    placed = furniture(pages, books, chapters)
+    titles = keep(titles_of(books, chapters), "p3-titles")
+    placed = furniture(keep(edges(pages, books, Titles(titles)), "p3-lines"), titles)
     text = misread_lines(fixed).select("rec_id", "line_no", F.lit("misread").alias("kind")).unionByName(events.where("words IS NULL").select("rec_id", "line_no", F.lit("broken_word").alias("kind")))
     placed = keep(placed, "p3-furniture")
     return placed.unionByName(text.join(placed, ["rec_id", "line_no"], "left_anti").distinct()), fixed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import denoise, encode, leakage, repeated, split, truncation, visual, vocabulary
-from .common import read, spread
+from .common import keep, read, spread
 
 PAGE = ("rec_id", "book", "origin", "text_md")
 
@@ -37,7 +37,11 @@ def p2_mapping(spark, d):
 
 
 def _noise(spark, d):
-    return denoise.noise(read(spark, d, "page_text", "rec_id", "book", "page", "text_md"), read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title"))
+    return denoise.noise(read(spark, d, "page_text", "rec_id", "book", "page", "origin", "text_md"), *_layout(spark, d))
+
+
+def _layout(spark, d):
+    return read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title")
 
 
 def p3_found(spark, d):
@@ -54,8 +58,10 @@ def p3_paragraphs(spark, d):
 
 def _truncated(spark, d):
     pages = read(spark, d, "page_text", "rec_id", "book", "page", "origin", "text_md")
-    layout = denoise.furniture(pages, read(spark, d, "books", "book", "title_fa", "source_type"), read(spark, d, "chapters", "book", "title"))
-    left = repeated.repeated(pages).unionByName(layout.select("rec_id", "line_no"))
+    books, chapters = _layout(spark, d)
+    titles = keep(denoise.titles_of(books, chapters), "p4-titles")
+    lines, edges = denoise.lines_and_edges(pages, books, denoise.Titles(titles))
+    left = repeated.repeated(pages, all_lines=lines).unionByName(denoise.furniture(edges, titles).select("rec_id", "line_no"))
     return truncation.truncated(pages, read(spark, d, "page_fields", "rec_id", "starts_mid_paragraph", "continues_next"), left)
 
 
@@ -68,6 +74,11 @@ def p4_shares(spark, d):
     return truncation.shares(read(spark, d, "page_text", "rec_id", "origin"), _truncated(spark, d))
 
 
+def p4_reasons(spark, d):
+    """(rec_id, origin, why, terminality): each truncated record with the first reason that holds and the terminality of its closing word."""
+    return _truncated(spark, d)
+
+
 def p5_found(spark, d):
     return repeated.repeated(read(spark, d, "page_text", *PAGE))
 
@@ -78,6 +89,12 @@ def p5_without(spark, d):
     return repeated.without(pages, repeated.repeated(pages)).select("rec_id", "n_cut", "text_md")
 
 
+def p5_chunks(spark, d):
+    """(rec_id, n_cut, text): every record, in canonical characters, without the chunks repeated within its origin, however they are wrapped into lines."""
+    pages = read(spark, d, "page_text", *PAGE)
+    return repeated.without_chunks(pages, repeated.repeated_chunks(pages))
+
+
 def p6_ids(spark, d):
     return encode.encode(read(spark, d, "documents", "doc_id", "text"))
 

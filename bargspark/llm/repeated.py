@@ -1,20 +1,25 @@
-"""Problem 5: lines repeated within one origin, by content-defined chunking.
+"""Problem 5: text repeated within one origin, by content-defined chunking.
 
-A rolling hash runs over the canonical characters of each line (see visual.py;
-numbers are one character), and a chunk ends wherever its low bits are zero. The
-window starts anew at each line, so equal lines fall into equal chunks and a
-line always is a whole number of chunks; a line break is a cut like any other.
-Over the whole corpus the chunks found in several books of an origin are sought;
-a line can be repeated only if all its chunks are. For the lines that remain
-distinct books are counted exactly, per origin and 128-bit digest of the line.
+A rolling hash runs over canonical characters (see visual.py; numbers are one
+character), and a chunk ends wherever its low bits are zero, so equal passages
+fall into equal chunks wherever they stand. Distinct books are counted for each
+chunk and origin; chunks of several books are repeated.
 
-The search is pre-aggregated before its one shuffle, so an origin that holds a
+* `repeated_chunks` and `without_chunks` do this over whole texts, line breaks
+  being white space like any other: passages are found however they are wrapped.
+* `repeated` gives whole lines, as the problem is stated: there a line break is a
+  cut too, so a line is a whole number of chunks and can be repeated only if all
+  its chunks are. Of the lines that remain distinct books are counted exactly,
+  per origin and 128-bit digest of the line.
+
+The search is pre-aggregated before its shuffle, so an origin that holds a
 third of all rows is spread over all tasks by its chunks, and a chunk found
 everywhere leaves each task once. The chunks of several books are broadcast as a
-bit table of one size (Numbers): beyond it more lines go to the exact count.
+bit table of bounded size (Numbers); were it too full, all lines would go to the
+exact count.
 
 Defined results: null and empty texts have no lines; records without origin or
-book take no part; lines of fewer than `letters` letters don't count.
+book take no part; lines and chunks of fewer than `letters` letters don't count.
 """
 
 from __future__ import annotations
@@ -27,14 +32,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Numbers, keep, of_numbers, slices, spread
-from .visual import canonical_lines
+from .common import Memo, Numbers, batch_of, keep, of_numbers, slices, spread
+from .visual import canonical, canonical_lines
 
-NUMBER = re.compile(r"\d+")
+NUMBER, SPACE = re.compile(r"\d+"), re.compile(r"\s+")
 #: The window of the rolling hash, and the bits of it that are zero at a cut: chunks have about 2**BITS characters.
 WINDOW, BITS = 8, 6
-#: Fixed: the powers of the hash's base (arithmetic modulo 2**64).
-POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], np.uint64)
+#: Fixed: the base of the hash, its inverse and an odd factor for characters (arithmetic modulo 2**64).
+BASE, INVERSE, FACTOR = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
+
+
+class _Tables:
+    """Powers of the base and of its inverse, as long as they were needed so far, and which characters are letters; one per Python worker."""
+
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.letters = None
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.powers) < n:
+            n = 1 << n.bit_length()
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (BASE, INVERSE))
+        return self.powers, self.inverses
+
+    def is_letter(self, code: np.ndarray) -> np.ndarray:
+        if self.letters is None:
+            self.letters = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+        return self.letters[code]
+
+
+TABLES = _Tables()
 
 
 def line_key(canonical_line: str) -> str:
@@ -42,63 +69,89 @@ def line_key(canonical_line: str) -> str:
     return NUMBER.sub("0", canonical_line.strip())
 
 
-def chunk_hashes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each chunk, number of its line) of all lines."""
+def codes(keys: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def chunk_hashes(keys: list[str], code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its text, start, end within all characters) of each chunk of the texts, in order."""
+    code = codes(keys) if code is None else code
     sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-    code = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    line = np.repeat(np.arange(len(keys)), sizes)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    mixed = (code + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    rolling = np.zeros(len(code), np.uint64)
-    for i in range(min(WINDOW, len(code))):  # windows over the start of a line are never asked for
-        rolling[i:] += mixed[: len(code) - i] * POWERS[i]
-    cut = (rolling >> np.uint64(64 - BITS) == 0) & (place >= WINDOW - 1)
-    first = place == 0
-    first[1:] |= cut[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # a chunk's hash: its characters times powers counted from its start, then mixed
-    chunk = np.cumsum(first) - 1
-    offset = np.arange(len(code)) - starts[chunk]
-    weight = np.cumprod(np.full(int(offset.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
-    total = np.add.reduceat(mixed * weight[offset], starts)
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(32)
-    return total.view(np.int64), line[starts]
+    n = len(code)
+    if not n:
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
+    power, inverse = TABLES.upto(n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR) * power[:n])])
+    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    cut = np.zeros(n + 1, bool)
+    if n >= WINDOW:  # a window that ends before place i, weighed by its distance from there
+        cut[WINDOW:] = ((total[WINDOW:] - total[:-WINDOW]) * inverse[WINDOW - 1 : n]) >> np.uint64(64 - BITS) == 0
+        for i in range(1, WINDOW):  # no window looks over a text's start
+            cut[np.minimum(firsts + i, n)] = False
+    cut[firsts] = True
+    cut[n] = False
+    start = np.flatnonzero(cut)
+    end = np.append(start[1:], n)
+    found = (total[end] - total[start]) * inverse[start]
+    found ^= found >> np.uint64(29)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    found ^= found >> np.uint64(32)
+    return found.view(np.int64), np.repeat(np.arange(len(keys)), sizes)[start], start, end
+
+
+def _source(origin: str) -> int:
+    return int.from_bytes(hashlib.blake2b(origin.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+SOURCES = Memo(_source)
+LINE_FIELDS = {"rec_id": pa.int64(), "line_no": pa.int32(), "origin": pa.string(), "book": pa.string(), "key": pa.binary(), "chunks": pa.list_(pa.int64())}
+
+
+def _of_origin(hashes: np.ndarray, origins: np.ndarray) -> np.ndarray:
+    return ((hashes.view(np.uint64) ^ origins) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def line_batch(batch: pa.RecordBatch, texts: list[list[str]], letters: int) -> pa.RecordBatch:
+    """LINE_FIELDS of each line of enough letters of a batch's texts (their canonical lines); chunks are 64-bit hashes of origin and chunk, key is a digest of the line."""
+    rows = [(i, no, line_key(line)) for i, lines in enumerate(texts) for no, line in enumerate(lines, 1) if len(line) >= letters]
+    rows = [r for r in rows if len(r[2]) >= letters]
+    if rows:
+        code = codes([r[2] for r in rows])
+        sizes = np.fromiter((len(r[2]) for r in rows), np.int64, len(rows))
+        some = np.add.reduceat(TABLES.is_letter(code), np.cumsum(sizes) - sizes, dtype=np.int64) >= letters
+        if not some.all():
+            rows, code = [r for r, ok in zip(rows, some) if ok], code[np.repeat(some, sizes)]
+    recs, nos, keys = zip(*rows) if rows else ((), (), ())
+    hashes, line, _, _ = chunk_hashes(keys, code if rows else np.zeros(0, np.uint32))
+    if len(hashes):
+        own = np.array([SOURCES[o] if o is not None else 0 for o in batch.column("origin").to_pylist()], np.uint64)
+        hashes = _of_origin(hashes, own[np.array(recs)[line]])
+    ends = np.searchsorted(line, np.arange(len(keys) + 1))
+    digests = pa.array([hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys], pa.binary())
+    take = pa.array(recs, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("rec_id").take(take), pa.array(nos, pa.int32()), batch.column("origin").take(take), batch.column("book").take(take), digests, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes))],
+        list(LINE_FIELDS),
+    )
+
+
+def _ours(pages: DataFrame, letters: int) -> DataFrame:
+    return spread(pages.where("origin IS NOT NULL AND book IS NOT NULL").where(F.length("text_md") >= letters).select("rec_id", "origin", "book", "text_md"))
 
 
 def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
-    """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters; chunks are 64-bit hashes of origin and chunk, key is a digest of the line."""
+    """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters."""
 
     def run(batches):
-        sources = Memo(lambda o: int.from_bytes(hashlib.blake2b(o.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
         for batch in slices(batches, "text_md", 1 << 19):  # arrays that fit the processor's cache
-            recs, nos, keys = [], [], []
-            for i, text in enumerate(batch.column("text_md").to_pylist()):
-                for no, line in enumerate(canonical_lines(text), 1):
-                    if len(line) >= letters and (sum(map(str.isalpha, line[: 2 * letters])) >= letters or sum(map(str.isalpha, line)) >= letters):
-                        recs.append(i), nos.append(no), keys.append(line_key(line))
-            hashes, line = chunk_hashes(keys)
-            if len(hashes):
-                own = np.array([sources[o] for o in batch.column("origin").to_pylist()], np.uint64)[np.array(recs)[line]]
-                hashes = ((hashes.view(np.uint64) ^ own) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-            ends = np.searchsorted(line, np.arange(len(keys) + 1))
-            digests = pa.array([hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys], pa.binary())
-            take = pa.array(recs, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rec_id").take(take), pa.array(nos, pa.int32()), batch.column("origin").take(take), batch.column("book").take(take), digests, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes))],
-                ["rec_id", "line_no", "origin", "book", "key", "chunks"],
-            )
+            yield line_batch(batch, [canonical_lines(t) for t in batch.column("text_md").to_pylist()], letters)
 
-    ours = pages.where("origin IS NOT NULL AND book IS NOT NULL").where(F.length("text_md") >= letters).select("rec_id", "origin", "book", "text_md")
-    return spread(ours).mapInArrow(run, "rec_id bigint, line_no int, origin string, book string, key binary, chunks array<bigint>")
+    return _ours(pages, letters).mapInArrow(run, "rec_id bigint, line_no int, origin string, book string, key binary, chunks array<bigint>")
 
 
-def repeated(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
-    """(rec_id, line_no), each once: the lines found in records of at least `books` books of their origin."""
-    all_lines = keep(lines(pages, letters), "p5-lines")
+def repeated(pages: DataFrame, books: int = 3, letters: int = 25, all_lines: DataFrame | None = None) -> DataFrame:
+    """(rec_id, line_no), each once: the lines found in records of at least `books` books of their origin. `all_lines` is a kept table of `lines`, where there is one."""
+    all_lines = keep(lines(pages, letters), "p5-lines") if all_lines is None else all_lines
     chunk = all_lines.select(F.explode("chunks").alias("chunk"), F.xxhash64("book").alias("book"))
     # one shuffle: of each task at most one row per origin and chunk, with the least and the greatest book it saw
     shared = chunk.groupBy("chunk").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
@@ -107,6 +160,56 @@ def repeated(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
     return some.join(sure, ["origin", "key"], "leftsemi").select("rec_id", "line_no").distinct()
 
 
+def whole_key(text: str) -> str:
+    """A text as its chunks are cut: canonical, white space of any length and kind a space. Numbers stay, so that places stay."""
+    return SPACE.sub(" ", canonical(text)).strip()
+
+
+def repeated_chunks(pages: DataFrame, books: int = 3, letters: int = 25) -> DataFrame:
+    """(rec_id, start, end), each once: the chunks of whole texts found in records of at least `books` books of their origin, as places in `whole_key` of the text."""
+
+    def run(batches):
+        digit = np.arange(0x110000, dtype=np.uint32)
+        digit[[c for c in range(0x110000) if chr(c).isdigit()]] = ord("0")
+        for batch in slices(batches, "text_md", 1 << 19):
+            keys = [whole_key(t) for t in batch.column("text_md").to_pylist()]
+            code = digit[codes(keys)]
+            hashes, text, start, end = chunk_hashes(keys, code)
+            first = np.cumsum([0, *map(len, keys)])
+            enough = np.diff(np.concatenate([[0], np.cumsum(TABLES.is_letter(code))])[np.append(start, len(code))]) >= letters if len(start) else np.zeros(0, bool)
+            own = np.array([SOURCES[o] for o in batch.column("origin").to_pylist()], np.uint64)
+            take = pa.array(text[enough])
+            place = first[text[enough]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rec_id").take(take), batch.column("book").take(take), pa.array(_of_origin(hashes[enough], own[text[enough]])), pa.array((start[enough] - place).astype(np.int32)), pa.array((end[enough] - place).astype(np.int32))],
+                ["rec_id", "book", "chunk", "start", "end"],
+            )
+
+    chunks = keep(_ours(pages, letters).mapInArrow(run, "rec_id bigint, book string, chunk bigint, start int, end int"), "p5-chunks")
+    often = chunks.select("chunk", F.xxhash64("book").alias("book")).distinct().groupBy("chunk").count().where(F.col("count") >= books).select("chunk")
+    return chunks.join(often, "chunk", "leftsemi").select("rec_id", "start", "end").distinct()
+
+
+def without_chunks(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(rec_id, n_cut, text): every record once, its `whole_key` less the chunks found; null texts stay null."""
+    cut = found.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))  # at most the chunks of one text
+    fields = {"rec_id": pa.int64(), "n_cut": pa.int32(), "text": pa.string()}
+
+    def run(batches):
+        for batch in slices(batches, "text_md"):
+            rows = []
+            for k, t, gone in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "text_md", "cut"))):
+                t, at, parts = t and whole_key(t), 0, []
+                for g in gone or ():
+                    parts.append(t[at : g["start"]])
+                    at = g["end"]
+                rows.append((k, len(gone or ()), "".join([*parts, t[at:]]) if gone else t))
+            yield batch_of(rows, fields)
+
+    once = pages.select("rec_id", "text_md").dropDuplicates(["rec_id"]).join(cut, "rec_id", "left")
+    return once.mapInArrow(run, "rec_id bigint, n_cut int, text string")
+
+
 def without(pages: DataFrame, found: DataFrame, key: str = "rec_id") -> DataFrame:
     """Every record once, with `text_md` less the lines found and `n_cut`, how many they were."""
     cut = found.groupBy(key).agg(F.sort_array(F.collect_set("line_no")).alias("__cut"))  # at most the lines of one text

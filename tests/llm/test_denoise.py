@@ -32,7 +32,7 @@ def corpus(spark):
             want |= {(rec, 1, "running_line"), (rec, len(lines), "page_number")}
         out.append((rec, book, page, "\n".join(lines)))
     out += [(900, "b0", 90, None), (901, "b0", 91, ""), (902, None, 5, "آمد ب)ای نوشت"), out[0], (903, "b5", 3, "آمد ب)ای نوشت\n3"), (904, "b0", None, "5"), (905, "b0", 92, "# ب)ای\n- ب)ای\n| ب)ای |\n```verse\nب)ای\n```\n> ب)ای\n1. ب)ای"), (906, "b0", 93, "آمد " * 30_000)]
-    df = spark.createDataFrame([(*r, 0) for r in out], "rec_id bigint, book string, page int, text_md string, n int")
+    df = spark.createDataFrame([(*r, None, 0) for r in out], "rec_id bigint, book string, page int, text_md string, origin string, n int")
     books = spark.createDataFrame([("b0", None, "scanned"), ("b1", "داستان ستاره‌های روشن", "mixed"), *((f"b{i}", None, "digital") for i in range(2, 6))], "book string, title_fa string, source_type string")
     return df, books, spark.createDataFrame([("b0", None), ("b0", "هیچ")], "book string, title string"), want
 

@@ -48,5 +48,27 @@ def test_equal_lines_have_equal_chunks():
     rng = random.Random(1)
     lines = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (5, 9, 40, 200)]
     alone = [R.chunk_hashes([x])[0].tolist() for x in lines]
-    hashes, line = R.chunk_hashes(lines)
+    hashes, line, start, end = R.chunk_hashes(lines)
+    assert end.tolist()[-1] == sum(map(len, lines)) and (start[1:] == end[:-1]).all()
     assert [hashes[line == i].tolist() for i in range(len(lines))] == alone and len(alone[3]) > 3
+
+
+def test_chunks_do_not_depend_on_line_breaks(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    notice = line(120)
+    half = len(notice) // 2
+    wrapped = notice[: notice.rfind(" ", 0, half)] + "\n" + notice[notice.rfind(" ", 0, half) + 1 :]
+    rows = [(i, "a", f"b{i % 6}", f"{line(30)}\n{notice if i % 2 else wrapped}\n{line(30)}") for i in range(20)]
+    rows += [(30, "a", "b1", None), (31, None, "b1", notice), (32, "a", None, notice), (33, "a", "b1", ""), rows[0], (40, "c", "b1", notice), (41, "c", "b2", notice)]
+    df = spark.createDataFrame(rows, "rec_id bigint, origin string, book string, text_md string")
+    found = R.repeated_chunks(df)
+    got = {r.rec_id: r for r in R.without_chunks(df, found).collect()}
+    assert len(got) == 26 and got[30].text is None and got[33].text == "" and got[40].n_cut == 0 == got[31].n_cut
+    whole = R.whole_key(notice)
+    for i in range(20):
+        kept, own = got[i].text, R.whole_key(rows[i][3])
+        assert got[i].n_cut and len(own) - len(kept) > 0.6 * len(whole), i  # all of the notice but the chunks over its ends
+        a, b = own.split(whole)
+        assert kept.startswith(a[: len(a) - 200]) and kept.endswith(b[200:])
+    assert R.repeated_chunks(df.limit(0)).count() == 0

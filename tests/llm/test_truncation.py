@@ -17,12 +17,12 @@ def test_ending(text, kind):
 
 def test_alignment():
     a = list(range(60))
-    assert T.aligned_early(a[:55], "x", a, "y", False)
-    assert not T.aligned_early(a, "x", a, "x", False)
-    assert T.aligned_early([*a[:-1], 999], "کتا", a, "کتاب", False)
-    assert not T.aligned_early([*a[:-1], 999], "کتات", a, "کتاب", False)
-    assert not T.aligned_early(list(range(100, 150)), "x", a, "y", False)
-    assert not T.aligned_early([1], "x", a, "y", False)
+    assert T.aligned_early(a[:55], "x", a, "y")
+    assert not T.aligned_early(a, "x", a, "x")
+    assert T.aligned_early([*a[:-1], 999], "کتا", a, "کتاب")
+    assert not T.aligned_early([*a[:-1], 999], "کتات", a, "کتاب")
+    assert not T.aligned_early(list(range(100, 150)), "x", a, "y")
+    assert not T.aligned_early([1], "x", a, "y")
 
 
 def test_min_hash_finds_near_copies():
@@ -83,7 +83,7 @@ def copies(spark, texts):
     hashes = [np.array([T.WORDS[w] for w in t], np.int32) for t in texts]
     rows = [(i, "b", 1, t[-1], len(t), h.tolist(), b) for i, (t, h, b) in enumerate(zip(texts, hashes, T.min_hash_bands(hashes)))]
     ends = spark.createDataFrame(rows, "rec_id bigint, book string, page int, last string, n_words int, words array<int>, bands array<bigint>")
-    brute = {i for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and T.aligned_early(hashes[i].tolist(), a[-1], hashes[j].tolist(), b[-1], False)}
+    brute = {i for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and T.aligned_early(hashes[i].tolist(), a[-1], hashes[j].tolist(), b[-1])}
     return {r.rec_id for r in T.cut_copies(ends).collect()}, brute
 
 
