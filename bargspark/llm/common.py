@@ -57,7 +57,7 @@ class Memo(dict):
 
 
 #: A bit table has at most 2**POWER bits (8 MB), and FREE bits for each member where it fits. One that is more than half full is no help and lets everything pass.
-POWER, FREE, PART = 26, 16, 20
+POWER, FREE, PART = 26, 256, 20
 
 
 def _bit_table(at: DataFrame, power: int) -> tuple[bytes | None, int]:

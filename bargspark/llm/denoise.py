@@ -31,7 +31,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -135,8 +134,8 @@ def asking_keys(w: str):
         yield "\4" + w, "\4" + w, "\4"
 
 
-def corrections(words: DataFrame, ratio: float = 8.0, most: int = 5) -> DataFrame:
-    """(form, n_form, word, n_word, log_p): the likeliest words for each form that may be misread. A form is a word, or one that lacks its last (\\3) or first (\\4) letter."""
+def corrections(words: DataFrame, ratio: float = 8.0) -> DataFrame:
+    """(form, n_form, word, n_word, log_p): the candidate words for each form that may be misread. A form is a word, or one that lacks its last (\\3) or first (\\4) letter. Forms with a foreign character also have a row with no word: a word unknown to the corpus."""
 
     def keyed(make, names):
         def run(batches):
@@ -160,8 +159,9 @@ def corrections(words: DataFrame, ratio: float = 8.0, most: int = 5) -> DataFram
     confusion = confusion.where("votes > 1 OR seen IN ('\3', '\4')").select("meant", "seen", F.least(p, F.lit(-2.0)).alias("log_p"))
     scored = pairs.join(confusion, ["meant", "seen"], "left").where(odd | F.col("log_p").isNotNull()).withColumn("log_p", F.coalesce("log_p", F.lit(-14.0)))
     best = scored.groupBy("form", "word").agg(F.max("n_form").alias("n_form"), F.max("n_word").alias("n_word"), F.max("log_p").alias("log_p"))
-    rank = F.row_number().over(W.partitionBy("form").orderBy(F.desc(F.log("n_word") + F.col("log_p")), "word"))
-    return best.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    unknown = words.mapInArrow(keyed(lambda w: [(w,)] if foreign(w) else [], ["form", "n_form"]), "form string, n_form bigint")
+    none = {c: F.lit(None).cast(t) for c, t in (("word", "string"), ("n_word", "bigint"), ("log_p", "double"))}
+    return best.select("form", "n_form", "word", "n_word", "log_p").unionByName(unknown.select("form", "n_form", *(v.alias(c) for c, v in none.items())))
 
 
 # ---------------------------------------------------------------- lines of a page
@@ -281,8 +281,6 @@ def lines_and_edges(pages: DataFrame, books: DataFrame, titles: Titles, letters:
         for batch in slices(batches, "text_md", 1 << 19):
             texts = [canonical_lines(t) for t in batch.column("text_md").to_pylist()]
             long = repeated.line_batch(batch, texts, letters)
-            took = pc.and_(pc.is_valid(long.column("origin")), pc.is_valid(long.column("book")))
-            long = long.filter(took)
             rows = []
             for k, b, p, o, lines in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "page", "origin")), texts):
                 if scanned[b]:
@@ -293,8 +291,8 @@ def lines_and_edges(pages: DataFrame, books: DataFrame, titles: Titles, letters:
 
     fields = {**repeated.LINE_FIELDS, **EDGE_FIELDS}
     both = spread(pages.where(F.length("text_md") > 0).select("rec_id", "book", "page", "origin", "text_md"))
-    both = keep(both.mapInArrow(run, "rec_id bigint, line_no int, origin string, book string, key binary, chunks array<bigint>, page int, look bigint, how byte, letters int"), "p4-lines")
-    return both.where("key IS NOT NULL").select(*repeated.LINE_FIELDS), both.where("how IS NOT NULL").select(*EDGE_FIELDS).join(ours, "book", "leftsemi")
+    both = keep(both.mapInArrow(run, f"{repeated.LINE_DDL}, line_no int, page int, look bigint, how byte, letters int"), "p4-lines")
+    return both.where("nos IS NOT NULL").select(*repeated.LINE_FIELDS), both.where("how IS NOT NULL").select(*EDGE_FIELDS).join(ours, "book", "leftsemi")
 
 
 def furniture(found: DataFrame, titles: DataFrame, repeats: int = 3, letters: int = 25, books: int = 3) -> DataFrame:
@@ -332,22 +330,21 @@ def breaks(line: str) -> bool:
     return len(end) > 1 and end[-1] in HYPHENS and not end[-2].isspace() and end[-2] not in HYPHENS and bool(CORE[end.rsplit(None, 1)[-1].rstrip(HYPHENS)])
 
 
-def form_of(raw: str, suspects) -> tuple[str, bool] | None:
-    """(form, sure) of a token that may be misread: a word with a foreign character surely is."""
+def forms_of(raw: str, suspects) -> list[tuple[str, bool]]:
+    """[(form, sure)] of a token that may be misread: a word with a foreign character surely is. All forms that may be suspects are given, so a false one hides no true one."""
     w = CORE[raw]
     if not w:
-        return None
+        return []
     if foreign(w):
-        return w, True
-    if w in suspects:
-        return w, False
+        return [(w, True)]
     t = NOTE.sub("", raw)
     i = t.find(w)
-    if t[i + len(w) : i + len(w) + 1] in EDGES and t[i + len(w) :] and (f := w + "\3") in suspects:
-        return f, False
-    if i and t[i - 1] in EDGES and (f := "\4" + w) in suspects:
-        return f, False
-    return None
+    forms = [w]
+    if t[i + len(w) : i + len(w) + 1] in EDGES and t[i + len(w) :]:
+        forms.append(w + "\3")
+    if i and t[i - 1] in EDGES:
+        forms.append("\4" + w)
+    return [(f, False) for f in forms if f in suspects]
 
 
 def events_of(text: str, suspects, memo: Memo):
@@ -371,8 +368,7 @@ def events_of(text: str, suspects, memo: Memo):
             tail = after.split()[0] if after.split() else ""
             if head and tail and is_letter(tail[0]) and is_prose[no : no + 1] == [True]:
                 carried = tail
-                if found := memo[head + tail]:
-                    spots.append((len(raw), *found, len(head)))
+                spots += [(len(raw), *found, len(head)) for found in memo[head + tail]]
                 raw.append(head + tail)
             elif head:
                 if foreign(head):
@@ -380,22 +376,22 @@ def events_of(text: str, suspects, memo: Memo):
                 raw.append(head)
         for i, r in enumerate(raw):
             # a page's first word may be the rest of one broken over pages
-            if (found := memo[r]) and not (spots and spots[0][0] == i) and (begun or i or found[1]):
-                spots.append((i, *found, 0))
+            if (found := memo[r]) and not (spots and spots[0][0] == i) and (begun or i or found[0][1]):
+                spots += [(i, *f, 0) for f in found]
         begun = begun or bool(raw)
         if spots:
             yield no, [CORE[r] or r for r in raw], spots
 
 
 def line_events(pages: DataFrame, books: DataFrame, suspects: Bits) -> DataFrame:
-    """(rec_id, line_no, words, place, form, sure, part): a row for each doubtful word; words is null for a broken word."""
+    """(rec_id, line_no, words, place, form, sure, part): a row for each form of each doubtful word; words is null for a broken word."""
     sc = pages.sparkSession.sparkContext
     ours = scanned_books(books)
     shared, known = sc.broadcast(suspects), sc.broadcast(Bits(ours))
 
     def run(batches):
         bits = shared.value
-        memo = Memo(lambda raw: form_of(raw, bits))
+        memo = Memo(lambda raw: forms_of(raw, bits))
         for batch in slices(batches, "text_md"):
             rows = []
             for k, b, t in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "book", "text_md"))):
@@ -407,7 +403,7 @@ def line_events(pages: DataFrame, books: DataFrame, suspects: Bits) -> DataFrame
 
     df = of_texts(spread(pages.where("book IS NOT NULL").where(F.length("text_md") > 0).select("rec_id", "book", "text_md")), "book", known)
     out = df.mapInArrow(run, "rec_id bigint, book string, line_no int, words array<string>, place int, form string, sure boolean, part int")
-    return out.join(ours, "book", "leftsemi").drop("book").dropDuplicates(["rec_id", "line_no", "place"])
+    return out.join(ours, "book", "leftsemi").drop("book").dropDuplicates(["rec_id", "line_no", "place", "form"])
 
 
 def pair_counts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -441,17 +437,22 @@ def pair_counts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- decoding
 
 
+#: What stands for a character that can't be read. The logs of the channel of a word that isn't in the corpus, of a true word with a foreign character, and of a word that is true though far rarer than its candidate.
+UNREAD, UNKNOWN, MIXED, RARE = "\ufffd", -9.0, -16.0, -12.0
+
+
 def lattice(words: list[str], spots: list) -> list[list[tuple]]:
-    """For each word of a line its candidates (word, count or None, log of the channel); a word that is doubted competes itself, if it isn't surely misread."""
+    """For each word of a line its candidates (word, count or None, log of the channel). A word that is doubted competes itself; one with a foreign character also with a word that the corpus doesn't have."""
     options: list[list[tuple]] = [[(w, None, 0.0)] for w in words]
     for s in spots:
         found = [(c["word"], c["n_word"], c["log_p"]) for c in s["candidates"] or []]
+        w, n = words[s["place"]], s["n_form"] or 1
         if s["sure"]:
-            options[s["place"]] = found or [(words[s["place"]], 0, 0.0)]
+            unread = "".join(UNREAD if i in bad else c for bad in [set(foreign(w))] for i, c in enumerate(w))
+            options[s["place"]] = [*found, (unread, 0, UNKNOWN), (w, max(n - 1, 0), MIXED)]
         elif found:
-            n, top = s["n_form"], max(c[1] for c in found)
             # a word 60 times rarer than its candidate is taken for no word of the corpus, as all its count may be misreadings
-            options[s["place"]] = [(words[s["place"]], max(n - 1, 0), 0.0 if top < 60 * n else -12.0), *found]
+            options[s["place"]] = [(w, max(n - 1, 0), 0.0 if max(c[1] for c in found) < 60 * n else RARE), *found]
     return options
 
 
@@ -466,10 +467,10 @@ def viterbi(words: list[str], options: list[list[tuple]], pairs: dict[tuple[str,
         nxt = []
         for w, n, e in options[i]:
             reach = []
-            for (score, path), (v, m, _) in zip(best, options[i - 1]):
+            for (score, path), (v, m, d) in zip(best, options[i - 1]):
                 k = pairs.get((v, w), 0)
                 if v == words[i - 1] and w == words[i]:
-                    k = max(k - 1, 0)
+                    k = 0 if MIXED in (d, e) else max(k - 1, 0)  # a misread word with its neighbours is found in the page's copies only
                 step = math.log(k + smooth * prior(n)) - (math.log(m + smooth) if m is not None else 0.0)
                 reach.append((score + step, path))
             score, path = max(reach, key=lambda x: x[0])
@@ -479,13 +480,13 @@ def viterbi(words: list[str], options: list[list[tuple]], pairs: dict[tuple[str,
 
 
 def decode(pages: DataFrame, events: DataFrame, fixes: DataFrame, total: int) -> DataFrame:
-    """(rec_id, line_no, place, was, word, part): the words found misread and what they are read as; word is null if no candidate is known."""
+    """(rec_id, line_no, place, was, word, part): the words found misread and what they are read as; word is null for one that the corpus doesn't have."""
     doubt = events.where("words IS NOT NULL").join(fixes, "form", "left")
     spots = doubt.groupBy("rec_id", "line_no", "place").agg(
-        F.first("words").alias("words"), F.first("form").alias("form"), F.first("sure").alias("sure"), F.first("part").alias("part"), F.first("n_form", ignorenulls=True).alias("n_form"),
-        F.filter(F.collect_list(F.struct("word", "n_word", "log_p")), lambda c: c["word"].isNotNull()).alias("candidates"),
+        F.first("words").alias("words"), F.max("sure").alias("sure"), F.max("part").alias("part"), F.max("n_form").alias("n_form"),
+        F.filter(F.collect_set(F.struct("word", "n_word", "log_p")), lambda c: c["word"].isNotNull()).alias("candidates"),
     )
-    lines = spots.where(F.col("sure") | (F.size("candidates") > 0)).groupBy("rec_id", "line_no").agg(F.first("words").alias("words"), F.collect_list(F.struct("place", "form", "sure", "part", "n_form", "candidates")).alias("spots"))
+    lines = spots.where(F.col("sure") | (F.size("candidates") > 0)).groupBy("rec_id", "line_no").agg(F.first("words").alias("words"), F.collect_list(F.struct("place", "sure", "part", "n_form", "candidates")).alias("spots"))
     lines = keep(lines, "p3-doubt")
 
     def pairs_of(batches):
@@ -507,9 +508,9 @@ def decode(pages: DataFrame, events: DataFrame, fixes: DataFrame, total: int) ->
                 pairs = {tuple(p["pair"].split(" ")): p["n"] for p in r["pairs"] or []}
                 got = viterbi(r["words"], lattice(r["words"], r["spots"]), pairs, total)
                 for s in r["spots"]:
-                    was = r["words"][s["place"]]
-                    if s["sure"] or got[s["place"]] != was:
-                        rows.append((r["rec_id"], r["line_no"], s["place"], was, got[s["place"]] if got[s["place"]] != was else None, s["part"]))
+                    was, word = r["words"][s["place"]], got[s["place"]]
+                    if word != was:
+                        rows.append((r["rec_id"], r["line_no"], s["place"], was, None if UNREAD in word else word, s["part"]))
             columns = list(zip(*rows)) or [[]] * 6
             types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["rec_id", "line_no", "place", "was", "word", "part"])

@@ -10,7 +10,10 @@ pairs occur inside a token, and cuts a text only at pairs that do not:
   occurs inside tokens, so nothing is cut after characters that end in A0).
   White space stays with what follows it, as the pattern's look-ahead looks to
   the right, so it never sees a false end of text;
-* inside long fragments, between two letters whose bytes form such a pair.
+* inside a fragment, between two letters whose bytes form such a pair, where the
+  last cut is 16 characters or more away: one rule for fragments of any length,
+  which leaves ordinary words whole and keeps a text without white space from
+  being one piece.
 
 Fragments are encoded independently, each distinct one once per worker, and
 their ids are concatenated.
@@ -32,8 +35,8 @@ from pyspark.sql import types as T
 
 from .common import Memo, slices, spread
 
-#: Fixed: the white space of ASCII. Fragments of LONG characters are cut further.
-WHITE, LONG = " \t\n\r\f\v", 256
+#: Fixed: the white space of ASCII. Parts inside a fragment have at least LEAST characters.
+WHITE, LEAST = " \t\n\r\f\v", 16
 
 
 def vocab_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -75,16 +78,15 @@ class Encoder:
     def _inner(self, fragment: str) -> list[str]:
         """Cuts between letters that no token joins."""
         out, start = [], 0
-        for i in range(1, len(fragment)):
+        for i in range(LEAST, len(fragment)):
             a, b = fragment[i - 1], fragment[i]
-            if i - start >= 16 and a.isalpha() and b.isalpha() and not self.inside[a.encode()[-1], b.encode()[0]]:
+            if i - start >= LEAST and a.isalpha() and b.isalpha() and not self.inside[a.encode()[-1], b.encode()[0]]:
                 out.append(fragment[start:i])
                 start = i
         return [*out, fragment[start:]]
 
     def _fragment(self, fragment: str) -> bytes:
-        parts = [fragment] if len(fragment) < LONG else self._inner(fragment)
-        return b"".join(np.array(self.bpe.encode_ordinary(p), np.int32).tobytes() for p in parts)
+        return b"".join(np.array(self.bpe.encode_ordinary(p), np.int32).tobytes() for p in self._inner(fragment))
 
     def fragments(self, text: str) -> list[str]:
         return self.cut.findall(text)

@@ -6,9 +6,11 @@ tracks the length of the longest match that ends at each word. Wherever that
 length reaches `least` words, the items that hold the last `least` words are
 found; the words matched are a leaked span. No shuffle, nothing quadratic.
 
-The automaton is broadcast. Its size follows the items, not the texts: it is
-built over blocks of items of at most BLOCK words, each block a pass of its own,
-so no broadcast grows beyond that bound.
+The automaton is broadcast. Its size follows the items, not the texts: items come
+in blocks of at most BLOCK words, each an automaton of flat arrays (about 60 bytes
+a word of its items, so 12 MB a block), and up to TOGETHER blocks are broadcast
+for one scan of the texts. More items make more scans, never a larger broadcast.
+Only one block at a time is on the driver as Python objects (about 0.2 GB).
 
 Defined results: null, empty and word-less texts hold nothing; an item of fewer
 than `least` words can't be held; repeated items are all reported; an unknown
@@ -17,17 +19,22 @@ word ends every match, a token of punctuation alone is skipped.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from array import array
+from bisect import bisect_left
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Memo, slices, spread
+from .common import Memo, Numbers, batch_of, keep, slices, spread
 from .visual import canonical_word
 
-BLOCK = 1_000_000
+BLOCK, TOGETHER = 200_000, 8
 KASHIDA = "ـ"
 
 
@@ -79,14 +86,20 @@ class Automaton:
                 while p > 0 and item not in held[p]:
                     held[p].add(item)
                     p = link[p]
-        self.step, self.link, self.length, self.least, self._numbers = step, link, length, least, None
-        self.hits: list[tuple[int, ...]] = [()] * len(step)
-        for s in range(1, len(step)):
+        self.least, self._numbers = least, None
+        # flat and sorted: (state, word) as one number -> next state; the items of state s are items[hit[s]:hit[s + 1]]
+        self.width = len(self.words) + 1
+        edges = sorted((s * self.width + c, q) for s, found in enumerate(step) for c, q in found.items())
+        self.keys, self.targets = array("q", [k for k, _ in edges]), array("i", [q for _, q in edges])
+        self.link, self.length = array("i", link), array("i", length)
+        self.hit, self.items = array("q", [0]), array("q")
+        for s in range(len(step)):
             p = s
             while p > 0 and length[link[p]] >= least:
                 p = link[p]
             if length[p] >= least:
-                self.hits[s] = tuple(sorted(held[p]))
+                self.items.extend(sorted(held[p]))
+            self.hit.append(len(self.items))
 
     def number(self, token: str) -> int:
         """-1: no word; 0: a word of no item."""
@@ -101,105 +114,117 @@ class Automaton:
 
     def match(self, numbers: list[int]) -> tuple[set[int], list[tuple[int, int]]]:
         """The items held and the spans (first token, end token) of the longest matches of at least `least` words."""
-        step, link, length, least, hits = self.step, self.link, self.length, self.least, self.hits
         found: set[int] = set()
         spans: list[tuple[int, int]] = []
+        n = np.fromiter(numbers, np.int64, len(numbers))
+        where = np.flatnonzero(n >= 0)  # tokens of punctuation alone are skipped
+        known = np.concatenate([[0], n[where] > 0, [0]])
+        turns = np.flatnonzero(np.diff(known))
+        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):  # runs of words that some item has
+            if b - a >= self.least:
+                self._run(n[where[a:b]].tolist(), where[a:b].tolist(), found, spans)
+        return found, spans
+
+    def _run(self, words: list[int], where: list[int], found: set[int], spans: list[tuple[int, int]]) -> None:
+        keys, targets, link, length, least, width = self.keys, self.targets, self.link, self.length, self.least, self.width
         state = size = 0
-        where: list[int] = []
-        for i, c in enumerate(numbers):
-            if c <= 0:
-                if c == 0:
-                    state = size = 0
-                    where.clear()
-                continue
-            nxt = step[state].get(c)
-            while nxt is None and state:
+        for i, c in enumerate(words):
+            while True:
+                key = state * width + c
+                at = bisect_left(keys, key)
+                if at < len(keys) and keys[at] == key:
+                    state, size = targets[at], size + 1
+                    break
+                if not state:
+                    size = 0
+                    break
                 state = link[state]
                 size = length[state]
-                nxt = step[state].get(c)
-            if nxt is None:
-                size = 0
-                where.clear()
-                continue
-            state = nxt
-            size += 1
-            where.append(i)
             if size >= least:
-                found.update(hits[state])
-                a = where[-size]
+                found.update(self.items[self.hit[state] : self.hit[state + 1]])
+                a, end = where[i - size + 1], where[i] + 1
                 if spans and spans[-1][1] > a:
-                    spans[-1] = (min(a, spans[-1][0]), i + 1)
+                    spans[-1] = (min(a, spans[-1][0]), end)
                 else:
-                    spans.append((a, i + 1))
-        return found, spans
+                    spans.append((a, end))
 
 
-def automata(items: DataFrame, least: int) -> list[Automaton]:
-    """Of the items in blocks; the items themselves are the stated query set."""
-    out, block, size = [], [], 0
+def automata(items: DataFrame, least: int):
+    """Of the items in blocks, one at a time; the items themselves are the stated query set."""
+    block, size = [], 0
     for r in items.select("item_id", "text").where("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         words = [k for t in r["text"].split() if (k := word_key(t))]
         if size and size + len(words) > BLOCK:
-            out.append(Automaton(block, least))
+            yield Automaton(block, least)
             block, size = [], 0
         if len(words) >= least:
             block.append((r["item_id"], words))
             size += len(words)
-    return [*out, Automaton(block, least)] if block else out
+    if block:
+        yield Automaton(block, least)
 
 
-def leaked(docs: DataFrame, items: DataFrame, least: int = 13) -> DataFrame:
-    """(doc_id, item_id), each pair once: the text holds at least `least` consecutive words of the item."""
-    out = None
-    for automaton in automata(items, least):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
+def matches(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """(doc_id, version, item_id, start, end): a row for each item held (item_id) and for each leaked span of tokens (start, end); version tells texts of one doc_id apart. One scan of the texts for TOGETHER blocks of items."""
+    texts = spread(docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("version"), "text"))
+    ddl = "doc_id bigint, version bigint, item_id bigint, start int, end int"
+    fields = {"doc_id": pa.int64(), "version": pa.int64(), "item_id": pa.int64(), "start": pa.int32(), "end": pa.int32()}
+    out = docs.sparkSession.createDataFrame([], ddl)
+    blocks = automata(items, least)
+    while group := list(islice(blocks, TOGETHER)):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches, shared=shared):
-            found = shared.value
-            numbers = found.numbers()
+            pairs = [(a, a.numbers()) for a in shared.value]
             for batch in slices(batches, "text"):
                 rows = []
-                for k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows += [(k, i) for i in sorted(found.match(list(map(numbers.__getitem__, t.split())))[0])]
-                k, i = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64())], ["doc_id", "item_id"])
+                for k, v, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text"))):
+                    tokens = t.split()
+                    for a, n in pairs:
+                        held, spans = a.match(list(map(n.__getitem__, tokens)))
+                        rows += [(k, v, i, None, None) for i in sorted(held)]
+                        rows += [(k, v, None, i, j) for i, j in spans]
+                yield batch_of(rows, fields)
 
-        part = spread(docs.where(F.length("text") > 0).select("doc_id", "text")).mapInArrow(run, "doc_id bigint, item_id bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    return out.distinct()
+        out = out.unionByName(texts.mapInArrow(run, ddl))
+    return out
+
+
+def leaked(docs: DataFrame, items: DataFrame, least: int = 13) -> DataFrame:
+    """(doc_id, item_id), each pair once: the text holds at least `least` consecutive words of the item."""
+    return matches(docs, items, least).where("item_id IS NOT NULL").select("doc_id", "item_id").distinct()
 
 
 def cleaned(docs: DataFrame, items: DataFrame, least: int = 13, coverage: float = 0.5) -> DataFrame:
-    """(doc_id, n_words, n_leaked, dropped, text) of every document: leaked spans are cut out; a text of which they cover `coverage` or more of the words is dropped as a whole (null)."""
-    import re
+    """(doc_id, n_words, n_leaked, dropped, text) of every document: leaked spans are cut out; a text of which they cover `coverage` or more of the words is dropped as a whole (null).
 
-    todo = automata(items, least)
-    shared = docs.sparkSession.sparkContext.broadcast(todo)
+    Only the texts that may hold a span (by a bit table of their ids) meet the spans in a join; the others pass through."""
+    spans = keep(matches(docs, items, least).where("start IS NOT NULL").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "p7-spans")
+    hit = docs.sparkSession.sparkContext.broadcast(Numbers(spans.select("doc_id")))
+    may = F.arrow_udf(lambda c: pa.array(hit.value.hits(pc.fill_null(c, 0).to_numpy(zero_copy_only=False))), "boolean")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").withColumn("may", may("doc_id"))
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    both = rows.where("may").join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans").unionByName(rows.where("NOT may").select("doc_id", "text", none))
+    fields = {"doc_id": pa.int64(), "n_words": pa.int32(), "n_leaked": pa.int32(), "dropped": pa.bool_(), "text": pa.string()}
 
     def run(batches):
-        found = shared.value
-        numbers = [a.numbers() for a in found]
         for batch in slices(batches, "text"):
-            rows = []
-            for k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            out = []
+            for k, t, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 tokens = (t or "").split()
                 gone = bytearray(len(tokens))
-                for a, n in zip(found, numbers):
-                    for i, j in a.match(list(map(n.__getitem__, tokens)))[1]:
-                        gone[i:j] = b"\1" * (j - i)
+                for x in found or ():
+                    gone[x["start"] : x["end"]] = b"\1" * (x["end"] - x["start"])
                 lost = sum(gone)
                 drop = bool(lost) and lost >= coverage * len(tokens)
                 if lost and not drop:
-                    out, end = [], 0
+                    parts, end = [], 0
                     for m, g in zip(re.finditer(r"\S+", t), gone):
                         if g:
-                            out.append(t[end : m.start()])
+                            parts.append(t[end : m.start()])
                             end = m.end()
-                    t = "".join(out) + t[end:]
-                rows.append((k, len(tokens), lost, drop, None if drop else t))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()])], ["doc_id", "n_words", "n_leaked", "dropped", "text"])
+                    t = "".join(parts) + t[end:]
+                out.append((k, len(tokens), lost, drop, None if drop else t))
+            yield batch_of(out, fields)
 
-    return spread(docs.select("doc_id", "text")).mapInArrow(run, T.StructType.fromDDL("doc_id bigint, n_words int, n_leaked int, dropped boolean, text string"))
+    return both.mapInArrow(run, "doc_id bigint, n_words int, n_leaked int, dropped boolean, text string")

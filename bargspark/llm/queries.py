@@ -26,6 +26,10 @@ def p1_consistent(spark, d):
     return out.join(once, ["field", "rec_id"], "left").withColumn("member", F.coalesce("member", "rec_id"))
 
 
+def p1_classes(spark, d):
+    return visual.classes(_values(spark, d))
+
+
 def p2_found(spark, d):
     return vocabulary.cases(read(spark, d, "page_fields", "rec_id", "flags"), read(spark, d, "qc_reports", "report_id", "issues"), read(spark, d, "vocab_ref"))
 

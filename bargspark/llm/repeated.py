@@ -29,13 +29,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Numbers, batch_of, keep, of_numbers, slices, spread
+from .common import Memo, Numbers, batch_of, keep, slices, spread
 from .visual import canonical, canonical_lines
 
-NUMBER, SPACE = re.compile(r"\d+"), re.compile(r"\s+")
+SPACE = re.compile(r"\s+")
 #: The window of the rolling hash, and the bits of it that are zero at a cut: chunks have about 2**BITS characters.
 WINDOW, BITS = 8, 6
 #: Fixed: the base of the hash, its inverse and an odd factor for characters (arithmetic modulo 2**64).
@@ -47,7 +48,7 @@ class _Tables:
 
     def __init__(self):
         self.powers = self.inverses = np.ones(1, np.uint64)
-        self.letters = None
+        self.letters = self.digits = None
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.powers) < n:
@@ -60,23 +61,21 @@ class _Tables:
             self.letters = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
         return self.letters[code]
 
-
-TABLES = _Tables()
+    def is_digit(self, code: np.ndarray) -> np.ndarray:
+        if self.digits is None:
+            self.digits = np.fromiter((chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
+        return self.digits[code]
 
 
-def line_key(canonical_line: str) -> str:
-    """What lines are compared by: trimmed, each number a zero."""
-    return NUMBER.sub("0", canonical_line.strip())
+TABLES = _Tables()
 
 
 def codes(keys: list[str]) -> np.ndarray:
     return np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def chunk_hashes(keys: list[str], code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, number of its text, start, end within all characters) of each chunk of the texts, in order."""
-    code = codes(keys) if code is None else code
-    sizes = np.fromiter(map(len, keys), np.int64, len(keys))
+def chunk_hashes(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its text, start, end within all characters) of each chunk of texts of these sizes and characters, in order."""
     n = len(code)
     if not n:
         return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
@@ -96,7 +95,7 @@ def chunk_hashes(keys: list[str], code: np.ndarray | None = None) -> tuple[np.nd
     found ^= found >> np.uint64(29)
     found *= np.uint64(0xBF58476D1CE4E5B9)
     found ^= found >> np.uint64(32)
-    return found.view(np.int64), np.repeat(np.arange(len(keys)), sizes)[start], start, end
+    return found.view(np.int64), np.repeat(np.arange(len(sizes)), sizes)[start], start, end
 
 
 def _source(origin: str) -> int:
@@ -104,35 +103,55 @@ def _source(origin: str) -> int:
 
 
 SOURCES = Memo(_source)
-LINE_FIELDS = {"rec_id": pa.int64(), "line_no": pa.int32(), "origin": pa.string(), "book": pa.string(), "key": pa.binary(), "chunks": pa.list_(pa.int64())}
+#: A row for each text: its lines of enough letters by number, a digest of each, how many chunks each has, and the chunks of all.
+LINE_FIELDS = {"rec_id": pa.int64(), "origin": pa.string(), "book": pa.string(), "nos": pa.list_(pa.int32()), "keys": pa.list_(pa.binary()), "sizes": pa.list_(pa.int32()), "chunks": pa.list_(pa.int64())}
+LINE_DDL = "rec_id bigint, origin string, book string, nos array<int>, keys array<binary>, sizes array<int>, chunks array<bigint>"
 
 
 def _of_origin(hashes: np.ndarray, origins: np.ndarray) -> np.ndarray:
     return ((hashes.view(np.uint64) ^ origins) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
+def _with_zeros(code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and sizes of texts with each number as one zero."""
+    digit = TABLES.is_digit(code)
+    again = np.concatenate([[False], digit[:-1]]) & digit
+    again[np.cumsum(sizes)[:-1]] = False  # a number at the start of a text (none is empty) is the first of its own
+    code = np.where(digit, np.uint32(ord("0")), code)[~again]
+    return code, sizes - np.add.reduceat(again, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
 def line_batch(batch: pa.RecordBatch, texts: list[list[str]], letters: int) -> pa.RecordBatch:
-    """LINE_FIELDS of each line of enough letters of a batch's texts (their canonical lines); chunks are 64-bit hashes of origin and chunk, key is a digest of the line."""
-    rows = [(i, no, line_key(line)) for i, lines in enumerate(texts) for no, line in enumerate(lines, 1) if len(line) >= letters]
-    rows = [r for r in rows if len(r[2]) >= letters]
+    """LINE_FIELDS of a batch's texts (their canonical lines) that have such lines and an origin and a book; chunks are 64-bit hashes of origin and chunk."""
+    own = [None if o is None or b is None else SOURCES[o] for o, b in zip(batch.column("origin").to_pylist(), batch.column("book").to_pylist())]
+    rows = [(i, no, x) for i, lines in enumerate(texts) if own[i] is not None for no, line in enumerate(lines, 1) if len(line) >= letters and len(x := line.strip()) >= letters]
+    recs, nos, keys = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+    code, sizes = codes(keys), np.fromiter(map(len, keys), np.int64, len(keys))
     if rows:
-        code = codes([r[2] for r in rows])
-        sizes = np.fromiter((len(r[2]) for r in rows), np.int64, len(rows))
         some = np.add.reduceat(TABLES.is_letter(code), np.cumsum(sizes) - sizes, dtype=np.int64) >= letters
-        if not some.all():
-            rows, code = [r for r, ok in zip(rows, some) if ok], code[np.repeat(some, sizes)]
-    recs, nos, keys = zip(*rows) if rows else ((), (), ())
-    hashes, line, _, _ = chunk_hashes(keys, code if rows else np.zeros(0, np.uint32))
+        code, sizes = code[np.repeat(some, sizes)], sizes[some]
+        recs, nos = [r for r, ok in zip(recs, some) if ok], [n for n, ok in zip(nos, some) if ok]
+    if len(sizes):
+        code, sizes = _with_zeros(code, sizes)
+    hashes, line, _, _ = chunk_hashes(sizes, code)
+    at = np.array(recs, np.int64)
     if len(hashes):
-        own = np.array([SOURCES[o] if o is not None else 0 for o in batch.column("origin").to_pylist()], np.uint64)
-        hashes = _of_origin(hashes, own[np.array(recs)[line]])
-    ends = np.searchsorted(line, np.arange(len(keys) + 1))
-    digests = pa.array([hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys], pa.binary())
-    take = pa.array(recs, pa.int32())
+        hashes = _of_origin(hashes, np.array([o or 0 for o in own], np.uint64)[at[line]])
+    ends, raw = np.cumsum(sizes) * 4, code.tobytes()
+    digests = [hashlib.blake2b(raw[e - n : e], digest_size=16).digest() for e, n in zip(ends.tolist(), (sizes * 4).tolist())]
+    texts_of, first = np.unique(at, return_index=True)
+    by_text = pa.array(np.append(first, len(at)).astype(np.int32))
+    per_line = np.bincount(line, minlength=len(at)) if len(at) else np.zeros(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(per_line)])[np.append(first, len(at))]
+    take = pa.array(texts_of)
     return pa.RecordBatch.from_arrays(
-        [batch.column("rec_id").take(take), pa.array(nos, pa.int32()), batch.column("origin").take(take), batch.column("book").take(take), digests, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes))],
+        [
+            *(batch.column(c).take(take) for c in ("rec_id", "origin", "book")),
+            pa.ListArray.from_arrays(by_text, pa.array(nos, pa.int32())), pa.ListArray.from_arrays(by_text, pa.array(digests, pa.binary())),
+            pa.ListArray.from_arrays(by_text, pa.array(per_line.astype(np.int32))), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashes)),
+        ],
         list(LINE_FIELDS),
-    )
+    )
 
 
 def _ours(pages: DataFrame, letters: int) -> DataFrame:
@@ -140,22 +159,35 @@ def _ours(pages: DataFrame, letters: int) -> DataFrame:
 
 
 def lines(pages: DataFrame, letters: int = 25) -> DataFrame:
-    """(rec_id, line_no, origin, book, key, chunks) of each line of enough letters."""
+    """LINE_FIELDS of the texts."""
 
     def run(batches):
         for batch in slices(batches, "text_md", 1 << 19):  # arrays that fit the processor's cache
             yield line_batch(batch, [canonical_lines(t) for t in batch.column("text_md").to_pylist()], letters)
 
-    return _ours(pages, letters).mapInArrow(run, "rec_id bigint, line_no int, origin string, book string, key binary, chunks array<bigint>")
+    return _ours(pages, letters).mapInArrow(run, LINE_DDL)
 
 
 def repeated(pages: DataFrame, books: int = 3, letters: int = 25, all_lines: DataFrame | None = None) -> DataFrame:
     """(rec_id, line_no), each once: the lines found in records of at least `books` books of their origin. `all_lines` is a kept table of `lines`, where there is one."""
     all_lines = keep(lines(pages, letters), "p5-lines") if all_lines is None else all_lines
-    chunk = all_lines.select(F.explode("chunks").alias("chunk"), F.xxhash64("book").alias("book"))
+    chunk = all_lines.select(F.explode("chunks").alias("chunk"), F.hash("book").alias("book"))
     # one shuffle: of each task at most one row per origin and chunk, with the least and the greatest book it saw
     shared = chunk.groupBy("chunk").agg(F.min("book").alias("a"), F.max("book").alias("b")).where("a <> b")
-    some = keep(of_numbers(all_lines, "chunks", Numbers(shared.select("chunk"))).drop("chunks"), "p5-some")
+    known = all_lines.sparkSession.sparkContext.broadcast(Numbers(shared.select("chunk")))
+
+    def lines_of(nos: pa.Array, keys: pa.Array, sizes: pa.Array, chunks: pa.Array) -> pa.Array:
+        """The lines all of whose chunks may be repeated."""
+        ok = known.value.hits(chunks.flatten().to_numpy(zero_copy_only=False))
+        each = sizes.flatten().to_numpy(zero_copy_only=False)
+        sure = np.diff(np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], np.cumsum(each)])]) == each
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(nos).to_numpy(zero_copy_only=False))])
+        left = pa.array(np.concatenate([[0], np.cumsum(sure)])[ends].astype(np.int32))
+        keep_ = pa.array(sure)
+        return pa.ListArray.from_arrays(left, pa.StructArray.from_arrays([nos.flatten().filter(keep_), keys.flatten().filter(keep_)], ["line_no", "key"]))
+
+    found = F.arrow_udf(lines_of, "array<struct<line_no: int, key: binary>>")("nos", "keys", "sizes", "chunks")
+    some = keep(all_lines.select("rec_id", "origin", "book", F.explode(found).alias("l")).select("rec_id", "origin", "book", "l.line_no", "l.key"), "p5-some")
     sure = some.select("origin", "key", F.xxhash64("book").alias("book")).distinct().groupBy("origin", "key").count().where(F.col("count") >= books)
     return some.join(sure, ["origin", "key"], "leftsemi").select("rec_id", "line_no").distinct()
 
@@ -170,11 +202,11 @@ def repeated_chunks(pages: DataFrame, books: int = 3, letters: int = 25) -> Data
 
     def run(batches):
         digit = np.arange(0x110000, dtype=np.uint32)
-        digit[[c for c in range(0x110000) if chr(c).isdigit()]] = ord("0")
+        digit[[c for c in range(0x110000) if chr(c).isdecimal()]] = ord("0")
         for batch in slices(batches, "text_md", 1 << 19):
             keys = [whole_key(t) for t in batch.column("text_md").to_pylist()]
             code = digit[codes(keys)]
-            hashes, text, start, end = chunk_hashes(keys, code)
+            hashes, text, start, end = chunk_hashes(np.fromiter(map(len, keys), np.int64, len(keys)), code)
             first = np.cumsum([0, *map(len, keys)])
             enough = np.diff(np.concatenate([[0], np.cumsum(TABLES.is_letter(code))])[np.append(start, len(code))]) >= letters if len(start) else np.zeros(0, bool)
             own = np.array([SOURCES[o] for o in batch.column("origin").to_pylist()], np.uint64)

@@ -12,7 +12,8 @@ of one text are arrays of one task; nothing is shuffled.
 
 Defined results: texts of at most `limit` tokens (null, empty and white-space
 texts too) have no pieces; ties take the farther boundary; the last piece ends
-with the text. A piece's token range shares exactly `overlap` tokens with the
+with the text; limits so small that a whole character doesn't fit are an error,
+as no piece may be larger. A piece's token range shares exactly `overlap` tokens with the
 one before. Where its first token begins inside a character, the piece's text
 begins with that whole character.
 """
@@ -61,8 +62,8 @@ def successors(at: np.ndarray, kind: np.ndarray, total: int, limit: int, overlap
         good = (chosen < 0) & (i >= 0) & (at[found] > low)
         chosen[good] = found[good]
     chosen[start + limit >= total] = len(at) - 1
-    stuck = chosen < 0  # less than one whole character fits: take the next boundary all the same
-    chosen[stuck] = np.minimum(np.flatnonzero(stuck) + 1, len(at) - 1)
+    if (chosen < 0).any():
+        raise ValueError(f"a piece of at most {limit} tokens, {overlap} of them shared, can't hold the next whole character")
     return chosen
 
 

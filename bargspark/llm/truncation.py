@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Bits, Memo, Numbers, batch_of, keep, of_numbers, only_numbers, slices
@@ -134,9 +135,14 @@ def min_hash_bands(hashes: list[np.ndarray]) -> list[list[int]]:
 
 def read_ends(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     """Of each delivery of a record: its end, sizes, words as hashes and bands; besides, rows of (word, n) for the counts of words inside texts. What was delivered twice is dropped later, from rows without texts."""
-    # at most the lines of one text; kept, so that its size is known: Spark broadcasts it below its threshold only
-    dropped = keep(furniture.groupBy("rec_id").agg(F.collect_set("line_no").alias("dropped")), "p4-dropped")
-    df = pages.select("rec_id", "book", "page", "origin", "text_md").join(dropped, "rec_id", "left")
+    furniture = keep(furniture, "p4-dropped")
+    hit = pages.sparkSession.sparkContext.broadcast(Numbers(furniture.select("rec_id").distinct()))
+    may = F.arrow_udf(lambda c: pa.array(hit.value.hits(pc.fill_null(c, 0).to_numpy(zero_copy_only=False))), "boolean")("rec_id")
+    dropped = furniture.groupBy("rec_id").agg(F.collect_set("line_no").alias("dropped"))  # at most the lines of one text
+    # texts that lose no line pass through; the others meet their lines by a shuffled join at every size, as the lines grow with the texts; the lines are the smaller side, the texts are not sorted
+    df = pages.select("rec_id", "book", "page", "origin", "text_md").withColumn("may", may)
+    lost = df.where("may").join(dropped.hint("shuffle_hash"), "rec_id", "left")
+    df = lost.select("rec_id", "book", "page", "origin", "text_md", "dropped").unionByName(df.where("NOT may").drop("may").withColumn("dropped", F.lit(None).cast("array<int>")))
     names = ["rec_id", "book", "page", "origin", "chars", "bytes", "kind", "last", "n_words", "words", "bands", "word", "n"]
     types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.int64()]
 
@@ -184,9 +190,9 @@ def limits(ends: DataFrame, least: int = 5, times: float = 10.0, width: int = 30
     """(origin, unit, size): sizes at which an origin's records pile up. A cut in bytes may fall up to 3 short of the limit, so it covers the sizes just below."""
     sizes = ends.where("origin IS NOT NULL AND chars > 0").select("origin", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
     hist = sizes.groupBy("origin", "s.unit", "s.size").count()  # at most two rows for each size and origin
-    near = hist.withColumn("off", F.explode(F.sequence(F.lit(-width), F.lit(width)))).where("abs(off) > 3")
-    mean = near.groupBy("origin", "unit", (F.col("size") + F.col("off")).alias("size")).agg((F.sum("count") / (2 * width - 6)).alias("mean"))
-    found = hist.join(mean, ["origin", "unit", "size"], "left").where((F.col("count") >= least) & (F.col("count") >= times * F.coalesce("mean", F.lit(0.0))) & (F.coalesce("mean", F.lit(0.0)) > 0))
+    by = W.partitionBy("origin", "unit").orderBy("size")
+    around = F.sum("count").over(by.rangeBetween(-width, width)) - F.sum("count").over(by.rangeBetween(-3, 3))
+    found = hist.withColumn("mean", around / (2 * width - 6)).where((F.col("count") >= least) & (F.col("count") >= times * F.col("mean")) & (F.col("mean") > 0))
     chars = found.where("unit = 'chars'").select("origin", "unit", "size")
     bytes_ = found.where("unit = 'bytes'").select("origin", "unit", F.explode(F.sequence(F.col("size") - 2, F.col("size"))).alias("size"))
     # bytes follow characters: where an origin's limit is in characters, no pile of bytes is its cause
@@ -369,7 +375,7 @@ def truncated(pages: DataFrame, fields: DataFrame, furniture: DataFrame) -> Data
     """(rec_id, origin, why, terminality) of the truncated records, each once; why is the first reason that holds: limit, copy, form, word, sentence; terminality is that of the closing word of an open text."""
     kept = keep(read_ends(pages, furniture), "p4-ends")
     ends, counts = kept.where("rec_id IS NOT NULL"), kept.where("rec_id IS NULL").select("word", "n")
-    once = keep(ends.select("rec_id", "book", "page", "origin", "chars", "bytes", "kind", "last", "n_words").dropDuplicates(["rec_id"]), "p4-once")
+    once = keep(ends.select("rec_id", "book", "page", "origin", "chars", "bytes", "kind", "last", "n_words").distinct(), "p4-once")  # deliveries of one record say the same
     flags = fields.select("rec_id", "starts_mid_paragraph", "continues_next").dropDuplicates(["rec_id"])
     slim = once.where("n_words > 0").drop("n_words").join(flags, "rec_id", "left")
     nxt = slim.where("book IS NOT NULL AND page IS NOT NULL").groupBy("book", (F.col("page") - 1).alias("page")).agg(F.max("starts_mid_paragraph").alias("goes_on"))
@@ -385,7 +391,7 @@ def truncated(pages: DataFrame, fields: DataFrame, furniture: DataFrame) -> Data
         .when((F.col("kind") == "open") & F.col("piece"), "word")
         .when((F.col("kind") == "open") & ~goes_on, "sentence")
     )
-    return all_.withColumn("why", why).where("why IS NOT NULL").select("rec_id", "origin", "why", F.when(F.col("kind") == "open", F.col("terminality")).alias("terminality"))
+    return all_.withColumn("why", why).where("why IS NOT NULL").select("rec_id", "origin", "why", F.when(F.col("kind") == "open", F.col("terminality")).alias("terminality")).dropDuplicates(["rec_id"])
 
 
 def shares(pages: DataFrame, found: DataFrame) -> DataFrame:

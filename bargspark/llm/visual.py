@@ -17,9 +17,14 @@ Letter case, vowel marks, kashida and other digits stay as they are.
 
 The operator then groups the mapped values under the accent-sensitive collation
 UNICODE in SQL, takes the member of the least id as the class's canonical one
-and joins it back. That collation ignores or equates some characters which do
-differ in print (the non-joiner, kashida, digits of other scripts), so `guard`
-first puts private-use characters in their place.
+and joins it back. The collation alone decides which values are of one class.
+Values equal under it have the same letters but for accents, case and order, so
+only values that share the sum of their base letters' hashes (`letters_key`) with
+another value of the book can be of any class, and no others are shuffled.
+
+That collation ignores or equates some characters which do differ in print (the
+non-joiner, kashida, digits of other scripts), so `guard` first puts private-use
+characters in their place.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,28 +180,55 @@ def with_canonical(df: DataFrame, guarded: bool = False) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("mapped", T.StringType())]))
 
 
+class _Letters:
+    """A number for the base letters of each character, 0 for what is no letter; filled as characters are met, one per Python worker."""
+
+    def __init__(self):
+        self.value = self.known = None
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        if self.value is None:
+            self.value, self.known = np.zeros(0x110000, np.uint64), np.zeros(0x110000, bool)
+        for c in np.unique(code[~self.known[code]]).tolist():
+            base = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(c)).casefold())
+            self.value[c] = sum(_digest(x) for x in base if unicodedata.category(x) in ("Lu", "Ll", "Lt", "Lo")) & 0xFFFFFFFFFFFFFFFF
+            self.known[c] = True
+        return self.value[code]
+
+
+LETTERS_OF = _Letters()
+
+
+def letters_key(texts: list[str]) -> np.ndarray:
+    """The sum of the hashes of each text's base letters: equal for texts that are equal under the collation."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS_OF.of(code), dtype=np.uint64)])
+    ends = np.cumsum([0, *map(len, texts)])
+    return np.diff(total[ends]).view(np.int64)
+
+
 def with_hashes(df: DataFrame) -> DataFrame:
-    """(field, rec_id, book, look, raw): 64-bit hashes of the canonical form and of the value itself."""
+    """(field, rec_id, book, letters, raw): `letters_key` of the canonical form and a 64-bit hash of the value itself."""
 
     def run(batches):
-        for batch in slices(batches, "value"):
+        for batch in slices(batches, "value", 1 << 20):
             text = batch.column("value").to_pylist()
-            look, raw = [_digest(mapped(t)) for t in text], [_digest(t) for t in text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("field", "rec_id", "book")), pa.array(look, pa.int64()), pa.array(raw, pa.int64())], ["field", "rec_id", "book", "look", "raw"])
+            letters, raw = letters_key([mapped(t) for t in text]), [_digest(t) for t in text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("field", "rec_id", "book")), pa.array(letters), pa.array(raw, pa.int64())], ["field", "rec_id", "book", "letters", "raw"])
 
-    return df.mapInArrow(run, "field string, rec_id bigint, book string, look bigint, raw bigint")
+    return df.mapInArrow(run, "field string, rec_id bigint, book string, letters bigint, raw bigint")
 
 
 def members(vals: DataFrame) -> DataFrame:
     """(field, rec_id, book, member, raw) of the records whose look another record of the book has in different characters; member is the canonical member.
 
-    Only hashes are shuffled for the search; the values of the records found are
-    then grouped under the collation and the canonical member is joined back.
+    Only hashes are shuffled to find values that may have such another; these are
+    grouped under the collation and the canonical member is joined back.
     """
     spark = vals.sparkSession
     hashed = keep(with_hashes(spread(vals)).dropDuplicates(["field", "rec_id", "book", "raw"]), "p1-hashes")
-    classes = hashed.groupBy("field", "book", "look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b")
-    some = hashed.join(classes.select("field", "book", "look"), ["field", "book", "look"], "leftsemi").select("field", "rec_id", "raw")
+    several = hashed.groupBy("field", "book", "letters").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b")
+    some = hashed.join(several.select("field", "book", "letters"), ["field", "book", "letters"], "leftsemi").select("field", "rec_id", "raw")
     texts = vals.join(some, ["field", "rec_id"]).dropDuplicates(["field", "rec_id", "raw"])
     v = with_canonical(texts, guarded=True).select("field", "rec_id", "book", "raw", "mapped")
     return spark.sql(
@@ -206,6 +239,11 @@ def members(vals: DataFrame) -> DataFrame:
     )
 
 
+def classes(vals: DataFrame) -> DataFrame:
+    """(field, book, member, records, spellings): each class of values that look the same in different characters, by its canonical member; what `pairs` says without expanding a large class."""
+    return members(vals).groupBy("field", "book", "member").agg(F.countDistinct("rec_id").alias("records"), F.countDistinct("raw").alias("spellings"))
+
+
 def pairs(vals: DataFrame) -> DataFrame:
     """(field, rec_a, rec_b), rec_a < rec_b: records of one book of the same look but not equal code point by code point."""
     m = keep(members(vals), "p1-members")

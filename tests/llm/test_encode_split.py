@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,6 +27,22 @@ def test_random_texts(t):
     assert np.frombuffer(ENC.ids(t), np.int32).tolist() == reference(t)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("'sالبتیمدکسa‌éZ09.#|🙂ßчш的")), min_size=1, max_size=40), min_size=8, max_size=40), st.sampled_from(["", "", " ", "\n", "\xa0"]))
+def test_long_texts_with_little_white_space(parts, between):
+    t = between.join(parts)
+    assert np.frombuffer(ENC.ids(t), np.int32).tolist() == reference(t)
+
+
+def test_words_of_a_language_without_white_space():
+    rng = random.Random(8)
+    letters = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهی"
+    for n in (255, 256, 257, 300, 1000, 5000):
+        for _ in range(20):
+            t = "".join(rng.choice(letters + "aeiou'" if rng.random() < 0.3 else letters) for _ in range(n))
+            assert np.frombuffer(ENC.ids(t), np.int32).tolist() == reference(t), t
+
+
 def test_table(spark):
     rows = [(1, "a b", 7), (2, None, 7), (3, "", 8), (4, "سلام دنیا", 8), (4, "سلام دنیا", 8)]
     got = {r.doc_id: list(r.ids) for r in E.encode(spark.createDataFrame(rows, "doc_id bigint, text string, ids int")).collect()}
@@ -73,6 +90,13 @@ def test_text_without_boundaries_keeps_whole_characters():
     assert all(y[0] == x[1] - 20 for x, y in zip(got, got[1:]))
 
 
+def test_limits_too_small_for_a_character():
+    with pytest.raises(ValueError):
+        S.cut(ENC, "🜁🜂🜃🜄" * 20, 4, 3)
+    for a, b, *_ in S.cut(ENC, "🜁🜂🜃🜄" * 200, 32, 4):
+        assert b - a <= 32
+
+
 def test_pieces(spark):
     long = "\n\n".join(["این یک جمله است. " * 30] * 60)
     df = spark.createDataFrame([(1, long, 1), (2, None, 1), (3, "", 1), (4, "short", 1), (5, " " * 9000, 1)], "doc_id bigint, text string, piece int")

@@ -47,7 +47,17 @@ def test_table(spark):
 
 
 def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK", 50)
+    monkeypatch.setattr(L, "BLOCK", 50), monkeypatch.setattr(L, "TOGETHER", 2)
     items = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(30))) for i in range(7)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(13))) for i in range(7)], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in L.leaked(docs, items).collect()) == [(i, i) for i in range(7)]
+    clean = {r.doc_id: r for r in L.cleaned(docs.unionByName(spark.createDataFrame([(99, "w1_1 w1_2"), (98, None)], docs.schema)), items).collect()}
+    assert len(clean) == 9 and all(clean[i].dropped for i in range(7)) and clean[99].text == "w1_1 w1_2" and clean[98].n_words == 0
+
+
+def test_memory_of_a_block():
+    rng = random.Random(1)
+    items = [(i, [f"w{rng.randint(0, 5000)}" for _ in range(100)]) for i in range(100)]
+    a = L.Automaton(items, 13)
+    flat = sum(len(x) * x.itemsize for x in (a.keys, a.targets, a.link, a.length, a.hit, a.items))
+    assert flat < 100 * 10_000

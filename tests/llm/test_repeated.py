@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from bargspark.llm import repeated as R
 from bargspark.llm.visual import canonical
 
@@ -47,8 +49,9 @@ def test_without(spark):
 def test_equal_lines_have_equal_chunks():
     rng = random.Random(1)
     lines = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (5, 9, 40, 200)]
-    alone = [R.chunk_hashes([x])[0].tolist() for x in lines]
-    hashes, line, start, end = R.chunk_hashes(lines)
+    sizes = lambda x: np.array([len(s) for s in x])
+    alone = [R.chunk_hashes(sizes([x]), R.codes([x]))[0].tolist() for x in lines]
+    hashes, line, start, end = R.chunk_hashes(sizes(lines), R.codes(lines))
     assert end.tolist()[-1] == sum(map(len, lines)) and (start[1:] == end[:-1]).all()
     assert [hashes[line == i].tolist() for i in range(len(lines))] == alone and len(alone[3]) > 3
 
@@ -72,3 +75,10 @@ def test_chunks_do_not_depend_on_line_breaks(spark):
         a, b = own.split(whole)
         assert kept.startswith(a[: len(a) - 200]) and kept.endswith(b[200:])
     assert R.repeated_chunks(df.limit(0)).count() == 0
+
+
+def test_numbers_are_zeros():
+    keys = ["12 ab 3", "45", "x9", "9۱x"]
+    code, sizes = R._with_zeros(R.codes(keys), np.array([len(k) for k in keys]))
+    text = code.tobytes().decode("utf-32-le")
+    assert text == "0 ab 00x00x" and sizes.tolist() == [6, 1, 2, 2]
