@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bargspark.functions import text as X
+from bargspark.functions.batches import slices
 
 # Endings joined to a final heh, what counts as punctuation, the least part of a snippet's words, the first id of findings.
 HEH = re.compile("ه(?:‌|ها|ای|اش|ام|اند|یی|تر|تری)")
@@ -121,12 +122,25 @@ def apply_hunks(text: str, parts: list[dict], decisions: dict[int, str | None] |
     return text
 
 
+def applied(df: DataFrame, key: str, text: str = "text_md") -> DataFrame:
+    """Of (key, text, hunks, decisions array<struct<id, text>>): (key, text) with the hunks put in that decisions name, with their own text where it isn't null; all of them where decisions is null."""
+    schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
+
+    def run(batches):
+        for b in slices(batches, text, 4 << 20):
+            rows = zip(*(b.column(c).to_pylist() for c in (text, "hunks", "decisions")))
+            done = [apply_hunks(t or "", h or [], None if d is None else {x["id"]: x["text"] for x in d}) for t, h, d in rows]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(done, pa.string())], [key, "text"])
+
+    return df.select(key, text, "hunks", "decisions").mapInArrow(run, schema)
+
+
 def _mapped(df: DataFrame, old: str, new: str, name: str, kind: T.DataType, make, arrow: pa.DataType) -> DataFrame:
     keep = [c for c in df.columns if c not in (old, new)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, kind)])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, old, 4 << 20):
             got = [make(x, y) for x, y in zip(b.column(old).to_pylist(), b.column(new).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, arrow)], [*keep, name])
 

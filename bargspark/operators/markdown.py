@@ -3,8 +3,9 @@
 Lines are classified and runs of lines become blocks by windows over one page
 (partitioned by record, so a book that holds a third of all pages is still spread
 page by page). What follows pages (joins of paragraphs, chapters, numbers of
-notes) needs running sums over a book; these run on one slim row per page, and
-the results are joined back, so no task holds a book's texts.
+notes) needs running values over a book; these run on one slim row per page in
+blocks of pages (windows.py), and the results are joined back, so no task holds a
+book's texts or all of its pages.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bargspark.functions import text as X
+from bargspark.session import keep
+
+from . import windows
 
 # The shapes of lines.
 NOTE = r"(?s)^\[\^([^\]]+)\]:\s?(.*)$"
@@ -94,20 +98,19 @@ def stitched(pages: DataFrame) -> DataFrame:
     A page's first block joins the last block of the book before it if both are
     paragraphs, the page before is the number before, it goes on and this one
     starts inside a paragraph. A page without blocks doesn't stand between them."""
-    b = blocks(pages.select("rec_id", "book", "page", "text_md"))
+    b = keep(blocks(pages.select("rec_id", "book", "page", "text_md")), "md-blocks")
     ends = b.groupBy("rec_id").agg(F.min_by("kind", "block").alias("first_kind"), F.max_by("kind", "block").alias("last_kind"), F.min("block").alias("first"), F.max("block").alias("last"))
-    slim = pages.select("rec_id", "book", "page", "starts_mid_paragraph", "continues_next").join(ends, "rec_id", "left")
     # a slim row per page, in order of the book
-    w = W.partitionBy("book").orderBy("page")
-    over = w.rowsBetween(W.unboundedPreceding, -1)
-    last_kind, last_block = F.last("last_kind", ignorenulls=True).over(over), F.last(F.when(F.col("last").isNotNull(), F.struct("rec_id", "last")), ignorenulls=True).over(over)
-    joins = (F.lag("page").over(w) == F.col("page") - 1) & F.lag("continues_next").over(w) & F.col("starts_mid_paragraph") & (last_kind == "p") & (F.col("first_kind") == "p")
-    slim = slim.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("prev", last_block)
+    slim = keep(pages.select("rec_id", "book", "page", "starts_mid_paragraph", "continues_next").join(ends, "rec_id", "left"), "md-pages")
+    slim = windows.last_before(slim, ["book"], "page", {"_page": F.struct("page", "continues_next"), "_kind": F.col("last_kind"), "prev": F.when(F.col("last").isNotNull(), F.struct("rec_id", "last"))})
+    joins = (F.col("_page.page") == F.col("page") - 1) & F.col("_page.continues_next") & F.col("starts_mid_paragraph") & (F.col("_kind") == "p") & (F.col("first_kind") == "p")
+    slim = slim.withColumn("joins", F.coalesce(joins, F.lit(False)))
     # a chain of pages of one paragraph each: its head is the last block before the first join
     single = F.col("joins") & (F.col("first") == F.col("last"))
-    slim = slim.withColumn("_chained", F.last(F.when(F.col("last").isNotNull(), single), ignorenulls=True).over(over))
+    slim = windows.last_before(slim, ["book"], "page", {"_chained": F.when(F.col("last").isNotNull(), single)})
     head = F.when(F.col("joins") & ~F.coalesce("_chained", F.lit(False)), F.col("prev"))
-    slim = slim.withColumn("head", F.when(F.col("joins"), F.last(head, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    slim = windows.last_before(slim.withColumn("_head", head), ["book"], "page", {"_before": F.col("_head")})
+    slim = slim.withColumn("head", F.when(F.col("joins"), F.coalesce("_head", "_before")))
     joined = b.join(slim.where("joins").select("rec_id", F.col("first").alias("block"), F.col("head.rec_id").alias("h_rec"), F.col("head.last").alias("h_block")), ["rec_id", "block"], "left")
     para = F.concat_ws(".", F.coalesce("h_rec", "rec_id"), F.coalesce("h_block", "block"))
     return joined.select("rec_id", "book", "page", "block", "kind", "items", para.alias("para"), F.col("h_rec").isNotNull().alias("joined"))
@@ -116,7 +119,7 @@ def stitched(pages: DataFrame) -> DataFrame:
 def chapters_by_heading(b: DataFrame) -> DataFrame:
     """Of the blocks of `stitched`: adds `chapter` (0 before the first heading of level 1, then counting) per book. Counted per page first; the running sum is over pages."""
     per = b.groupBy("rec_id", "book", "page").agg(F.sum((F.col("kind") == "h1").cast("int")).alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("book").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("rec_id", "before")
+    before = windows.sums_before(per, ["book"], "page", F.col("n"), "before", ("rec_id",)).select("rec_id", "before")
     here = F.sum((F.col("kind") == "h1").cast("int")).over(W.partitionBy("rec_id").orderBy("block"))
     return b.withColumn("here", here).join(before, "rec_id").withColumn("chapter", (F.col("here") + F.col("before")).cast("int")).drop("here", "before")
 
@@ -125,9 +128,8 @@ def chapters_by_page(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book, page, idx, title): the last chapter that starts at or before the page, the later entry on ties; null before the first. An as-of join by one sort of pages and chapters together."""
     marks = chapters.select("book", F.col("start_page").alias("page"), F.lit(0).alias("side"), F.col("idx"), "title")
     rows = pages.select("book", "page").distinct().select("book", "page", F.lit(1).alias("side"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("title"))
-    w = W.partitionBy("book").orderBy("page", "side", "idx").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("side") == 0, F.struct("idx", "title")), ignorenulls=True).over(w)
-    return marks.unionByName(rows).withColumn("c", last).where("side = 1").select("book", "page", "c.idx", "c.title")
+    found = windows.last_before(marks.unionByName(rows), ["book"], "page", {"c": F.when(F.col("side") == 0, F.struct("idx", "title"))}, ("side", "idx"))
+    return found.where("side = 1").select("book", "page", "c.idx", "c.title")
 
 
 def references(b: DataFrame, defs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def references(b: DataFrame, defs: DataFrame) -> DataFrame:
     found = b.select("rec_id", "book", "chapter", "page", "block", F.posexplode("items").alias("item", "t")).select("rec_id", "book", "chapter", "page", "block", "item", F.posexplode(F.regexp_extract_all("t", F.lit(REFERENCE), F.lit(1))).alias("at", "label"))
     # running numbers: within a page by a window, over pages by a running sum of one row per page and chapter
     per = found.groupBy("book", "chapter", "page", "rec_id").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("book", "chapter").orderBy("page", "rec_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("book", "chapter", "rec_id", "before")
+    before = windows.sums_before(per, ["book", "chapter"], "page", F.col("n"), "before", ("rec_id",)).select("book", "chapter", "rec_id", "before")
     here = F.row_number().over(W.partitionBy("book", "chapter", "rec_id").orderBy("block", "item", "at"))
     numbered = found.withColumn("here", here).join(before, ["book", "chapter", "rec_id"]).withColumn("number", (F.col("here") + F.col("before")).cast("int"))
     return numbered.join(defs, ["rec_id", "label"], "left").select("rec_id", "book", "chapter", "page", "block", "item", "at", "label", "number", F.coalesce("definition", F.lit("")).alias("definition"))
@@ -180,15 +182,24 @@ def xhtml(b: DataFrame, refs: DataFrame) -> DataFrame:
     return got.withColumn("html", wrapped).drop("h")
 
 
-def chapter_bodies(x: DataFrame, refs: DataFrame) -> DataFrame:
-    """(book, chapter, body): each chapter's XHTML with its notes at the end. A chapter is one value of the sink's file, so its parts are collected; books are not."""
-    ordered = lambda cols, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*cols, F.col(value).alias("v")))), lambda s: s["v"]), "")
-    head = x.where("NOT joined").select(F.col("para"), "book", "chapter", F.col("page").alias("p0"), F.col("block").alias("b0"), "kind")
+#: Behind all pages of a chapter.
+END = 2_147_483_647
+
+
+def chapter_parts(x: DataFrame, refs: DataFrame) -> DataFrame:
+    """(book, chapter, page, block, body): the XHTML of each chapter in parts that follow in order of (page, block), its notes last. Only the parts of one paragraph are put together, so no row holds a chapter."""
+    head = x.where("NOT joined").select(F.col("para"), "book", "chapter", "page", "block", "kind")
     parts = x.groupBy("para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block", "html"))), lambda s: s["html"]), " ").alias("inner"))
-    whole = head.join(parts, "para").withColumn("v", F.when(F.col("kind") == "p", F.concat(F.lit("<p>"), "inner", F.lit("</p>"))).otherwise(F.col("inner")))
+    whole = head.join(parts, "para").select("book", "chapter", "page", "block", F.when(F.col("kind") == "p", F.concat(F.lit("<p>"), "inner", F.lit("</p>"))).otherwise(F.col("inner")).alias("body"))
     fid = F.concat(F.lit("c"), F.col("chapter").cast("string"), F.lit("-"), F.col("number").cast("string"))
-    li = refs.withColumn("li", F.concat(F.lit('<li id="fn-'), fid, F.lit('">'), X.inline(F.col("definition")), F.lit(' <a href="#fnref-'), fid, F.lit('" class="fnback" epub:type="backlink">↩</a></li>')))
-    notes_ = li.groupBy("book", "chapter").agg(ordered(["number"], "li").alias("notes"))
-    body = whole.groupBy("book", "chapter").agg(ordered(["p0", "b0"], "v").alias("body"))
-    end = F.concat(F.lit('<section class="endnotes" epub:type="footnotes"><hr/><ol>'), F.col("notes"), F.lit("</ol></section>"))
-    return body.join(notes_, ["book", "chapter"], "left").select("book", "chapter", F.concat("body", F.coalesce(end, F.lit(""))).alias("body"))
+    li = F.concat(F.lit('<li id="fn-'), fid, F.lit('">'), X.inline(F.col("definition")), F.lit(' <a href="#fnref-'), fid, F.lit('" class="fnback" epub:type="backlink">↩</a></li>'))
+    notes_ = refs.select("book", "chapter", F.lit(END).alias("page"), F.col("number").alias("block"), li.alias("body"))
+    some = refs.select("book", "chapter").distinct()
+    start, end = (some.select("book", "chapter", F.lit(END).alias("page"), F.lit(n).alias("block"), F.lit(t).alias("body")) for n, t in ((0, '<section class="endnotes" epub:type="footnotes"><hr/><ol>'), (END, "</ol></section>")))
+    return whole.withColumn("block", F.col("block").cast("int")).unionByName(start).unionByName(notes_).unionByName(end)
+
+
+def chapter_bodies(x: DataFrame, refs: DataFrame) -> DataFrame:
+    """(book, chapter, body): the parts of each chapter as one value, for reading a chapter; files are written from the parts."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block", "body"))), lambda s: s["body"]), "")
+    return chapter_parts(x, refs).groupBy("book", "chapter").agg(whole.alias("body"))

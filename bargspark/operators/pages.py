@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import windows
+
 KEY = ["book", "page"]
 
 
@@ -14,6 +16,16 @@ def once(df: DataFrame, key: str = "rec_id") -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def once_of(table: DataFrame, key: str, *cols: str) -> DataFrame:
+    """The columns of a scanned table of files, each record once: the deliveries of a record are told apart by file and row.
+
+    Which records came more than once is found from the keys alone and joined on, so a broadcast (below Spark's threshold) leaves the texts where they are; only beyond it are they shuffled."""
+    at = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    again = table.select(F.col(key).alias("_k"), at.alias("_at")).groupBy("_k").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = table.select(*cols, at.alias("_at"))
+    return rows.join(again, F.col(key).eqNullSafe(F.col("_k")), "left").where("_first IS NULL OR _at = _first").select(*cols)
+
+
 def keep_better(attempts: DataFrame, score: Column, *order: str) -> DataFrame:
     """The attempt of the best score per page, the later one on ties; null scores are worst. One shuffle, combined on the map side."""
     best = F.max_by(F.struct(*attempts.columns), F.struct(F.coalesce(score, F.lit(-1.0)), *order))
@@ -76,9 +88,14 @@ def usable_layer(texts: DataFrame, sample: int = 5, long: int = 200, ratio: floa
 def review_budget(pages: DataFrame, flagged: Column, quality: Column, part: int = 5) -> DataFrame:
     """Flagged pages in rising quality up to a `part`-th of all the book's pages, rounded up; the rest of them is skipped: adds `surfaced` and `skipped`.
 
-    The rank is over flagged pages only, and the books' totals are a small aggregate joined on, so no window holds unflagged pages."""
+    The rank is over flagged pages only, and the books' totals are a small aggregate joined on, so no window holds unflagged pages. Pages are ranked within
+    thousandths of quality, these within blocks of pages of one quality (windows.ranked), so no task ranks a whole book."""
     total = pages.groupBy("book").agg(F.ceil(F.count("*") / part).alias("budget"))
-    hot = pages.where(flagged).withColumn("rank", F.row_number().over(W.partitionBy("book").orderBy(F.coalesce(quality, F.lit(0.0)), "page")))
+    hot = pages.where(flagged).withColumn("_q", F.coalesce(quality, F.lit(0.0))).withColumn("_t", F.floor(F.col("_q") * 1000))
+    hot = windows.ranked(hot, ["book", "_t"], F.struct("_q", F.floor(F.col("page") / windows.BLOCK).alias("b")), "_q", "page", name="_in")
+    size = hot.groupBy("book", "_t").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_c", F.coalesce(F.sum("_n").over(W.partitionBy("book").orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    hot = windows.joined(hot, before, ["book", "_t"]).withColumn("rank", F.col("_in") + F.col("_c")).drop("_q", "_t", "_in", "_c")
     return hot.join(total, "book").withColumn("surfaced", F.col("rank") <= F.col("budget")).withColumn("skipped", F.col("rank") > F.col("budget"))
 
 
@@ -92,6 +109,7 @@ def verify_selection(pages: DataFrame, forced: Column, risk: Column, threshold:
     kind = pages.withColumn("kind", F.when(forced, "forced").when(risk >= threshold, "risky").otherwise("clean"))
     clean = kind.where("kind = 'clean'")
     size = clean.groupBy("book").agg(F.least(F.count("*"), F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(part), 0).cast("long"))).alias("k"))
-    ranked = clean.withColumn("r", F.row_number().over(W.partitionBy("book").orderBy(sample_order(seed, "book", "page"))))
+    order = sample_order(seed, "book", "page")
+    ranked = windows.ranked(clean.withColumn("_o", order), ["book"], F.substring("_o", 1, 3), "_o", name="r").drop("_o")
     sampled = ranked.join(size, "book").where("r <= k").drop("r", "k").withColumn("kind", F.lit("sample"))
     return kind.where("kind <> 'clean'").unionByName(sampled).withColumnRenamed("kind", "why")

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bargspark.functions.batches import slices
+
 # Margins, gaps and sizes in pixels or shares of the page.
 MARGIN, ROW_INK, GAP_ROWS, WORD_GAP = 0.04, 0.003, 1, 0.20
 LEAST_HEIGHT, LEAST_WIDTH, THIN, EDGE, NARROW = 3, 10, 50, (0.04, 0.92), 0.15
@@ -63,7 +65,7 @@ def scan_lines(images: DataFrame, scale: float = 1.5) -> DataFrame:
     rect = pa.struct([(n, pa.float64()) for n in ("x0", "y0", "x1", "y1")])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "grey", 32 << 20):
             rows = []
             for r in batch.to_pylist():
                 if not r["grey"] or len(r["grey"]) != (r["height"] or 0) * (r["width"] or 0):

@@ -12,7 +12,7 @@ from bargspark.sources import epub
 
 
 def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """Of (rec_id, book, page, starts_mid_paragraph, continues_next, text_md), one record per page: rows for the EPUB sink.
+    """Of (rec_id, book, page, starts_mid_paragraph, continues_next, text_md), one record per page: rows for the EPUB sink, one for each part of a chapter.
 
     Books with a list of chapters are cut at its pages, the others at headings of level 1; blank pages are left out, empty chapters vanish. A book without title is named by its key."""
     clean = pages.where(F.length(X.strip(F.col("text_md"))) > 0).withColumn("text_md", X.normalize(F.col("text_md")))
@@ -27,7 +27,7 @@ def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None
     b = keep(b, "blocks")
     refs = markdown.references(b, markdown.notes(clean.select("rec_id", "text_md")))
     refs = keep(refs, "references")
-    body = markdown.chapter_bodies(markdown.xhtml(b, refs), refs)
+    body = markdown.chapter_parts(markdown.xhtml(b, refs), refs)
     named = b.where("kind = 'h1'").groupBy("book", "chapter").agg(F.min_by(F.get("items", F.lit(0)), F.struct("page", "block")).alias("heading"))
     out = body.join(named, ["book", "chapter"], "left")
     if listed is not None:
@@ -35,10 +35,12 @@ def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None
         out = out.withColumn("heading", F.coalesce("list_title", "heading"))
     meta = books.select("book", "title_fa", "author_fa")
     return out.join(meta, "book", "left").select(
-        "book", F.coalesce("title_fa", "book").alias("title"), F.coalesce("author_fa", F.lit("Unknown")).alias("author"), F.lit("fa").alias("language"), "chapter", F.coalesce("heading", "title_fa", "book").alias("chapter_title"), "body"
+        "book", F.coalesce("title_fa", "book").alias("title"), F.coalesce("author_fa", F.lit("Unknown")).alias("author"), F.lit("fa").alias("language"), "chapter", F.coalesce("heading", "title_fa", "book").alias("chapter_title"), "page", "block", "body"
     )
 
 
-def build(pages: DataFrame, books: DataFrame, path: str, listed: DataFrame | None = None) -> None:
-    """Writes an EPUB file per book to the shared folder `path`."""
-    epub.write_epub(chapters(pages, books, listed), path)
+def build(pages: DataFrame, books: DataFrame, path: str, listed: DataFrame | None = None, covers: DataFrame | None = None, font: str | None = None, licence: str | None = None) -> DataFrame:
+    """Writes an EPUB file per book to the shared folder `path` and returns (book, chapters, parts), what was written."""
+    rows = keep(chapters(pages, books, listed), "chapters")
+    epub.write_epub(rows, path, covers, font, licence)
+    return rows.groupBy("book").agg(F.countDistinct("chapter").alias("chapters"), F.count("*").alias("parts"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from bargspark.functions import measures as M
 from bargspark.functions import text as X
-from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, scans, validators
-from bargspark.session import keep, shared_dir, ship
+from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, review, scans, validators
+from bargspark.session import keep, ship, table_path
 
 from . import sql as S
 
@@ -35,16 +35,24 @@ def read(spark: SparkSession, d: str, table: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def once(spark, d, table: str, key: str, *cols: str) -> DataFrame:
+    """The columns of a table, each record once."""
+    return pages.once_of(read(spark, d, table), key, *cols)
+
+
 def texts(spark, d, *more) -> DataFrame:
-    return pages.once(read(spark, d, "page_text", "rec_id", "book", "page", "attempt", "text_md", *more))
+    return once(spark, d, "page_text", "rec_id", "rec_id", "book", "page", "attempt", "text_md", *more)
+
+
+FIELDS = ("rec_id", "is_blank", "headings", "flags", "starts_mid_paragraph", "continues_next", "confidence", "model_used", "resolution")
 
 
 def fields(spark, d) -> DataFrame:
-    return pages.once(read(spark, d, "page_fields", "rec_id", "is_blank", "headings", "flags", "starts_mid_paragraph", "continues_next", "confidence", "model_used", "resolution"))
+    return once(spark, d, "page_fields", "rec_id", *FIELDS)
 
 
 def reports(spark, d) -> DataFrame:
-    return pages.once(read(spark, d, "qc_reports", "report_id", "rec_id", "verdict", "issues", "suggested_text_md"), "report_id")
+    return once(spark, d, "qc_reports", "report_id", "report_id", "rec_id", "verdict", "issues", "suggested_text_md")
 
 
 def events(spark, d) -> DataFrame:
@@ -52,10 +60,13 @@ def events(spark, d) -> DataFrame:
 
 
 def last_texts(spark, d) -> DataFrame:
-    """The last attempt at each page that isn't blank."""
-    both = texts(spark, d).join(fields(spark, d), "rec_id").where("text_md IS NOT NULL AND NOT coalesce(is_blank, false)")
-    w = W.partitionBy("book", "page").orderBy(F.desc("attempt"), F.desc("rec_id"))
-    return both.withColumn("r", F.row_number().over(w)).where("r = 1").select("rec_id", "book", "page", "text_md", "starts_mid_paragraph", "continues_next")
+    """The last attempt at each page that isn't blank, chosen by keys; the texts of those chosen are shuffled once."""
+    keys = read(spark, d, "page_text", "rec_id", "book", "page", "attempt", "text_md").where("text_md IS NOT NULL").drop("text_md")
+    said = fields(spark, d).where("NOT coalesce(is_blank, false)").select("rec_id", "starts_mid_paragraph", "continues_next")
+    flags = F.struct("starts_mid_paragraph", "continues_next")
+    last = keys.join(said, "rec_id").groupBy("book", "page").agg(F.max_by(F.struct("rec_id", flags.alias("f")), F.struct("attempt", "rec_id")).alias("b"))
+    chosen = last.select("book", "page", "b.rec_id", "b.f.*")
+    return texts(spark, d).select("rec_id", "text_md").join(chosen, "rec_id").select("rec_id", "book", "page", "text_md", "starts_mid_paragraph", "continues_next")
 
 
 # ---------------------------------------------------------------- texts
@@ -141,9 +152,13 @@ def missing_headings(spark, d):
 
 def evaluated(spark, d) -> DataFrame:
     """Each attempt against the one before it as the second text of its page."""
+    return validators.evaluate(_with_before(spark, d))
+
+
+def _with_before(spark, d) -> DataFrame:
     p = texts(spark, d).join(fields(spark, d), "rec_id")
     before = p.select("book", "page", (F.col("attempt") + 1).alias("attempt"), F.col("text_md").alias("embedded_text"), F.filter("headings", lambda h: h.isNotNull()).alias("heading_candidates"))
-    return validators.evaluate(p.join(before, ["book", "page", "attempt"], "left"))
+    return p.join(before, ["book", "page", "attempt"], "left")
 
 
 _EVAL = f"""WITH {S.T}, {S.F},
@@ -183,7 +198,11 @@ def needs(spark, d):
     return evaluated(spark, d).withColumn("flags", flags).select("rec_id", validators.needs_escalation(F.col("is_blank")).alias("escalate"), validators.needs_review(F.col("is_blank")).alias("review"))
 
 
-@query(f"""WITH {S.T}, {S.F}, p AS (SELECT rec_id, text_md, headings FROM t JOIN f USING (rec_id) WHERE text_md IS NOT NULL),
+#: Texts whose headings have lost their marks: plain lines, bold ones in every other record.
+_PLAIN = "regexp_replace(text_md, '(?m)^#{1,3} (.+)$', CASE WHEN rec_id % 2 = 0 THEN '\\1' ELSE '**\\1**' END, 'g')"
+
+
+@query(f"""WITH {S.T}, {S.F}, p AS (SELECT rec_id, {_PLAIN} AS text_md, headings FROM t JOIN f USING (rec_id) WHERE text_md IS NOT NULL),
     n0 AS (SELECT rec_id, i, {S.strip('h')} AS h FROM (SELECT rec_id, unnest(range(len(headings))) AS i, unnest(headings) AS h FROM p)),
     pres AS (SELECT DISTINCT rec_id, unnest({S.heading_lines('text_md')}) AS h FROM p),
     n AS (SELECT rec_id, h, row_number() OVER (PARTITION BY rec_id, h ORDER BY i) AS k FROM n0 WHERE h <> '' AND (rec_id, h) NOT IN (SELECT (rec_id, h) FROM pres)),
@@ -192,7 +211,9 @@ def needs(spark, d):
     l AS (SELECT rec_id, line, b, CASE WHEN b <> '' THEN b ELSE s END AS h, row_number() OVER (PARTITION BY rec_id, CASE WHEN b <> '' THEN b ELSE s END ORDER BY line) AS k FROM l1)
     SELECT rec_id, line, CASE WHEN b <> '' THEN '### ' ELSE '## ' END || h AS text FROM n JOIN l USING (rec_id, h, k)""")
 def promote_headings(spark, d):
-    p = texts(spark, d).where("text_md IS NOT NULL").join(fields(spark, d), "rec_id").select("rec_id", "text_md", "headings")
+    """Which lines become headings again in texts whose headings have lost their marks."""
+    bare = F.when(F.col("rec_id") % 2 == 0, F.regexp_replace("text_md", "(?m)^#{1,3} (.+)$", "$1")).otherwise(F.regexp_replace("text_md", "(?m)^#{1,3} (.+)$", "**$1**"))
+    p = texts(spark, d).where("text_md IS NOT NULL").join(fields(spark, d), "rec_id").select("rec_id", bare.alias("text_md"), "headings")
     return validators.promote_headings(p)
 
 
@@ -317,6 +338,142 @@ def run_summary(spark, d):
     return e.groupBy("book").agg(F.count("*").alias("events"), F.count_if(F.col("issue_type") == "pass").alias("passed"), F.count_if(F.col("detected_by").isin(history.HUMANS)).alias("human"), F.countDistinct("page").alias("pages"))
 
 
+# ---------------------------------------------------------------- review
+#
+# The tables hold reports, but no reviewers' submissions; these are made from the reports by rules that both engines can follow.
+
+_SUB = f"""s0 AS (SELECT report_id, q.rec_id, t.book, coalesce(text_md, '') AS text_md, verdict, issues, suggested_text_md, CASE WHEN report_id % 5 < 3 THEN 'pending' WHEN report_id % 5 = 3 THEN 'accepted' END AS status,
+      report_id % 7 <> 0 AS needs_review, CASE WHEN report_id % 4 = 1 THEN 'edited' WHEN report_id % 4 = 2 THEN 'accepted' END AS reviewed, report_id % 6 = 0 AS skipped, CAST(NULL AS VARCHAR) AS orig_text_md, report_id % 2 = 0 AS decided,
+      CASE report_id % 3 WHEN 0 THEN coalesce(text_md, '') WHEN 1 THEN coalesce(suggested_text_md, coalesce(text_md, '') || ' ') ELSE coalesce(text_md, '') || '.' END AS new_text FROM q JOIN t USING (rec_id)),
+    s1 AS (SELECT *, coalesce(verdict = 'fail' AND status = 'pending' AND suggested_text_md IS NOT NULL, false) AS pend, CASE WHEN len(issues) > 0 THEN issues[1].type ELSE 'human_edit' END AS first, new_text <> text_md AS changed FROM s0),
+    i0 AS (SELECT report_id, unnest(range(len(issues)))::INT AS idx, unnest(issues) AS i FROM s0),
+    pc AS (SELECT report_id, idx, suggested IS NULL OR idx % 2 = 1 AS finding, CASE WHEN suggested IS NULL OR idx % 2 = 1 THEN 100000 + idx ELSE idx END AS id, old, CASE WHEN suggested IS NULL OR idx % 2 = 1 THEN old ELSE old || '؟' END AS new, coalesce(nullif(type, ''), first) AS issue_type,
+      CASE (report_id + idx) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'edited' WHEN 2 THEN 'rejected' ELSE 'pending' END AS decision, CASE WHEN (report_id + idx) % 8 = 1 THEN old || '!' END AS own
+      FROM (SELECT i0.report_id, idx, s1.suggested_text_md AS suggested, i.type AS type, first, {S.strip('i.snippet')} AS old FROM i0 JOIN s1 USING (report_id)) WHERE old <> ''),
+    ct AS (SELECT report_id, count(*) FILTER (NOT finding) AS nf, count(*) FILTER (NOT finding AND decision = 'approved') AS na, count(*) FILTER (NOT finding AND decision = 'edited') AS ne, count(*) FILTER (finding AND decision = 'edited') AS no_ FROM pc GROUP BY 1),
+    oc AS (SELECT *, CASE WHEN changed THEN 'edited' ELSE 'accepted' END AS now, CASE mode WHEN 'findings' THEN CASE WHEN no_ > 0 OR changed THEN 'edited' ELSE 'rejected' END WHEN 'taken' THEN 'accepted' WHEN 'whole' THEN CASE WHEN changed THEN 'edited' ELSE 'rejected' END
+      WHEN 'pieces' THEN CASE WHEN nf > 0 AND na = nf AND no_ = 0 THEN 'accepted' WHEN na + ne + no_ = 0 THEN 'rejected' ELSE 'edited' END END AS new_status
+      FROM (SELECT s1.*, coalesce(nf, 0) AS nf, coalesce(na, 0) AS na, coalesce(ne, 0) AS ne, coalesce(no_, 0) AS no_, CASE WHEN NOT pend THEN CASE WHEN coalesce(status = 'pending', false) AND suggested_text_md IS NULL THEN 'findings' ELSE 'none' END WHEN new_text = suggested_text_md THEN 'taken' WHEN decided THEN 'pieces' ELSE 'whole' END AS mode FROM s1 LEFT JOIN ct USING (report_id)))"""
+_REVIEW = f"WITH {S.T}, {S.Q}, {_SUB}"
+
+
+def _states(spark, d) -> DataFrame:
+    r = reports(spark, d).join(texts(spark, d).select("rec_id", "book", F.coalesce("text_md", F.lit("")).alias("text_md")), "rec_id")
+    k = F.col("report_id")
+    r = r.withColumns({"status": F.when(k % 5 < 3, "pending").when(k % 5 == 3, "accepted"), "needs_review": k % 7 != 0, "reviewed": F.when(k % 4 == 1, "edited").when(k % 4 == 2, "accepted"), "skipped": k % 6 == 0, "orig_text_md": F.lit(None).cast("string"), "decided": k % 2 == 0})
+    return r.withColumn("new_text", F.when(k % 3 == 0, F.col("text_md")).when(k % 3 == 1, F.coalesce("suggested_text_md", F.concat("text_md", F.lit(" ")))).otherwise(F.concat("text_md", F.lit("."))))
+
+
+def _submitted(spark, d):
+    """(states, decided pieces, outcomes), states and pieces kept."""
+    states = keep(_states(spark, d), "states")
+    i, k = F.col("issue_idx"), F.col("report_id")
+    fixes = F.when(F.col("suggested_text_md").isNull(), F.expr("sequence(0, size(issues))")).otherwise(F.filter(F.expr("sequence(0, size(issues))"), lambda x: x % 2 == 1))
+    found = review.finding_pieces(states, "report_id")
+    linked = F.when(F.col("suggested_text_md").isNotNull(), F.filter(F.expr("sequence(0, size(issues))"), lambda x: x % 2 == 0))
+    finding = review.finding_pieces(states, "report_id", linked)
+    other = found.join(states.select("report_id", fixes.alias("f")), "report_id").where(~F.array_contains("f", i)).drop("f")
+    pieces = finding.unionByName(other.select("report_id", i.alias("id"), "issue_idx", "old", F.concat("old", F.lit("؟")).alias("new"), F.lit(False).alias("finding")))
+    n = (k + i) % 8
+    said = F.when(n % 4 == 0, "approved").when(n % 4 == 1, "edited").when(n % 4 == 2, "rejected")
+    sent = pieces.select("report_id", "id", said.alias("decision"), F.when(n == 1, F.concat("old", F.lit("!"))).alias("text"), F.lit(1).alias("n")).where("decision IS NOT NULL")
+    sent = sent.unionByName(sent.select("report_id", "id", F.lit("rejected").alias("decision"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n")))  # decided before, then anew
+    decided = keep(review.decided_pieces(states, pieces, review.last_decisions(sent, "report_id"), "report_id"), "pieces")
+    return states, decided, review.outcomes(states, decided, "report_id")
+
+
+@query(f"{_REVIEW} SELECT report_id, pend AS waits, first AS first_type, CASE WHEN verdict = 'fail' AND status = 'pending' THEN CASE WHEN suggested_text_md IS NULL THEN 'no_suggestion' WHEN suggested_text_md = text_md THEN 'identical' ELSE 'hunks' END END AS panel, len(issues) AS n_issues FROM s1")
+def review_panels(spark, d):
+    """What waits beside each page: whether a suggestion does, the type of its first issue, and what is shown."""
+    return _states(spark, d).select("report_id", review.pending().alias("waits"), review.first_type(F.col("issues")).alias("first_type"), review.panel_kind().alias("panel"), F.size("issues").cast("long").alias("n_issues"))
+
+
+@query(f"{_REVIEW} SELECT report_id, now AS reviewed, mode, new_status FROM oc")
+def accept_outcomes(spark, d):
+    """What each submission means for its page."""
+    return _submitted(spark, d)[2].select("report_id", "reviewed", "mode", "new_status")
+
+
+@query(f"""{_REVIEW} SELECT report_id, CAST(NULL AS INT) AS id, by_ AS detected_by, first AS issue_type, text_md AS old, CASE WHEN by_ = 'suggestion_rejected' THEN suggested_text_md ELSE new_text END AS decided
+    FROM (SELECT *, CASE WHEN mode = 'taken' THEN 'suggestion_accepted' WHEN mode = 'whole' THEN CASE WHEN changed THEN 'suggestion_edited' ELSE 'suggestion_rejected' END WHEN changed AND (mode = 'none' OR mode = 'findings' AND no_ = 0) THEN 'human_edit' END AS by_ FROM oc) WHERE by_ IS NOT NULL
+    UNION ALL SELECT report_id, id, CASE WHEN finding THEN 'human_edit' WHEN decision = 'approved' THEN 'suggestion_accepted' WHEN decision = 'edited' THEN 'suggestion_edited' ELSE 'suggestion_rejected' END, issue_type, old,
+    CASE WHEN decision = 'approved' THEN new WHEN decision = 'edited' THEN coalesce(own, CASE WHEN finding THEN old ELSE new END) ELSE old END FROM pc JOIN (SELECT report_id, mode FROM oc) USING (report_id) WHERE (mode = 'pieces' OR mode = 'findings' AND finding) AND (NOT finding OR decision = 'edited')""")
+def accept_events(spark, d):
+    """The events that submissions leave in the log."""
+    _, pieces, out = _submitted(spark, d)
+    return review.outcome_events(out, pieces, "report_id")
+
+
+@query(f"{_REVIEW} SELECT report_id, new_text AS text_md, CASE WHEN changed THEN text_md END AS orig_text_md, false AS needs_review, now AS reviewed, coalesce(new_status, status) AS status FROM oc")
+def accepted_pages(spark, d):
+    """The pages after their submissions."""
+    states, _, out = _submitted(spark, d)
+    return review.accepted(states, out, "report_id").select("report_id", "text_md", "orig_text_md", "needs_review", "reviewed", "status")
+
+
+@query(f"{_REVIEW} SELECT report_id, CASE WHEN touched AND status IN ('accepted', 'edited', 'rejected') THEN 'pending' ELSE status END AS status, touched OR needs_review AS needs_review, CASE WHEN NOT touched THEN reviewed END AS reviewed FROM (SELECT *, reviewed IS NOT NULL OR skipped AS touched FROM s1)")
+def reset_reviews(spark, d):
+    """The pages with their reviews undone."""
+    return review.reset(_states(spark, d)).select("report_id", "status", "needs_review", "reviewed")
+
+
+@query(f"{_REVIEW}, x AS (SELECT report_id, count(*) FILTER (decision = 'approved') AS a, count(*) FILTER (decision = 'edited') AS e, count(*) FILTER (decision = 'rejected') AS r, count(*) FILTER (decision = 'pending') AS p FROM pc GROUP BY 1) SELECT book, count(*) FILTER (changed) AS edited, count(*) FILTER (NOT changed) AS accepted, coalesce(sum(a), 0)::BIGINT AS approved_pieces, coalesce(sum(e), 0)::BIGINT AS edited_pieces, coalesce(sum(r), 0)::BIGINT AS rejected_pieces, coalesce(sum(p), 0)::BIGINT AS open_pieces FROM oc LEFT JOIN x USING (report_id) GROUP BY 1")
+def review_totals(spark, d):
+    """What the submissions came to, by book."""
+    _, pieces, out = _submitted(spark, d)
+    return review.totals(out, pieces, "book", "report_id")
+
+
+_LATEST = "lr AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY report_id DESC) = 1)"
+
+
+@query(f"""WITH {S.F}, {S.Q}, {_LATEST}, c AS (SELECT f.rec_id, verdict, report_id IS NOT NULL AS has, suggested_text_md, confidence < 0.7 AS nr FROM f LEFT JOIN lr USING (rec_id))
+    SELECT rec_id, verdict, CASE WHEN verdict = 'fail' THEN suggested_text_md END AS suggested_text_md, CASE WHEN verdict = 'fail' THEN 'pending' END AS status, coalesce(verdict = 'fail', false) OR nr AS needs_review FROM c""")
+def checked_pages(spark, d):
+    """Every page with the result of its last report."""
+    r = reports(spark, d)
+    last = r.groupBy("rec_id").agg(F.max_by(F.struct("verdict", "issues", "suggested_text_md"), "report_id").alias("r")).select("rec_id", "r.*")
+    none = {"verdict": F.lit(None).cast("string"), "issues": F.lit(None).cast(r.schema["issues"].dataType), "suggested_text_md": F.lit(None).cast("string"), "status": F.lit(None).cast("string")}
+    states = fields(spark, d).select("rec_id", (F.col("confidence") < 0.7).alias("needs_review"), *(v.alias(c) for c, v in none.items()))
+    return review.checked(states, last, "rec_id").select("rec_id", "verdict", "suggested_text_md", "status", "needs_review")
+
+
+@query(f"""WITH {S.T}, {S.F}, {S.Q}, e AS (SELECT report_id, rec_id, CASE WHEN verdict = 'fail' AND len(issues) > 0 THEN list_transform(issues, lambda i: i.type) ELSE ['pass'] END AS ty FROM q),
+    x AS (SELECT report_id, rec_id, unnest(range(len(ty)))::INT AS pos, unnest(ty) AS issue_type FROM e)
+    SELECT report_id, pos, t.book, t.page, source_type, model_used, 'auto_qc' AS detected_by, issue_type, array_to_string(list_filter(coalesce(flags, []), lambda v: v IS NOT NULL), '|') AS flags, {S.bucket('confidence')} AS bucket,
+    CASE WHEN issue_type IN ('missing_heading', 'wrong_heading_level') THEN 'heading' WHEN issue_type = 'zwnj_error' THEN 'zwnj' WHEN issue_type = 'heh_boundary' THEN 'heh_boundary' WHEN issue_type = 'footnote_marker' THEN 'footnote' WHEN issue_type = 'digit_error' THEN 'digits' WHEN issue_type = 'punctuation' THEN 'punctuation' WHEN issue_type = 'verse_structure' THEN 'verse' WHEN issue_type = 'table_structure' THEN 'table' ELSE '' END AS signals
+    FROM x JOIN t USING (rec_id) JOIN f USING (rec_id) LEFT JOIN (SELECT book, source_type FROM books) b ON b.book = t.book""")
+def recorded_events(spark, d):
+    """The events that the verifier's reports leave in the log."""
+    page = texts(spark, d).select("rec_id", "book", "page").join(fields(spark, d).select("rec_id", "model_used", "flags", "confidence"), "rec_id").join(read(spark, d, "books", "book", "source_type"), "book", "left")
+    e = review.report_events(reports(spark, d).select("report_id", "rec_id", "verdict", "issues").join(page, "rec_id"))
+    return e.select("report_id", "pos", "book", "page", "source_type", "model_used", "detected_by", "issue_type", F.array_join("features.flags", "|").alias("flags"), F.col("features.confidence_bucket").alias("bucket"), F.array_join("features.char_signals", "|").alias("signals"))
+
+
+@query(f"{_EVAL}, {_BEST.replace('best AS (SELECT *', 'best AS (SELECT *')}, nd AS ({_NEEDS.replace('SELECT rec_id,', 'SELECT rec_id, book,')}) SELECT book, count(*) AS ok, count(*) FILTER (escalate) AS escalated, count(*) FILTER (review) AS flagged FROM nd GROUP BY 1")
+def run_counters(spark, d):
+    """Pages done, asked again and marked for review, by book."""
+    e = evaluated(spark, d).withColumn("flags", F.filter("flags", lambda x: x.isNotNull()))
+    return review.counters(e, "book", validators.needs_escalation(F.col("is_blank")), validators.needs_review(F.col("is_blank")))
+
+
+@query(f"WITH {S.T}, {S.F} SELECT book, page, count(*) AS attempts, sum(coalesce(length(text_md), 0))::BIGINT AS output, sum(CASE WHEN resolution = 'hi' THEN 6800 WHEN resolution = 'std' THEN 3200 ELSE 0 END)::BIGINT AS input FROM t JOIN f USING (rec_id) GROUP BY 1, 2")
+def usage_sums(spark, d):
+    """What all attempts at a page used; input by resolution, output by the text's length, as the tables hold no counts of tokens."""
+    t = once(spark, d, "page_text", "rec_id", "rec_id", "book", "page", "text_md").select("rec_id", "book", "page", F.length("text_md").alias("output"))
+    used = t.join(fields(spark, d).select("rec_id", F.when(F.col("resolution") == "hi", 6800).when(F.col("resolution") == "std", 3200).alias("input")), "rec_id")
+    return review.usage(used, ["book", "page"], "output", "input")
+
+
+@query(f"""{_EVAL}, hs AS (SELECT rec_id, h, 0 AS side, i FROM mh WHERE h IS NOT NULL UNION ALL SELECT rec_id, h, 1, i FROM eh), hf AS (SELECT rec_id, h, min(side * 1000000 + i) AS o FROM hs GROUP BY 1, 2) SELECT rec_id, string_agg(h, '|' ORDER BY o) AS hints FROM hf GROUP BY 1""")
+def hint_headings(spark, d):
+    """The headings a page is asked for again: declared ones its text lacks, then candidates of its other text, each once, in order."""
+    p = _with_before(spark, d).select("rec_id", F.coalesce("text_md", F.lit("")).alias("text_md"), F.filter("headings", lambda h: h.isNotNull()).alias("headings"), "heading_candidates").withColumn("lines", X.heading_lines(F.col("text_md")))
+    none = F.array().cast("array<string>")
+    hints = F.array_distinct(F.concat(*(F.coalesce(validators.unmatched(F.coalesce(c, none), F.col("lines"), skip), none) for c, skip in (("headings", False), ("heading_candidates", True)))))
+    return p.withColumn("h", hints).where(F.size("h") > 0).select("rec_id", F.array_join("h", "|").alias("hints"))
+
+
 # ---------------------------------------------------------------- boxes
 
 _BOX = f"{S.Q}, i AS (SELECT report_id, unnest(range(len(issues)))::INT AS pos, unnest(issues).bbox AS b FROM q), c AS (SELECT report_id, pos, b, list_transform(b, lambda x: greatest(0, least(1000, round_even(x::DOUBLE, 0)::INT))) AS v FROM i)"
@@ -382,10 +539,13 @@ def chapters_by_page(spark, d):
     return markdown.chapters_by_page(read(spark, d, "page_text", "book", "page"), read(spark, d, "chapters", "book", "idx", "title", "start_page"))
 
 
-@query(f"""{_STITCH}, it AS (SELECT rec_id, book, chapter, page, block, unnest(range(len(items)))::INT AS item, unnest(items) AS tx FROM cp),
+_NOTES = f"""it AS (SELECT rec_id, book, chapter, page, block, unnest(range(len(items)))::INT AS item, unnest(items) AS tx FROM cp),
     rf AS (SELECT rec_id, book, chapter, page, block, item, unnest(range(len(ls)))::INT AS spot, unnest(ls) AS label FROM (SELECT *, regexp_extract_all(tx, '\\[\\^([^\\]]+)\\]', 1) AS ls FROM it)),
-    df AS (SELECT rec_id, label, arg_max(def, line) AS definition FROM (SELECT rec_id, line, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 1) AS label, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 2) AS def FROM kind WHERE kind = 'note') GROUP BY 1, 2)
-    SELECT rec_id, block, item, spot, label, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY page, rec_id, block, item, spot)::INT AS number, coalesce(definition, '') AS definition FROM rf LEFT JOIN df USING (rec_id, label)""")
+    df AS (SELECT rec_id, label, arg_max(def, line) AS definition FROM (SELECT rec_id, line, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 1) AS label, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 2) AS def FROM kind WHERE kind = 'note') GROUP BY 1, 2),
+    fn AS (SELECT rec_id, book, page, block, item, spot, label, chapter, row_number() OVER (PARTITION BY book, chapter ORDER BY page, rec_id, block, item, spot)::INT AS number, coalesce(definition, '') AS definition FROM rf LEFT JOIN df USING (rec_id, label))"""
+
+
+@query(f"{_STITCH}, {_NOTES} SELECT rec_id, block, item, spot, label, chapter, number, definition FROM fn")
 def footnotes(spark, d):
     last = last_texts(spark, d)
     r = markdown.references(_stitched(spark, d), markdown.notes(last.select("rec_id", "text_md")))
@@ -399,14 +559,20 @@ def _bodies(spark, d):
     return markdown.xhtml(b, refs), refs, b
 
 
-@query()
+#: The same over normalised texts, as books are built.
+_CLEAN = f"WITH {S.T}, {S.F}, {S.LAST.replace('last AS (', 'l0 AS (')}, last AS (SELECT * REPLACE ({S.normalize('text_md')} AS text_md) FROM l0), {S.blocks('last', 'rec_id, book, page')}, {S.STITCH}, {_NOTES}, {S.xhtml()}"
+
+
+@query(f"{_CLEAN} SELECT rec_id, block, kind, html FROM xh")
 def xhtml(spark, d):
     return _bodies(spark, d)[0].select("rec_id", F.col("block").cast("int").alias("block"), "kind", "html")
 
 
-@query()
+@query(f"""{_CLEAN}, pt AS (SELECT para, string_agg(html, ' ' ORDER BY page, block) AS i FROM xh GROUP BY 1), wh AS (SELECT book, chapter, page, block, CASE WHEN kind = 'p' THEN '<p>' || i || '</p>' ELSE i END AS v FROM xh JOIN pt USING (para) WHERE NOT joined),
+    bo AS (SELECT book, chapter, string_agg(v, '' ORDER BY page, block) AS b FROM wh GROUP BY 1, 2), en AS (SELECT book, chapter, string_agg('<li id="fn-c' || chapter || '-' || number || '">' || {S.inline('definition')} || ' <a href="#fnref-c' || chapter || '-' || number || '" class="fnback" epub:type="backlink">↩</a></li>', '' ORDER BY number) AS e FROM fn GROUP BY 1, 2)
+    SELECT book, chapter, b || coalesce('<section class="endnotes" epub:type="footnotes"><hr/><ol>' || e || '</ol></section>', '') AS body FROM bo LEFT JOIN en USING (book, chapter)""")
 def chapter_bodies(spark, d):
-    """(book, chapter, body): the XHTML of every chapter; look-around in the emphasis rule has no counterpart in RE2."""
+    """(book, chapter, body): the XHTML of every chapter."""
     x, refs, _ = _bodies(spark, d)
     return markdown.chapter_bodies(x, refs)
 
@@ -432,6 +598,15 @@ def hunks(spark, d):
     return h.select("report_id", *[c for c in h.columns if c not in ("report_id", "issues")], diffing.link(F.col("issues"), F.col("old"), F.col("new"), F.col("ctx_before"), F.col("ctx_after")).alias("issue_idx"))
 
 
+@query(f"WITH {S.T}, {S.Q} SELECT report_id, suggested_text_md AS text FROM q JOIN t USING (rec_id) WHERE text_md <> suggested_text_md")
+def applied_hunks(spark, d):
+    """Each text with all its hunks put in, which is the text suggested."""
+    h = _hunks(spark, d)
+    parts = h.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("id", "old", "new", "ctx_before", "ctx_after", "occurrence"))).alias("hunks"))  # at most the hunks of one text
+    r = reports(spark, d).where("suggested_text_md IS NOT NULL").select("report_id", "rec_id").join(texts(spark, d).select("rec_id", "text_md"), "rec_id")
+    return diffing.applied(r.join(parts, "report_id").withColumn("decisions", F.lit(None).cast("array<struct<id: int, text: string>>")), "report_id")
+
+
 @query()
 def unlinked_findings(spark, d):
     linked = hunks(spark, d).where("issue_idx IS NOT NULL").groupBy("report_id").agg(F.collect_set("issue_idx").alias("linked"))
@@ -611,14 +786,8 @@ def heading_candidates(spark, d):
     return headings.candidates(spans)
 
 
-@query(f"""{_STITCH}, h AS (SELECT rec_id, block, items[1] AS t, kind FROM cp WHERE kind = 'h1') SELECT rec_id, block, '1' AS level, t AS heading FROM h WHERE NOT contains(t, '[^') AND NOT contains(t, '*') AND NOT contains(t, '&') AND NOT contains(t, '<') AND NOT contains(t, '>')""")
+@query(f"{_STITCH}, {_NOTES}, {S.xhtml()} SELECT rec_id, block, substring(kind, 2, 1) AS level, substring(html, 5, length(html) - 9) AS heading FROM xh WHERE kind IN ('h1', 'h2', 'h3')")
 def html_headings(spark, d):
-    """The headings of level 1 as the XHTML has them, where it has no markup inside, as in the SQL; html_headings_all has them all."""
-    return _headings(spark, d).where("level = '1' AND NOT heading RLIKE '[<>*&]' AND NOT contains(heading, '[^')")
-
-
-@query()
-def html_headings_all(spark, d):
     """(rec_id, block, level, heading): the headings of all three levels as the XHTML has them, with their markup."""
     return _headings(spark, d).where("level <> ''")
 
@@ -653,24 +822,21 @@ def tier_counts(spark, d):
 @query(f"WITH {S.E}, {_FEAT}, {_WEIGHT} SELECT feature, n, issues, round(weight::VARCHAR::DECIMAL(38, 20), 6)::DOUBLE AS weight FROM wt")
 def streamed_weights(spark, d):
     """The feature weights again, of the log read as a stream."""
-    import uuid
-
     from bargspark.streaming import history as stream
 
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    ship(spark)
+    base = table_path(spark, "stream")
     path = f"{d}/qc_events.parquet"
-    kept = spark.read.parquet(path).schema
-    src = stream.once_each(stream.read_events(spark, path if _is_folder(path) else _folder_of(path), kept), "3650 days")
+    kept = read(spark, d, "qc_events").schema
+    src = stream.once_each(stream.read_events(spark, path if _is_folder(spark, path) else _folder_of(path), kept), "365 days")
     run = src.writeStream.foreachBatch(lambda b, i: stream.update_counts(b, i, f"{base}/counts")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.weights(spark, f"{base}/counts").withColumn("weight", F.round("weight", 6))
 
 
-def _is_folder(path: str) -> bool:
-    import os
-
-    return os.path.isdir(path)
+def _is_folder(spark, path: str) -> bool:
+    """On whatever file system the path is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
 def _folder_of(path: str) -> str:

@@ -68,6 +68,43 @@ def bucket(c: str) -> str:
     return f"CASE WHEN {c} < 0.7 THEN '<0.7' WHEN {c} < 0.8 THEN '0.7-0.8' WHEN {c} < 0.9 THEN '0.8-0.9' WHEN {c} IS NOT NULL THEN '0.9-1.0' END"
 
 
+def escape(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def inline(x: str) -> str:
+    """Bold and emphasis as elements; stars beside other stars are put aside while single ones are sought."""
+    t = rx(escape(x), r"\*\*(.+?)\*\*", r"<strong>\1</strong>")
+    t = rx(rx(rx(t, r"\*\*", "\ue001\ue001"), "\ue001\\*", "\ue001\ue001"), "\\*\ue001", "\ue001\ue001")
+    return f"replace({rx(t, r'\*(.+?)\*', r'<em>\1</em>')}, '\ue001', '*')"
+
+
+def linked(html: str, first: str) -> str:
+    """Text with its references to notes as numbered links; `first` is the number of its first one."""
+    n = f"({first} + i - 2)"
+    link = f"""'<a id="fnref-c' || chapter || '-' || {n} || '" href="#fn-c' || chapter || '-' || {n} || '" epub:type="noteref" class="fnref"><sup>' || {n} || '</sup></a>'"""
+    return f"array_to_string(list_transform(string_split_regex({html}, '\\[\\^[^\\]]+\\]'), lambda s, i: CASE WHEN i = 1 THEN s ELSE {link} || s END), '')"
+
+
+#: Over `cp` (blocks with their chapter) and `fn` (numbered references): the inner XHTML of each block.
+def xhtml() -> str:
+    body = lambda t: linked(inline(t), "first")
+    cells = rf"list_transform(string_split({rx(strip('t'), chr(94) + r'\|+|\|+$')}, '|'), lambda c: {inline(strip('c'))})"
+    row = f"array_to_string(list_transform(string_split({linked(f'array_to_string({cells}, chr(124))', 'first')}, '|'), lambda c: '<' || CASE WHEN item = 0 THEN 'th' ELSE 'td' END || '>' || c || '</' || CASE WHEN item = 0 THEN 'th' ELSE 'td' END || '>'), '')"
+    cut = "strpos(t, ' --- ')"
+    left, right = strip(f"substring(t, 1, {cut} - 1)"), strip(f"substring(t, {cut} + 5)")
+    seen = f"len(regexp_extract_all({left}, '\\[\\^[^\\]]+\\]'))"
+    verse = f"""CASE WHEN t = '' THEN '' WHEN {cut} > 0 THEN '<p class="v"><span class="m1">' || {body(left)} || '</span><span class="m2">' || {linked(inline(right), f'(first + {seen})')} || '</span></p>' ELSE '<p class="v"><span class="m-full">' || {body('t')} || '</span></p>' END"""
+    return f"""st0 AS (SELECT rec_id, chapter, block, item, min(number) AS first FROM fn GROUP BY ALL),
+    ea AS (SELECT rec_id, book, chapter, page, block, para, joined, kind, unnest(CASE WHEN len(items) > 0 THEN range(len(items)) ELSE [0] END)::INT AS item, unnest(CASE WHEN len(items) > 0 THEN items ELSE [NULL] END) AS t FROM cp),
+    eb AS (SELECT ea.*, coalesce(first, 1) AS first FROM ea LEFT JOIN st0 USING (rec_id, chapter, block, item)),
+    ec AS (SELECT *, CASE WHEN t IS NULL THEN '' WHEN kind = 'verse' THEN {verse} WHEN kind = 'table' THEN CASE WHEN item = 0 THEN '<thead><tr>' || {row} || '</tr></thead>' ELSE '<tr>' || {row} || '</tr>' END
+      WHEN kind = 'quote' THEN '<p>' || {body('t')} || '</p>' WHEN kind IN ('ul', 'ol') THEN '<li>' || {body('t')} || '</li>' ELSE {body('t')} END AS html FROM eb),
+    ed AS (SELECT rec_id, book, chapter, page, block, para, joined, kind, string_agg(html, '' ORDER BY item) AS i FROM ec GROUP BY ALL),
+    xh AS (SELECT * EXCLUDE (i), CASE WHEN kind = 'verse' THEN '<div class="verse">' || i || '</div>' WHEN kind = 'table' AND i = '' THEN '' WHEN kind = 'table' THEN '<table>' || regexp_replace(i, '(?s)^(<thead>.*?</thead>)(.*)$', '\\1<tbody>\\2</tbody>') || '</table>'
+      WHEN kind = 'quote' THEN '<blockquote>' || i || '</blockquote>' WHEN kind IN ('ul', 'ol', 'h1', 'h2', 'h3') THEN '<' || kind || '>' || i || '</' || kind || '>' ELSE i END AS html FROM ed)"""
+
+
 #: Lines of the pages `src` with their kinds, as classified() has them.
 def kinds(src: str, keys: str = "rec_id") -> str:
     return f"""ln AS (SELECT {keys}, line, raw, {strip('raw')} AS s FROM (SELECT {keys}, unnest(range(len(l))) AS line, unnest(l) AS raw FROM (SELECT {keys}, string_split(text_md, chr(10)) AS l FROM {src}))),

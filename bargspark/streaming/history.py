@@ -26,11 +26,12 @@ def daily_issues(events: DataFrame, late: str = "30 days", window: str = "1 day"
     return events.withWatermark("loaded_at", late).groupBy(w, "issue_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "issue_type", "n")
 
 
-def update_counts(batch: DataFrame, _: int, store: str) -> None:
-    """Appends one batch's counts by feature; the table of partial counts is summed by `weights`."""
-    history.event_features(batch).groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.col("is_issue").cast("long")).alias("issues")).withColumn("kind", F.lit("feature")).unionByName(
-        batch.dropDuplicates(["event_id"]).agg(F.lit("*").alias("feature"), F.count("*").alias("n"), F.sum((~F.col("issue_type").eqNullSafe("pass")).cast("long")).alias("issues")).withColumn("kind", F.lit("total"))
-    ).write.mode("append").parquet(store)
+def update_counts(batch: DataFrame, batch_id: int, store: str) -> None:
+    """Writes one batch's counts by feature under the batch's number, in place of what an earlier try of the same batch wrote, so a replay counts nothing twice; the table of partial counts is summed by `weights`."""
+    once = batch.dropDuplicates(["event_id"])
+    total = once.agg(F.lit("*").alias("feature"), F.count("*").alias("n"), F.sum((~F.col("issue_type").eqNullSafe("pass")).cast("long")).alias("issues")).withColumn("kind", F.lit("total"))
+    counts = history.event_features(batch).groupBy("feature").agg(F.count("*").alias("n"), F.sum(F.col("is_issue").cast("long")).alias("issues")).withColumn("kind", F.lit("feature"))
+    counts.unionByName(total).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={batch_id}")
 
 
 def weights(spark: SparkSession, store: str) -> DataFrame:

@@ -195,11 +195,14 @@ def test_build(spark, tmp_path):
 
     books = spark.createDataFrame([("b", "کتاب", None)], "book string, title_fa string, author_fa string")
     out = str(tmp_path / "out")
-    build.build(book(spark), books, out)
+    said = build.build(book(spark), books, out).collect()
+    assert [(r.book, r.chapters) for r in said] == [("b", 2)] and said[0].parts > 2
     z = zipfile.ZipFile(out + "/b.epub")
     assert [n for n in z.namelist() if "chap" in n] == ["OEBPS/chap_001.xhtml", "OEBPS/chap_002.xhtml"]
     assert "<dc:title>کتاب</dc:title><dc:creator>Unknown</dc:creator>" in z.read("OEBPS/content.opf").decode()
     listed = spark.createDataFrame([("b", 0, "یکم", 2), ("b", 1, None, 7)], "book string, idx int, title string, start_page int")
-    got = {r.chapter: (r.chapter_title, r.body) for r in build.chapters(book(spark), books, listed).collect()}
+    got = {}
+    for r in build.chapters(book(spark), books, listed).orderBy("chapter", "page", "block").collect():
+        got[r.chapter] = (r.chapter_title, got.get(r.chapter, ("", ""))[1] + r.body)
     # the paragraph of pages 1 to 4 begins on page 1, before the first chapter
     assert set(got) == {0, 1, 2} and got[0][0] == "فصل" and "میانه" in got[0][1] and got[1][0] == "یکم" and got[2][0] == "دو"
