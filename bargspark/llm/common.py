@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bargspark.functions.batches import slices  # noqa: F401
 from bargspark.session import keep, ship  # noqa: F401
 
 
@@ -28,20 +29,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def slices(batches, column: str, limit: int = 8 << 20):
-    """Cuts Arrow batches so that each holds about `limit` bytes of the named column; one very long value makes a batch of its own."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        start, size = 0, 0
-        for i, n in enumerate(lengths):
-            if size and size + n > limit:
-                yield batch.slice(start, i - start)
-                start, size = i, 0
-            size += n
-        if batch.num_rows > start:
-            yield batch.slice(start)
-
-
 class Memo(dict):
     """A dict that fills itself from a function and empties itself at `most` entries; a cache only, results never depend on it."""
 

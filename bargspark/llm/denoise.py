@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bargspark.operators import windows
+
 from . import repeated
 from .common import Bits, Memo, Numbers, batch_of, keep, of_texts, slices, spread
 from .visual import canonical, canonical_lines
@@ -617,14 +619,15 @@ def paragraphs(pages: DataFrame, flags: DataFrame, furniture_and_text: DataFrame
     markup = F.col("text").rlike(r"^\s*(#|\||>|```|\[\^|[-*•] |\d+[.)] )")
     ends = parts.select("rec_id", "book", "page", "n", "hanging", markup.alias("markup")).groupBy("rec_id", "book", "page").agg(F.max("n").alias("last"), F.max("hanging").alias("hanging"), F.max_by("markup", "n").alias("last_markup"), F.min_by("markup", "n").alias("first_markup"))
     said = flags.select("rec_id", "starts_mid_paragraph", "continues_next").dropDuplicates(["rec_id"])
-    by = W.partitionBy("book").orderBy("page")
-    ends = ends.join(said, "rec_id", "left")
-    joins = (F.lag("page").over(by) == F.col("page") - 1) & ~F.col("first_markup") & ~F.lag("last_markup").over(by) & (F.lag("hanging").over(by) | (F.lag("continues_next").over(by) & F.col("starts_mid_paragraph")))
+    ends = keep(ends.join(said, "rec_id", "left"), "p3-ends")
+    # the order of pages is followed in blocks of pages, so no task holds a book
+    ends = windows.last_before(ends, ["book"], "page", {"p": F.struct("page", "last_markup", "hanging", "continues_next")})
+    joins = (F.col("p.page") == F.col("page") - 1) & ~F.col("first_markup") & ~F.col("p.last_markup") & (F.col("p.hanging") | (F.col("p.continues_next") & F.col("starts_mid_paragraph")))
     ends = ends.withColumn("joins", F.coalesce(joins, F.lit(False)))
     # a page of one paragraph that goes on passes the join through: the head is the last page before the run of joins that isn't such a page
-    through = ends.withColumn("starts", ~(F.col("joins") & (F.col("last") == 1)))
-    head = F.last(F.when(F.col("starts"), F.struct("page", "last")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1))
-    joined = through.withColumn("head", head).where("joins").select("rec_id", F.lit(1).alias("n"), F.col("head.page").alias("h_page"), F.col("head.last").alias("h_n"))
+    starts = ~(F.col("joins") & (F.col("last") == 1))
+    through = windows.last_before(ends, ["book"], "page", {"head": F.when(starts, F.struct("page", "last"))})
+    joined = through.where("joins").select("rec_id", F.lit(1).alias("n"), F.col("head.page").alias("h_page"), F.col("head.last").alias("h_n"))
     at = parts.join(joined, ["rec_id", "n"], "left").withColumn("h_page", F.coalesce("h_page", "page")).withColumn("h_n", F.coalesce("h_n", "n"))
     whole = F.array_sort(F.collect_list(F.struct("page", "n", "text", "hanging")))
     # a part that ends inside a word is marked by a null character and loses its hyphen when the next part comes

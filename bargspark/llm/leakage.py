@@ -91,6 +91,7 @@ class Automaton:
         self.width = len(self.words) + 1
         edges = sorted((s * self.width + c, q) for s, found in enumerate(step) for c, q in found.items())
         self.keys, self.targets = array("q", [k for k, _ in edges]), array("i", [q for _, q in edges])
+        self.pairs = array("q", sorted({self.words[x] * self.width + self.words[y] for _, words in items for x, y in zip(words, words[1:])}))
         self.link, self.length = array("i", link), array("i", length)
         self.hit, self.items = array("q", [0]), array("q")
         for s in range(len(step)):
@@ -118,11 +119,20 @@ class Automaton:
         spans: list[tuple[int, int]] = []
         n = np.fromiter(numbers, np.int64, len(numbers))
         where = np.flatnonzero(n >= 0)  # tokens of punctuation alone are skipped
-        known = np.concatenate([[0], n[where] > 0, [0]])
-        turns = np.flatnonzero(np.diff(known))
-        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()):  # runs of words that some item has
-            if b - a >= self.least:
-                self._run(n[where[a:b]].tolist(), where[a:b].tolist(), found, spans)
+        words = n[where]
+        known = words > 0
+        if known.sum() < self.least:
+            return found, spans
+        # no match leaves a run of words each of which follows the one before it in some item
+        pairs = np.frombuffer(self.pairs, np.int64)
+        key = words[:-1] * self.width + words[1:]
+        at = np.minimum(np.searchsorted(pairs, key), max(0, len(pairs) - 1))
+        goes_on = np.concatenate([[False], known[:-1] & known[1:] & (pairs[at] == key if len(pairs) else False)])
+        first = np.flatnonzero(known & ~goes_on)
+        run = np.cumsum(known & ~goes_on)[known]  # the number of each known word's run, from 1
+        size = np.bincount(run, minlength=len(first) + 1)[1:]
+        for a, m in zip(first[size >= self.least].tolist(), size[size >= self.least].tolist()):
+            self._run(words[a : a + m].tolist(), where[a : a + m].tolist(), found, spans)
         return found, spans
 
     def _run(self, words: list[int], where: list[int], found: set[int], spans: list[tuple[int, int]]) -> None:

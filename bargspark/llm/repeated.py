@@ -48,7 +48,7 @@ class _Tables:
 
     def __init__(self):
         self.powers = self.inverses = np.ones(1, np.uint64)
-        self.letters = self.digits = None
+        self.kinds = {}
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.powers) < n:
@@ -56,15 +56,23 @@ class _Tables:
             self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (BASE, INVERSE))
         return self.powers, self.inverses
 
+    def _of(self, test, code: np.ndarray) -> np.ndarray:
+        """What a test of characters says: from a table up to U+1FFFF, of each different character beyond."""
+        if test not in self.kinds:
+            self.kinds[test] = np.fromiter((test(chr(c)) for c in range(0x20000)), bool, 0x20000)
+        far = code >= 0x20000
+        if not far.any():
+            return self.kinds[test][code]
+        found = self.kinds[test][np.where(far, 0, code)]
+        for c in np.unique(code[far]).tolist():
+            found[code == c] = test(chr(c))
+        return found
+
     def is_letter(self, code: np.ndarray) -> np.ndarray:
-        if self.letters is None:
-            self.letters = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
-        return self.letters[code]
+        return self._of(str.isalpha, code)
 
     def is_digit(self, code: np.ndarray) -> np.ndarray:
-        if self.digits is None:
-            self.digits = np.fromiter((chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
-        return self.digits[code]
+        return self._of(str.isdecimal, code)
 
 
 TABLES = _Tables()
@@ -201,11 +209,10 @@ def repeated_chunks(pages: DataFrame, books: int = 3, letters: int = 25) -> Data
     """(rec_id, start, end), each once: the chunks of whole texts found in records of at least `books` books of their origin, as places in `whole_key` of the text."""
 
     def run(batches):
-        digit = np.arange(0x110000, dtype=np.uint32)
-        digit[[c for c in range(0x110000) if chr(c).isdecimal()]] = ord("0")
         for batch in slices(batches, "text_md", 1 << 19):
             keys = [whole_key(t) for t in batch.column("text_md").to_pylist()]
-            code = digit[codes(keys)]
+            code = codes(keys)
+            code = np.where(TABLES.is_digit(code), np.uint32(ord("0")), code)
             hashes, text, start, end = chunk_hashes(np.fromiter(map(len, keys), np.int64, len(keys)), code)
             first = np.cumsum([0, *map(len, keys)])
             enough = np.diff(np.concatenate([[0], np.cumsum(TABLES.is_letter(code))])[np.append(start, len(code))]) >= letters if len(start) else np.zeros(0, bool)
