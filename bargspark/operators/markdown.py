@@ -56,8 +56,10 @@ def parity_verse(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -
     return df.select(key, "line", F.coalesce(inside, F.lit(False)).alias("inside"))
 
 
-def blocks(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -> DataFrame:
-    """(…keys, block, kind, items): the blocks of each page from 0; items are the texts of its lines. Notes' definitions are no blocks; runs of quotes, rows and items of one kind are one block, ended by anything else."""
+def blocks(pages: DataFrame, key: str = "rec_id", text: str = "text_md", with_notes: bool = False) -> DataFrame:
+    """(…keys, block, kind, items): the blocks of each page from 0; items are the texts of its lines. Notes' definitions are no blocks; runs of quotes, rows and items of one kind are one block, ended by anything else.
+
+    With `with_notes` each definition has a row too, of the kind note and a block below 0, for `notes_of`."""
     keys = [c for c in pages.columns if c != text]
     w = W.partitionBy(key).orderBy("line")
     lines = classified(pages, key, text)
@@ -66,7 +68,11 @@ def blocks(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -> Data
     # an empty block of verse is a block too, so its opening fence starts it; verse lines belong to it
     opens = ((F.col("kind") == "fence") & (F.col("s") == "```verse")) | F.col("kind").isin("h1", "h2", "h3", "p") | (run & (F.col("kind") != "verse") & ~before.eqNullSafe(F.col("kind")))
     df = lines.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(w) - 1)
-    df = df.where(F.col("kind").isin("h1", "h2", "h3", "p", "quote", "table", "bullet", "number", "verse") | F.col("opens"))
+    some = F.col("kind").isin("h1", "h2", "h3", "p", "quote", "table", "bullet", "number", "verse") | F.col("opens")
+    if with_notes:
+        some = some | (F.col("kind") == "note")
+        df = df.withColumn("block", F.when(F.col("kind") == "note", -1 - F.col("line")).otherwise(F.col("block")))
+    df = df.where(some)
     s = F.col("s")
     item = (
         F.when(F.col("kind") == "h1", X.strip(F.expr("substring(s, 3)"))).when(F.col("kind") == "h2", X.strip(F.expr("substring(s, 4)"))).when(F.col("kind") == "h3", X.strip(F.expr("substring(s, 5)")))
@@ -92,25 +98,31 @@ def notes(pages: DataFrame, key: str = "rec_id", text: str = "text_md") -> DataF
     return found.groupBy(key, "label").agg(F.max_by("definition", "line").alias("definition"))
 
 
-def stitched(pages: DataFrame) -> DataFrame:
+def notes_of(b: DataFrame, key: str = "rec_id") -> DataFrame:
+    """The same as `notes`, of blocks made with them."""
+    s = F.get("items", F.lit(0))
+    found = b.where("kind = 'note'").select(key, (-1 - F.col("block")).alias("line"), F.regexp_extract(s, NOTE, 1).alias("label"), F.regexp_extract(s, NOTE, 2).alias("definition"))
+    return found.groupBy(key, "label").agg(F.max_by("definition", "line").alias("definition"))
+
+
+def stitched(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """Of (rec_id, book, page, starts_mid_paragraph, continues_next, text_md), one record per page: the blocks with `para`, the same for the blocks that are one paragraph over pages, and `joined`, true for its later parts.
 
     A page's first block joins the last block of the book before it if both are
     paragraphs, the page before is the number before, it goes on and this one
-    starts inside a paragraph. A page without blocks doesn't stand between them."""
-    b = keep(blocks(pages.select("rec_id", "book", "page", "text_md")), "md-blocks")
+    starts inside a paragraph. A page without blocks doesn't stand between them. `b` is
+    a kept table of the pages' blocks, where there is one."""
+    b = keep(blocks(pages.select("rec_id", "book", "page", "text_md")), "md-blocks") if b is None else b.where("kind <> 'note'")
     ends = b.groupBy("rec_id").agg(F.min_by("kind", "block").alias("first_kind"), F.max_by("kind", "block").alias("last_kind"), F.min("block").alias("first"), F.max("block").alias("last"))
     # a slim row per page, in order of the book
     slim = keep(pages.select("rec_id", "book", "page", "starts_mid_paragraph", "continues_next").join(ends, "rec_id", "left"), "md-pages")
-    slim = windows.last_before(slim, ["book"], "page", {"_page": F.struct("page", "continues_next"), "_kind": F.col("last_kind"), "prev": F.when(F.col("last").isNotNull(), F.struct("rec_id", "last"))})
+    slim = windows.last_before(slim, ["book"], "page", {"_page": F.struct("page", "continues_next"), "_kind": F.col("last_kind")})
     joins = (F.col("_page.page") == F.col("page") - 1) & F.col("_page.continues_next") & F.col("starts_mid_paragraph") & (F.col("_kind") == "p") & (F.col("first_kind") == "p")
     slim = slim.withColumn("joins", F.coalesce(joins, F.lit(False)))
-    # a chain of pages of one paragraph each: its head is the last block before the first join
+    # a page of one paragraph that was joined passes the join on: the head is the last block of the last page before that isn't such a page
     single = F.col("joins") & (F.col("first") == F.col("last"))
-    slim = windows.last_before(slim, ["book"], "page", {"_chained": F.when(F.col("last").isNotNull(), single)})
-    head = F.when(F.col("joins") & ~F.coalesce("_chained", F.lit(False)), F.col("prev"))
-    slim = windows.last_before(slim.withColumn("_head", head), ["book"], "page", {"_before": F.col("_head")})
-    slim = slim.withColumn("head", F.when(F.col("joins"), F.coalesce("_head", "_before")))
+    slim = keep(slim.select("rec_id", "book", "page", "first", "last", "joins", single.alias("single")), "md-joins")
+    slim = windows.last_before(slim, ["book"], "page", {"head": F.when(F.col("last").isNotNull() & ~F.coalesce("single", F.lit(False)), F.struct("rec_id", "last"))})
     joined = b.join(slim.where("joins").select("rec_id", F.col("first").alias("block"), F.col("head.rec_id").alias("h_rec"), F.col("head.last").alias("h_block")), ["rec_id", "block"], "left")
     para = F.concat_ws(".", F.coalesce("h_rec", "rec_id"), F.coalesce("h_block", "block"))
     return joined.select("rec_id", "book", "page", "block", "kind", "items", para.alias("para"), F.col("h_rec").isNotNull().alias("joined"))
@@ -135,6 +147,7 @@ def chapters_by_page(pages: DataFrame, chapters: DataFrame) -> DataFrame:
 def references(b: DataFrame, defs: DataFrame) -> DataFrame:
     """Of blocks with `chapter`: (rec_id, book, chapter, page, block, item, at, label, number, definition): every reference to a note, numbered through its chapter, with its page's definition or an empty one."""
     found = b.select("rec_id", "book", "chapter", "page", "block", F.posexplode("items").alias("item", "t")).select("rec_id", "book", "chapter", "page", "block", "item", F.posexplode(F.regexp_extract_all("t", F.lit(REFERENCE), F.lit(1))).alias("at", "label"))
+    found = keep(found, "md-references")
     # running numbers: within a page by a window, over pages by a running sum of one row per page and chapter
     per = found.groupBy("book", "chapter", "page", "rec_id").agg(F.count("*").alias("n"))
     before = windows.sums_before(per, ["book", "chapter"], "page", F.col("n"), "before", ("rec_id",)).select("book", "chapter", "rec_id", "before")

@@ -16,7 +16,8 @@ def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None
 
     Books with a list of chapters are cut at its pages, the others at headings of level 1; blank pages are left out, empty chapters vanish. A book without title is named by its key."""
     clean = pages.where(F.length(X.strip(F.col("text_md"))) > 0).withColumn("text_md", X.normalize(F.col("text_md")))
-    b = markdown.chapters_by_heading(markdown.stitched(clean))
+    raw = keep(markdown.blocks(clean.select("rec_id", "book", "page", "text_md"), with_notes=True), "blocks")
+    b = markdown.chapters_by_heading(markdown.stitched(clean, raw))
     if listed is not None:
         at = markdown.chapters_by_page(clean, listed).select("book", "page", (F.coalesce("idx", F.lit(-1)) + 1).alias("by_page"))
         has = listed.select("book").distinct().withColumn("has_list", F.lit(True))
@@ -24,9 +25,8 @@ def chapters(pages: DataFrame, books: DataFrame, listed: DataFrame | None = None
         first = b.groupBy("para").agg(F.min("page").alias("page"))
         placed = b.withColumnRenamed("page", "own_page").join(first, "para").join(at, ["book", "page"], "left").join(has, "book", "left")
         b = placed.withColumn("chapter", F.when(F.col("has_list"), F.coalesce("by_page", F.lit(0))).otherwise(F.col("chapter"))).drop("page", "by_page", "has_list").withColumnRenamed("own_page", "page")
-    b = keep(b, "blocks")
-    refs = markdown.references(b, markdown.notes(clean.select("rec_id", "text_md")))
-    refs = keep(refs, "references")
+    b = keep(b, "chapters")
+    refs = keep(markdown.references(b, markdown.notes_of(raw)), "references")
     body = markdown.chapter_parts(markdown.xhtml(b, refs), refs)
     named = b.where("kind = 'h1'").groupBy("book", "chapter").agg(F.min_by(F.get("items", F.lit(0)), F.struct("page", "block")).alias("heading"))
     out = body.join(named, ["book", "chapter"], "left")

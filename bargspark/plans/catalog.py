@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bargspark.functions import measures as M
 from bargspark.functions import text as X
 from bargspark.operators import diffing, headings, history, layout, markdown, matching, pages, review, scans, validators
-from bargspark.session import keep, ship, table_path
+from bargspark.session import keep, ship, spread, table_path
 
 from . import sql as S
 
@@ -44,6 +44,11 @@ def texts(spark, d, *more) -> DataFrame:
     return once(spark, d, "page_text", "rec_id", "rec_id", "book", "page", "attempt", "text_md", *more)
 
 
+def spread_texts(spark, d) -> DataFrame:
+    """The texts for work on each row alone."""
+    return spread(texts(spark, d), read(spark, d, "page_text", "rec_id"))
+
+
 FIELDS = ("rec_id", "is_blank", "headings", "flags", "starts_mid_paragraph", "continues_next", "confidence", "model_used", "resolution")
 
 
@@ -66,7 +71,8 @@ def last_texts(spark, d) -> DataFrame:
     flags = F.struct("starts_mid_paragraph", "continues_next")
     last = keys.join(said, "rec_id").groupBy("book", "page").agg(F.max_by(F.struct("rec_id", flags.alias("f")), F.struct("attempt", "rec_id")).alias("b"))
     chosen = last.select("book", "page", "b.rec_id", "b.f.*")
-    return texts(spark, d).select("rec_id", "text_md").join(chosen, "rec_id").select("rec_id", "book", "page", "text_md", "starts_mid_paragraph", "continues_next")
+    found = texts(spark, d).select("rec_id", "text_md").join(chosen, "rec_id").select("rec_id", "book", "page", "text_md", "starts_mid_paragraph", "continues_next")
+    return spread(found, read(spark, d, "page_text", "rec_id"))
 
 
 # ---------------------------------------------------------------- texts
@@ -74,12 +80,12 @@ def last_texts(spark, d) -> DataFrame:
 
 @query(f"WITH {S.T} SELECT rec_id, {S.normalize('text_md')} AS text FROM t")
 def normalize_text(spark, d):
-    return texts(spark, d).select("rec_id", X.normalize(F.col("text_md")).alias("text"))
+    return spread_texts(spark, d).select("rec_id", X.normalize(F.col("text_md")).alias("text"))
 
 
 @query(f"WITH {S.T}, {S.bag_table('b', 't', 'rec_id', 'text_md')} SELECT rec_id, w AS word, n FROM b")
 def word_bag(spark, d):
-    return texts(spark, d).select("rec_id", F.explode(X.bag(F.col("text_md"))).alias("b")).select("rec_id", F.col("b.w").alias("word"), F.col("b.n").cast("long").alias("n"))
+    return spread_texts(spark, d).select("rec_id", F.explode(X.bag(F.col("text_md"))).alias("b")).select("rec_id", F.col("b.w").alias("word"), F.col("b.n").cast("long").alias("n"))
 
 
 
@@ -88,7 +94,7 @@ def word_bag(spark, d):
     d AS (SELECT a_id, b_id, sum(a.n * b.n)::DOUBLE AS dot FROM p JOIN b a ON a.rec_id = a_id JOIN b ON b.rec_id = b_id AND b.w = a.w GROUP BY 1, 2)
     SELECT a_id, b_id, round(coalesce(dot / (sqrt(x.nn) * sqrt(y.nn)), 0.0)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS similarity FROM p LEFT JOIN d USING (a_id, b_id) LEFT JOIN nrm x ON x.rec_id = a_id LEFT JOIN nrm y ON y.rec_id = b_id""")
 def bag_cosine(spark, d):
-    t = texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "book", "page", X.bag(F.col("text_md")).alias("bag"))
+    t = spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "book", "page", X.bag(F.col("text_md")).alias("bag"))
     a, b = t.select(F.col("rec_id").alias("a_id"), "book", "page", F.col("bag").alias("x")), t.select(F.col("rec_id").alias("b_id"), "book", "page", F.col("bag").alias("y"))
     return a.join(b, ["book", "page"]).where("a_id < b_id").select("a_id", "b_id", F.round(M.cosine(F.col("x"), F.col("y")), 4).alias("similarity"))
 
@@ -96,25 +102,25 @@ def bag_cosine(spark, d):
 @query(f"""WITH {S.T} SELECT rec_id, {S.count_of('text_md', 'A-Za-z')} AS latin, {S.count_of('text_md', '؀-ۿ')} AS persian, {S.count_of('text_md', 'يك')} AS arabic_codepoints,
     round(coalesce({S.count_of('text_md', 'A-Za-z')}::DOUBLE / nullif({S.count_of('text_md', 'A-Za-z')} + {S.count_of('text_md', '؀-ۿ')}, 0), 0.0)::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS latin_ratio FROM t""")
 def script_stats(spark, d):
-    return validators.script(texts(spark, d)).select("rec_id", "latin", "persian", "arabic_codepoints", "latin_ratio")
+    return validators.script(spread_texts(spark, d)).select("rec_id", "latin", "persian", "arabic_codepoints", "latin_ratio")
 
 
 @query(f"""WITH {S.T}, w AS (SELECT rec_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT rec_id, {S.words('text_md')} AS ws FROM t)),
     c AS (SELECT rec_id, w, count(*) AS n, min(i) AS i FROM w GROUP BY 1, 2), m AS (SELECT rec_id, sum(n) AS total FROM c GROUP BY 1)
     SELECT rec_id, w AS word, n, length(text_md) > 200 AND length(w) > 2 AND n::DOUBLE / total > 0.25 AS repeated FROM c JOIN m USING (rec_id) JOIN t USING (rec_id) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY n DESC, i) = 1""")
 def repetition(spark, d):
-    t = texts(spark, d).where(F.size(X.words(F.col("text_md"))) > 0).withColumn("top", validators.top_word(F.col("text_md")))
+    t = spread_texts(spark, d).where(F.size(X.words(F.col("text_md"))) > 0).withColumn("top", validators.top_word(F.col("text_md")))
     return t.select("rec_id", F.col("top.w").alias("word"), F.col("top.n").cast("long").alias("n"), validators.repetition(F.col("text_md")).alias("repeated"))
 
 
 @query(f"WITH {S.T} SELECT rec_id, unnest(range(len(h)))::INT AS pos, unnest(h) AS heading FROM (SELECT rec_id, {S.heading_lines('text_md')} AS h FROM t)")
 def heading_lines(spark, d):
-    return texts(spark, d).select("rec_id", F.posexplode(X.heading_lines(F.col("text_md"))).alias("pos", "heading"))
+    return spread_texts(spark, d).select("rec_id", F.posexplode(X.heading_lines(F.col("text_md"))).alias("pos", "heading"))
 
 
 @query(f"WITH {S.T} SELECT rec_id, {S.countable('text_md')} AS n FROM t")
 def countable(spark, d):
-    return texts(spark, d).select("rec_id", X.countable(F.col("text_md")).alias("n"))
+    return spread_texts(spark, d).select("rec_id", X.countable(F.col("text_md")).alias("n"))
 
 
 @query(f"""WITH x AS (SELECT book, lower(title_en) AS a, title_fa FROM books)
@@ -496,25 +502,25 @@ def bbox_to_box(spark, d):
 
 @query(f"WITH {S.T}, p AS (SELECT rec_id, text_md FROM t WHERE text_md IS NOT NULL), {S.kinds('p')} SELECT rec_id, line::INT AS line, kind FROM kind")
 def line_kinds(spark, d):
-    return markdown.classified(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md")).select("rec_id", "line", "kind")
+    return markdown.classified(spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md")).select("rec_id", "line", "kind")
 
 
 @query(f"""WITH {S.T}, x AS (SELECT rec_id, line, s, starts_with(s, '```') AS fence FROM (SELECT rec_id, line, {S.strip('raw')} AS s FROM (SELECT rec_id, unnest(range(len(l)))::INT AS line, unnest(l) AS raw FROM (SELECT rec_id, string_split(text_md, chr(10)) AS l FROM t WHERE text_md IS NOT NULL)))),
     y AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY rec_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x), z AS (SELECT *, CASE WHEN fence AND before % 2 = 0 THEN {S.strip('substring(s, 4)')} END AS tag FROM y)
     SELECT rec_id, line, coalesce(NOT fence AND before % 2 = 1 AND last_value(tag IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'verse', false) AS inside FROM z""")
 def verse_mask(spark, d):
-    return markdown.parity_verse(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
+    return markdown.parity_verse(spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
 
 
 @query(f"WITH {S.T}, p AS (SELECT rec_id, text_md FROM t WHERE text_md IS NOT NULL), {S.blocks('p')} SELECT rec_id, block, kind, array_to_string(items, chr(10)) AS items FROM block")
 def md_blocks(spark, d):
-    b = markdown.blocks(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
+    b = markdown.blocks(spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
     return b.select("rec_id", F.col("block").cast("int").alias("block"), "kind", F.array_join("items", "\n").alias("items"))
 
 
 @query(f"WITH {S.T}, p AS (SELECT rec_id, text_md FROM t WHERE text_md IS NOT NULL), {S.kinds('p')} SELECT rec_id, label, arg_max(def, line) AS definition FROM (SELECT rec_id, line, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 1) AS label, regexp_extract(s, '(?s)^\\[\\^([^\\]]+)\\]:\\s?(.*)$', 2) AS def FROM kind WHERE kind = 'note') GROUP BY 1, 2")
 def notes(spark, d):
-    return markdown.notes(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
+    return markdown.notes(spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
 
 
 _STITCH = f"WITH {S.T}, {S.F}, {S.LAST}, {S.blocks('last', 'rec_id, book, page')}, {S.STITCH}"
@@ -547,15 +553,21 @@ _NOTES = f"""it AS (SELECT rec_id, book, chapter, page, block, unnest(range(len(
 
 @query(f"{_STITCH}, {_NOTES} SELECT rec_id, block, item, spot, label, chapter, number, definition FROM fn")
 def footnotes(spark, d):
-    last = last_texts(spark, d)
-    r = markdown.references(_stitched(spark, d), markdown.notes(last.select("rec_id", "text_md")))
+    b, defs = _chaptered(last_texts(spark, d))
+    r = markdown.references(b, defs)
     return r.select("rec_id", F.col("block").cast("int").alias("block"), "item", F.col("at").alias("spot"), "label", "chapter", "number", "definition")
 
 
+def _chaptered(last: DataFrame):
+    """(blocks with their chapters, notes' definitions) of one reading of the texts."""
+    b = keep(markdown.blocks(last.select("rec_id", "book", "page", "text_md"), with_notes=True), "blocks")
+    return markdown.chapters_by_heading(markdown.stitched(last, b)), markdown.notes_of(b)
+
+
 def _bodies(spark, d):
-    last = last_texts(spark, d).withColumn("text_md", X.normalize(F.col("text_md")))
-    b = keep(markdown.chapters_by_heading(markdown.stitched(last)), "blocks")
-    refs = keep(markdown.references(b, markdown.notes(last.select("rec_id", "text_md"))), "references")
+    b, defs = _chaptered(last_texts(spark, d).withColumn("text_md", X.normalize(F.col("text_md"))))
+    b = keep(b, "chapters")
+    refs = keep(markdown.references(b, defs), "references")
     return markdown.xhtml(b, refs), refs, b
 
 
@@ -617,9 +629,10 @@ def unlinked_findings(spark, d):
 # ---------------------------------------------------------------- places on pages
 
 
-def printed(spark, d):
-    """A page as a printer might set it: (lines, words, pages)."""
-    t = texts(spark, d).where("text_md IS NOT NULL").select("rec_id", F.posexplode(X.lines(F.col("text_md"))).alias("line", "raw"))
+def printed(spark, d, only=None):
+    """Pages as a printer might set them: (lines, words); of `only` (rec_id) where given, so that no words of other pages are made."""
+    t = spread_texts(spark, d) if only is None else spread(texts(spark, d).join(only.select("rec_id").distinct(), "rec_id", "leftsemi"), read(spark, d, "page_text", "rec_id"))
+    t = t.where("text_md IS NOT NULL").select("rec_id", F.posexplode(X.lines(F.col("text_md"))).alias("line", "raw"))
     t = t.withColumn("n", F.length(F.regexp_replace("raw", X.WHITE, ""))).where("n >= 2")
     y0, y1 = (20 + 14 * F.col("line")).cast("double").alias("y0"), (32 + 14 * F.col("line")).cast("double").alias("y1")
     lines = t.select("rec_id", "line", "n", y0, y1, (2000 - 4 * F.col("n")).cast("double").alias("x0"), F.lit(2000.0).alias("x1"))
@@ -640,23 +653,23 @@ def _spans(spark, d):
 
 
 def _found(spark, d):
-    return layout.shares(_spans(spark, d))
+    return keep(layout.shares(_spans(spark, d)), "found")
 
 
 def _found_exact(spark, d):
     """Only the snippets that stand in their page as they are, which is what SQL can say."""
-    return layout.shares(layout.exact_spans(_snippets(spark, d)))
+    return keep(layout.shares(layout.exact_spans(_snippets(spark, d))), "found")
 
 
 def _layout_hits(found, spark, d):
-    h = layout.hits(found, printed(spark, d)[0], "n", True)
+    h = layout.hits(found, printed(spark, d, found)[0], "n", True)
     return h.select("rec_id", "qid", "line", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"))
 
 
 def _layout_boxes(found, spark, d):
-    lines, words = printed(spark, d)
+    lines, words = printed(spark, d, found)
     h = layout.hits(found, lines, "n", True)
-    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
+    size = found.select("rec_id").distinct().select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
     return layout.boxes(layout.word_extents(h, words), size, "layout")
 
 
@@ -665,7 +678,7 @@ def _rounded(b):
 
 
 def _scan_hits(found, spark, d):
-    h = layout.hits(found, printed(spark, d)[0], "n", False)
+    h = layout.hits(found, printed(spark, d, found)[0], "n", False)
     return layout.one_line_if_short(h).select("rec_id", "qid", "line")
 
 
@@ -726,9 +739,10 @@ def matched_boxes(spark, d):
 
 
 def _matched(by_lines, spark, d):
-    words = printed(spark, d)[1].groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "word", F.struct("x0", "y0", "x1", "y1", F.col("w").alias("word")).alias("r")))), lambda x: x["r"]).alias("words"))
     middle = by_lines.select("rec_id", "qid", ((F.col("y0") + F.col("y1")) / 2).alias("expected"))
-    asked = _snippets(spark, d).where("snippet IS NOT NULL").join(middle, ["rec_id", "qid"], "left").groupBy("rec_id").agg(F.collect_list(F.struct("qid", F.col("snippet").alias("text"), "expected")).alias("queries"))
+    snippets = reports(spark, d).select("rec_id", "report_id", F.posexplode("issues").alias("pos", "i")).select("rec_id", (F.col("report_id") * 100 + F.col("pos")).alias("qid"), F.col("i.snippet").alias("snippet")).where("snippet IS NOT NULL")
+    asked = snippets.join(middle, ["rec_id", "qid"], "left").groupBy("rec_id").agg(F.collect_list(F.struct("qid", F.col("snippet").alias("text"), "expected")).alias("queries"))
+    words = printed(spark, d, snippets)[1].groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "word", F.struct("x0", "y0", "x1", "y1", F.col("w").alias("word")).alias("r")))), lambda x: x["r"]).alias("words"))
     p = asked.join(words, "rec_id").select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"), "words", "queries")
     return matching.located(p)
 
@@ -747,12 +761,12 @@ def _seen(words):
 
 def _scan_boxes(found, spark, d):
     """The boxes of spans by the pixels of their pages alone; only these pages are drawn."""
-    seen = keep(_seen(printed(spark, d)[1].join(found.select("rec_id").distinct(), "rec_id", "leftsemi")), "scan-lines")
+    seen = keep(_seen(printed(spark, d, found)[1]), "scan-lines")
     h = layout.one_line_if_short(layout.hits(found, seen, "weight", False))
     x = layout.scan_extents(h, seen)
     # a drawn page has an edge of 80 on the left that the printed one has not
     x = x.select("rec_id", "qid", (F.col("x0") - 80).alias("x0"), "y0", (F.col("x1") - 80).alias("x1"), "y1")
-    size = texts(spark, d).select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
+    size = found.select("rec_id").distinct().select("rec_id", F.lit(2000.0).alias("width"), F.lit(3000.0).alias("height"))
     return layout.boxes(x, size, "scan")
 
 
@@ -780,7 +794,7 @@ def _draw(batches):
     SELECT rec_id, line, text FROM li JOIN bd USING (rec_id) WHERE (bold = 1 OR top > 1.15 * body) AND length(text) BETWEEN 2 AND 60 AND regexp_matches(text, '[^\\p{{Nd}}\\p{{P}}\\p{{S}}\\s]')""")
 def heading_candidates(spark, d):
     """Of a text layer in which headings are set larger and notes bold, a span for each word."""
-    k = markdown.classified(texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
+    k = markdown.classified(spread_texts(spark, d).where("text_md IS NOT NULL").select("rec_id", "text_md"))
     size = F.when(F.col("kind").isin("h1", "h2", "h3"), 14.04).otherwise(11.02)
     spans = k.select("rec_id", "line", F.posexplode(X.words(F.col("raw"))).alias("span", "text"), size.alias("size"), F.when(F.col("kind") == "note", 16).otherwise(0).alias("flags"))
     return headings.candidates(spans)
@@ -793,14 +807,14 @@ def html_headings(spark, d):
 
 
 def _headings(spark, d):
-    last = last_texts(spark, d)
-    b = _stitched(spark, d)
-    x = markdown.xhtml(b, markdown.references(b, markdown.notes(last.select("rec_id", "text_md"))))
+    b, defs = _chaptered(last_texts(spark, d))
+    b = keep(b, "chapters")
+    x = markdown.xhtml(b, markdown.references(b, defs))
     return x.select("rec_id", F.col("block").cast("int").alias("block"), F.regexp_extract("html", "^<h([123])[^>]*>", 1).alias("level"), F.regexp_extract("html", "(?s)^<h[123][^>]*>(.*)</h[123]>", 1).alias("heading"))
 
 
 def _tiers(spark, d):
-    found = keep(_found(spark, d), "found")
+    found = _found(spark, d)
     by_lines = keep(_layout_boxes(found, spark, d), "by-lines")
     by_words = keep(_matched(by_lines, spark, d).withColumn("source", F.lit("match")), "by-words")
     open_ = found.join(by_words.unionByName(by_lines).select("rec_id", "qid"), ["rec_id", "qid"], "leftanti")

@@ -58,6 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """A table whose scan has fewer splits than the cluster has cores is dealt out evenly, so that the work on its rows uses all of them; larger ones pass unchanged. `scan` is the plain scan where df is more than that."""
+    sc = df.sparkSession.sparkContext
+    if (scan or df)._jdf.queryExecution().toRdd().getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; whatever is written there goes when the application ends, on every file system Hadoop knows."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
