@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import keep, spread
 from .visual import ZWNJ, canonical
 
 #: Fixed: words that announce a value.
@@ -51,19 +51,19 @@ def blank(value: str | None) -> bool:
     return not (value and canonical(value).strip())
 
 
-def grams(view: str) -> Counter:
+def grams(view: str, size: int = 2) -> Counter:
     t = f"^{view}$"
-    return Counter(t[i : i + 2] for i in range(len(t) - 1))
+    return Counter(t[i : i + size] for i in range(max(1, len(t) - size + 1)))
 
 
-def with_grams(df: DataFrame) -> DataFrame:
+def with_grams(df: DataFrame, size: int = 2) -> DataFrame:
     """Each (field, value) with its views and their bigrams: (field, value, blank, view, gram, n); gram is null if there are none."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for f, v in zip(batch.column("field").to_pylist(), batch.column("value").to_pylist()):
-                found = [(f, v, False, x, g, n) for x in views(v) for g, n in grams(x).items()]
+                found = [(f, v, False, x, g, n) for x in views(v) for g, n in grams(x, size).items()]
                 rows += found or [(f, v, blank(v), None, None, None)]
             columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int32()])], ["field", "value", "blank", "view", "gram", "n"])
@@ -78,22 +78,29 @@ def entries(fields: DataFrame, reports: DataFrame) -> DataFrame:
     return flags.unionByName(types).where("value IS NOT NULL")
 
 
-def mapping(values: DataFrame, vocab: DataFrame, least: float = 0.45, margin: float = 0.06, edits: float = 0.4) -> DataFrame:
-    """(field, value, code, score, ahead) of each distinct value that isn't blank; code is empty if it stands for none."""
+def mapping(values: DataFrame, vocab: DataFrame, least: float = 0.45, margin: float = 0.06, edits: float = 0.4, salts: int = 8, size: int = 2) -> DataFrame:
+    """(field, value, code, score, ahead) of each distinct value that isn't blank; code is empty if it stands for none.
+
+    The postings of a gram are spread over `salts` parts, as one gram may be in a third of all forms; products are added up before they are shuffled
+    by pair. Pairs below least - margin go before anything else is taken of them: none of them is the best one or too near to it. `size` is the length
+    of the grams: 2 for short lists, where it is the most tolerant; 3 for lists of many thousands, where pairs of letters tell too little apart."""
     forms = vocab.select("field", "code", F.explode(F.array("code", "label_en", "label_fa")).alias("value")).where("value IS NOT NULL")
-    postings = with_grams(forms).where("gram IS NOT NULL").join(forms, ["field", "value"]).select("field", "code", "view", "gram", "n").distinct()
-    total = postings.select("field", "code", "view").distinct().groupBy("field").agg(F.count("*").alias("total"))
-    weight = postings.groupBy("field", "gram").agg(F.countDistinct("code", "view").alias("df")).join(total, "field").select("field", "gram", F.log(1 + F.col("total") / F.col("df")).alias("w"))
-    postings = postings.join(weight, ["field", "gram"]).withColumn("x", F.col("n") * F.col("w"))
-    length = postings.groupBy("field", "code", "view").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("form_length"))
-    # the index: of the reference list only, so of the list's size; larger lists than the broadcast threshold are shuffled by Spark
-    index = postings.join(length, ["field", "code", "view"]).select("field", "gram", "code", F.col("view").alias("form"), (F.col("x") / F.col("form_length")).alias("y"))
-
-    mine = with_grams(values.select("field", "value").distinct())
+    postings = with_grams(forms, size).where("gram IS NOT NULL").join(forms, ["field", "value"]).select("field", "code", F.col("view").alias("form"), "gram", "n").distinct()
+    total = postings.select("field", "code", "form").distinct().groupBy("field").agg(F.count("*").alias("total"))
+    weight = postings.groupBy("field", "gram").agg(F.countDistinct("code", "form").alias("df")).join(total, "field").select("field", "gram", F.log(1 + F.col("total") / F.col("df")).alias("w"))
+    of_form = ["field", "code", "form"]
+    index = postings.join(weight, ["field", "gram"]).withColumn("x", F.col("n") * F.col("w"))
+    index = keep(index.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*of_form)))).select(*of_form, "gram", "w", "x"), "p2-index")
+
+    mine = keep(with_grams(values.select("field", "value").distinct(), size), "p2-values")
     known = mine.where("NOT blank").join(weight, ["field", "gram"], "left").join(total, "field", "left")
+    of_value = ["field", "value", "view"]
     own = known.withColumn("x", F.col("n") * F.coalesce("w", F.log(1 + F.col("total")), F.lit(1.0)))
-    own = own.withColumn("len", F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("field", "value", "view"))))
-    scored = own.join(index, ["field", "gram"]).groupBy("field", "value", "view", "code", "form").agg(F.sum(F.col("x") / F.col("len") * F.col("y")).alias("score"))
+    own = own.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(*of_value)))).where("w IS NOT NULL").select(*of_value, "gram", "w", "x")
+
+    asked = own.drop("w").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    offered = index.select(*of_form, "gram", F.col("x").alias("y"), F.pmod(F.xxhash64("form"), F.lit(salts)).cast("int").alias("salt"))
+    scored = asked.join(offered, ["field", "gram", "salt"]).groupBy(*of_value, "code", "form").agg(F.sum(F.col("x") * F.col("y")).alias("score")).where(F.col("score") >= least - margin)
     scored = scored.withColumn("off", F.levenshtein("view", "form") / F.greatest(F.length("view"), F.length("form")))
     best = scored.groupBy("field", "value", "code").agg(F.struct(F.round(F.max("score"), 6).alias("score"), (-F.min("off")).alias("near")).alias("b"))
     all_codes = W.partitionBy("field", "value")
