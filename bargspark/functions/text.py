@@ -39,6 +39,7 @@ def lines(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """The conservative page normaliser, rule after rule: letter forms, kashida, runs of spaces, spaces beside the non-joiner, spacing of Persian marks, of full stops and colons away from digits, of guillemets, and line ends. Null stays null."""
     t = F.translate(text, PERSIAN[0] + KASHIDA, PERSIAN[1])
+    # The rules of the page normaliser in their order; each sees what the one before left
     for pattern, to in (
         (r"[ \t]+", " "),
         (f" +{ZWNJ}", ZWNJ),

@@ -58,6 +58,8 @@ def risk(pages: DataFrame, weights: DataFrame, quality: Column, key: str = "rec_
     return base.select(key, "base").join(each.groupBy(key).agg(product.alias("p")), key, "left").select(key, (F.col("base") * F.coalesce("p", F.lit(1.0))).alias("risk"))
 
 
-def without_human(events: DataFrame, books: list[str]) -> DataFrame:
-    """The log less what humans recorded about these books."""
-    return events.where(~(F.col("book").isin(books) & F.coalesce(F.col("detected_by").isin(HUMANS), F.lit(False))))
+def without_human(events: DataFrame, books: DataFrame) -> DataFrame:
+    """The log less what humans recorded about the books of a table (book). Events of no book stay."""
+    gone = books.select("book").where("book IS NOT NULL").distinct().withColumn("_gone", F.lit(True))
+    human = F.coalesce(F.col("detected_by").isin(HUMANS), F.lit(False))
+    return events.join(gone, "book", "left").where(~(human & F.coalesce("_gone", F.lit(False)))).drop("_gone")

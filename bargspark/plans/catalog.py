@@ -328,9 +328,7 @@ def verify_selection(spark, d):
 @query(f"WITH {S.E} SELECT event_id FROM e WHERE NOT (book IN (SELECT book FROM books WHERE source_type = 'scanned') AND coalesce(detected_by IN ('human_edit', 'suggestion_accepted', 'suggestion_edited', 'suggestion_rejected'), false))")
 def without_human_events(spark, d):
     gone = read(spark, d, "books", "book", "source_type").where("source_type = 'scanned'").select("book")
-    e = pages.once(events(spark, d), "event_id")
-    human = e.where(F.col("detected_by").isin(history.HUMANS)).join(gone, "book", "leftsemi").select("event_id")
-    return e.join(human, "event_id", "left_anti").select("event_id")
+    return history.without_human(pages.once(events(spark, d).select("event_id", "book", "detected_by"), "event_id"), gone).select("event_id")
 
 
 @query(f"WITH {S.Q}, i AS (SELECT report_id, unnest(range(len(issues)))::INT AS pos, unnest(issues).type AS type FROM q) SELECT report_id, pos, CASE WHEN type IN ('missing_heading', 'wrong_heading_level') THEN 'heading' WHEN type = 'zwnj_error' THEN 'zwnj' WHEN type = 'heh_boundary' THEN 'heh_boundary' WHEN type = 'footnote_marker' THEN 'footnote' WHEN type = 'digit_error' THEN 'digits' WHEN type = 'punctuation' THEN 'punctuation' WHEN type = 'verse_structure' THEN 'verse' WHEN type = 'table_structure' THEN 'table' END AS signal FROM i")

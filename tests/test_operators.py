@@ -89,7 +89,7 @@ def test_weights_and_risk(spark):
     p = spark.createDataFrame([(1, "scanned", "a", ["table"], 0.5, 0.4), (2, None, None, None, None, None)], "rec_id bigint, source_type string, model_used string, flags array<string>, confidence double, q double")
     risk = {r.rec_id: r.risk for r in history.risk(p, history.feature_weights(log(spark, rows)), F.col("q")).collect()}
     assert risk == {1: pytest.approx(0.6 * 0.8 * (4 / 3) * 0.8), 2: 1.0}
-    assert history.without_human(log(spark, rows), ["b"]).count() == 5
+    assert history.without_human(log(spark, rows), spark.createDataFrame([("b",), ("b",), (None,)], "book string")).count() == 5
 
 
 PAGE = """# سر
